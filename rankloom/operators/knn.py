@@ -33,7 +33,7 @@ CORPUS_BLOCK = 16384
 _TILE = 2048
 _BUFFER_ROWS = 1_000_000
 # Distances are compared at this precision so that ties break by id everywhere.
-DISTANCE_DIGITS = 9
+DISTANCE_DIGITS = 12
 
 HITS = "query_id bigint, id bigint, dist double, candidates bigint"
 _HITS_ARROW = pa.schema(

@@ -22,7 +22,7 @@ def latency_summary(
     counts = samples.groupBy(group, value).agg(
         F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to")
     )
-    ranked = running(counts, [group], [value], {"_upto": ("sum", "_n")}, group_rows=group_rows)
+    ranked = running(counts.select(group, value, "_n"), [group], [value], {"_upto": ("sum", "_n")}, group_rows=group_rows)
     totals = counts.groupBy(group).agg(
         F.sum("_n").alias("n"),
         (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
