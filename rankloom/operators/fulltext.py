@@ -1,9 +1,7 @@
 """Full-text matching and cover-density ranking over postings.
 
-A *keyed posting* is ``tenant, key, is_prefix, id, positions``: where in one
-document one query slot matches. Postings come either from a stored index
-(`rankloom.sources.index`) or from the corpus itself; only keys that some
-query asks for are ever shuffled.
+Words come either from a stored index (`rankloom.sources.index`) or from the
+corpus itself; only words that some query asks for are ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,13 +12,12 @@ from pyspark.sql import functions as F
 from rankloom.functions.scores import MAX_CANDIDATES
 from rankloom.functions.text import query_slots, tokens
 from rankloom.operators.topk import top_per_query
+from rankloom.operators.wordscan import RANK_DIGITS, WEIGHT, word_scan
 from rankloom.session import BROADCAST_ROWS, spread
 
 # Prefixes up to this length are exact join keys; longer ones are verified.
 PREFIX_KEY = 12
-WEIGHT = 0.1
 FILTER_BITS = "filter_bits"
-RANK_DIGITS = 9
 
 
 def slots_of(searches: DataFrame) -> DataFrame:
@@ -84,10 +81,10 @@ def filter_passes() -> Column:
     return (F.col("filter_bit") < 0) | bit
 
 
-def keyed_postings(
+def word_hits(
     terms: DataFrame, slots: DataFrame, small: bool, widths: list[int]
 ) -> DataFrame:
-    """Positions per (tenant, id, key) for every key asked by ``slots``.
+    """``tenant, id, key, is_prefix, pos`` for every word some slot asks for.
 
     ``terms`` is ``tenant, id, pos, term``. With few slots the key table is
     broadcast and one pass over the words is enough. Otherwise prefixes are
@@ -97,6 +94,7 @@ def keyed_postings(
     wanted = _wanted(slots)
     match = ["tenant", "key_part", "width"]
     verified = (~F.col("is_prefix")) | F.col("term").startswith(F.col("key"))
+    carried = [c for c in (FILTER_BITS,) if c in terms.columns]
     if small:
         hits = _keyed(terms, widths).join(F.broadcast(wanted), match).where(verified)
     else:
@@ -105,29 +103,33 @@ def keyed_postings(
         expanded = expanded.where(verified).select("tenant", "term", "key", "is_prefix")
         # A frequent word of a big tenant spreads over the salts.
         salts = 16
-        salted = expanded.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        spread = terms.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        hits = spread.join(salted, ["tenant", "term", "_salt"])
-    carried = [c for c in (FILTER_BITS,) if c in terms.columns]
-    return hits.groupBy("tenant", "id", "key", "is_prefix", *carried).agg(
-        F.sort_array(F.collect_list("pos")).alias("positions")
-    )
+        salted = expanded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread_out = terms.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        hits = spread_out.join(salted, ["tenant", "term", "_salt"])
+    return hits.select("tenant", "id", *carried, "key", "is_prefix", "pos")
 
 
-def match_all(postings: DataFrame, slots: DataFrame, small: bool) -> DataFrame:
-    """``query_id, id, candidates, hits``: documents in which every slot of a query occurs.
+def match_all(hits: DataFrame, slots: DataFrame, small: bool) -> DataFrame:
+    """``query_id, id, candidates, hits``: documents with every word of a search.
 
-    ``hits`` holds one ``slot, positions`` entry per slot; one document's words
-    bound its size. All rows of a (query, document) pair meet in one shuffle.
+    ``hits`` holds one ``positions`` array per slot; one document's words bound
+    its size. With few slots the word hits are shuffled once, by document:
+    postings, the broadcast join with the slots, the (query, document) groups
+    and the ranking windows all keep that partitioning. Otherwise postings meet
+    the slots by word, where a hot word is split at run time.
     """
-    asked = F.broadcast(slots) if small else slots
-    pairs = postings.join(asked, ["tenant", "key", "is_prefix"])
-    if FILTER_BITS in pairs.columns and "filter_bit" in pairs.columns:
+    carried = [c for c in (FILTER_BITS,) if c in hits.columns]
+    key = ["tenant", "key", "is_prefix"]
+    if small:
+        hits, slots = hits.repartition("id"), F.broadcast(slots)
+    postings = hits.groupBy("id", *key, *carried).agg(
+        F.sort_array(F.collect_list("pos")).alias("positions")
+    )
+    pairs = postings.join(slots, key)
+    if carried and "filter_bit" in pairs.columns:
         pairs = pairs.where(filter_passes())
     grouped = pairs.groupBy("query_id", "id").agg(
-        F.collect_list(F.struct("slot", "positions")).alias("hits"),
+        F.collect_list(F.struct("positions")).alias("hits"),
         F.first("n_slots").alias("n_slots"),
         F.first("candidates").alias("candidates"),
     )
@@ -202,6 +204,15 @@ def cover_density(matches: DataFrame) -> DataFrame:
     return single.unionByName(ranked)
 
 
+def _token_rows(corpus: DataFrame, searches: DataFrame) -> DataFrame:
+    """One row per document for the scan; documents without words drop out."""
+    words = F.col("tokens") if "tokens" in corpus.columns else tokens(F.col("content"))
+    filters = {"filter_bit": FILTER_BITS, "filter": "metadata"}
+    carried = [column for asked, column in filters.items() if asked in searches.columns]
+    rows = corpus.where(F.col("content").isNotNull()) if "content" in corpus.columns else corpus
+    return rows.select("tenant", "id", *carried, words.alias("tokens"))
+
+
 def distinct_texts(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collapse queries that ask the same words of the same tenant and filter.
 
@@ -240,14 +251,19 @@ def text_candidates(
     (query, document) matches before the cut, where metadata filters belong.
     """
     searches, members = distinct_texts(queries)
-    slots = slots_of(searches)
-    terms = corpus_tokens(spread(corpus)) if terms is None else terms
-    matches = match_all(keyed_postings(terms, slots, small, widths), slots, small)
-    if allowed is not None:
-        matches = allowed(matches)
-    ranked = cover_density(matches).withColumn("rank", F.round("rank", RANK_DIGITS))
-    best = top_per_query(ranked, [F.col("rank").desc(), F.col("id")], "trank", "candidates", cap)
-    best = best.select(F.col("query_id").alias("leader"), "id", "rank", "trank")
+    if small and terms is None:
+        ranked = word_scan(_token_rows(spread(corpus), searches), searches.toArrow())
+    else:
+        slots = slots_of(searches)
+        terms = corpus_tokens(corpus) if terms is None else terms
+        matches = match_all(word_hits(terms, slots, small, widths), slots, small)
+        if allowed is not None:
+            matches = allowed(matches)
+        ranked = cover_density(matches).withColumn("cost", -F.round("rank", RANK_DIGITS))
+    best = top_per_query(ranked, [F.col("cost"), F.col("id")], "trank", "candidates", cap)
+    best = best.select(
+        F.col("query_id").alias("leader"), "id", (-F.col("cost")).alias("rank"), "trank"
+    )
     return (
         best.join(F.broadcast(members) if small else members, "leader")
         .where(F.col("trank") <= F.col("candidates"))

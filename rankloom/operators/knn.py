@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.metadata import ContainmentCheck
 from rankloom.functions.scores import DISTANCE_THRESHOLD, MAX_CANDIDATES
+from rankloom.operators.blocks import HITS, HITS_ARROW, TopBuffer, by_tenant, filters_of, passing
 from rankloom.operators.topk import top_per_query
 from rankloom.session import spread
 
@@ -31,21 +32,9 @@ BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 16384
 _TILE = 2048
-_BUFFER_ROWS = 1_000_000
 # Distances are compared at this precision so that ties break by id everywhere.
 DISTANCE_DIGITS = 12
 
-HITS = "query_id bigint, id bigint, dist double, candidates bigint"
-_HITS_ARROW = pa.schema(
-    [
-        ("query_id", pa.int64()),
-        ("id", pa.int64()),
-        ("dist", pa.float64()),
-        ("candidates", pa.int64()),
-    ]
-)
-
-
 def _vectors(column: pa.ChunkedArray | pa.Array, dim: int):
     """Row numbers and float64 matrix of the vectors that are ``dim`` wide."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -68,12 +57,8 @@ class _QuerySet:
         self.dim = dim
         self.ids = table.column("query_id").to_numpy()[rows]
         self.depth = table.column("candidates").to_numpy()[rows]
-        self.cutoff = np.full(len(rows), np.inf)
-        self.filters = None
-        if "filter" in table.column_names:
-            self.filters = np.array(table.column("filter").to_pylist(), dtype=object)[rows]
-        if "filter_bit" in table.column_names:
-            self.filters = table.column("filter_bit").to_numpy()[rows]
+        filters = filters_of(table)
+        self.filters = None if filters is None else filters[rows]
 
 
 def _query_sets(table: pa.Table) -> dict:
@@ -93,105 +78,45 @@ def _query_sets(table: pa.Table) -> dict:
     return sets
 
 
-class _Buffer:
-    """Hits of one task, compacted to each query's current top k when it grows."""
-
-    def __init__(self, queries: _QuerySet):
-        self.queries = queries
-        self.parts: list = []
-        self.size = 0
-
-    def add(self, query: np.ndarray, ids: np.ndarray, dist: np.ndarray):
-        self.parts.append((query, ids, dist))
-        self.size += len(query)
-
-    def compact(self):
-        if not self.parts:
-            return
-        query, ids, dist = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((ids, dist, query))
-        query, ids, dist = query[order], ids[order], dist[order]
-        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-        counts = np.diff(np.r_[starts, len(query)])
-        place = np.arange(len(query)) - np.repeat(starts, counts)
-        depth = self.queries.depth[query]
-        last = place == depth - 1
-        cutoff = self.queries.cutoff
-        cutoff[query[last]] = np.minimum(cutoff[query[last]], dist[last])
-        keep = place < depth
-        self.parts = [(query[keep], ids[keep], dist[keep])]
-        self.size = int(keep.sum())
-
-    def drain(self) -> pa.RecordBatch | None:
-        self.compact()
-        if not self.size:
-            return None
-        query, ids, dist = self.parts[0]
-        self.parts, self.size = [], 0
-        columns = [self.queries.ids[query], ids, dist, self.queries.depth[query]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_HITS_ARROW)
-
-
-def _score_block(batch, queries: _QuerySet, buffer: _Buffer, threshold, check):
+def _score(batch: pa.RecordBatch, queries: _QuerySet, buffer: TopBuffer, threshold, check):
     """Multiply one corpus block with one query set and buffer the survivors."""
     rows, matrix = _vectors(batch.column("embedding"), queries.dim)
     norms = np.linalg.norm(matrix, axis=1)
     rows, matrix = rows[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
     ids = batch.column("id").to_numpy()
-    bits = batch.column("filter_bits").to_numpy() if "filter_bits" in batch.schema.names else None
-    metadata = batch.column("metadata") if "metadata" in batch.schema.names else None
     slack = 10.0**-DISTANCE_DIGITS
     bound = np.inf if threshold is None else threshold
     for r in range(0, len(rows), _TILE):
         block = matrix[r : r + _TILE]
         for c in range(0, len(queries.ids), _TILE):
             raw = 1.0 - np.clip(block @ queries.matrix[c : c + _TILE].T, -1.0, 1.0)
-            limit = np.minimum(bound, queries.cutoff[c : c + _TILE])
+            limit = np.minimum(bound, buffer.cutoff[c : c + _TILE])
             doc, query = np.nonzero(raw <= limit + slack)
             dist = np.round(raw[doc, query], DISTANCE_DIGITS)
-            query = query + c
-            keep = (dist < bound) & (dist <= queries.cutoff[query])
-            doc, query, dist = rows[r + doc[keep]], query[keep], dist[keep]
+            keep = dist < bound
+            doc, query, dist = rows[r + doc[keep]], query[keep] + c, dist[keep]
             if queries.filters is not None and len(doc):
-                wanted = queries.filters[query]
-                if bits is not None:
-                    passes = (wanted < 0) | ((bits[doc] >> np.maximum(wanted, 0)) & 1 == 1)
-                else:
-                    passes = np.fromiter(
-                        (w is None or check(metadata[d].as_py(), w) for d, w in zip(doc, wanted)),
-                        dtype=bool,
-                        count=len(doc),
-                    )
-                doc, query, dist = doc[passes], query[passes], dist[passes]
-            if len(doc):
-                buffer.add(query, ids[doc], dist)
-            if buffer.size > _BUFFER_ROWS:
-                buffer.compact()
-
-
-def _scan(batches: Iterator[pa.RecordBatch], table: pa.Table, threshold):
-    sets, check = _query_sets(table), ContainmentCheck()
-    buffers = {t: [_Buffer(q) for q in found] for t, found in sets.items()}
+                held = passing(batch, doc, queries.filters[query], check)
+                doc, query, dist = doc[held], query[held], dist[held]
+            buffer.add(query, ids[doc], dist)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], sets: dict, threshold):
+    check = ContainmentCheck()
+    buffers = {t: [TopBuffer(q.ids, q.depth) for q in found] for t, found in sets.items()}
     for batch in batches:
-        tenants = batch.column("tenant").dictionary_encode()
-        names = tenants.dictionary.to_pylist()
-        codes = tenants.indices.to_numpy(zero_copy_only=False)
-        for code, name in enumerate(names):
-            if name not in buffers:
-                continue
-            mine = batch if len(names) == 1 else batch.take(pa.array(np.flatnonzero(codes == code)))
-            for buffer in buffers[name]:
-                _score_block(mine, buffer.queries, buffer, threshold, check)
-                # Still large after compaction: hand over, keep the cut-offs.
-                if buffer.size > _BUFFER_ROWS // 2:
-                    yield from filter(None, [buffer.drain()])
+        for tenant, mine in by_tenant(batch, sets):
+            for queries, buffer in zip(sets[tenant], buffers[tenant]):
+                _score(mine, queries, buffer, threshold, check)
+                if buffer.full():
+                    yield from buffer.drain()
     for found in buffers.values():
         for buffer in found:
-            yield from filter(None, [buffer.drain()])
+            yield from buffer.drain()
 
 
 def _broadcast_scan(corpus: DataFrame, table: pa.Table, threshold) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(table)
+    shared = corpus.sparkSession.sparkContext.broadcast(_query_sets(table))
     tenants = [t for t in pc.unique(table.column("tenant")).to_pylist() if t is not None]
     if 0 < len(tenants) <= 100:
         corpus = corpus.where(F.col("tenant").isin(tenants))
@@ -235,8 +160,8 @@ def _blocked_join(
     keys = ["tenant", "_qb", "_cb"]
 
     def rectangle(docs: pa.Table, table: pa.Table) -> pa.Table:
-        out = _scan(iter(docs.combine_chunks().to_batches()), table, threshold)
-        return pa.Table.from_batches(list(out), schema=_HITS_ARROW)
+        out = _scan(iter(docs.combine_chunks().to_batches()), _query_sets(table), threshold)
+        return pa.Table.from_batches(list(out), schema=HITS_ARROW)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rectangle, HITS)
 
@@ -275,6 +200,6 @@ def knn(
         hits = _broadcast_scan(corpus, table, threshold)
     else:
         hits = _blocked_join(corpus, queries, threshold, query_block, corpus_block)
-    order = [F.col("dist"), F.col("id")]
+    order = [F.col("cost"), F.col("id")]
     ranked = top_per_query(hits, order, "vrank", "candidates", cap)
-    return ranked.select("query_id", "id", "dist", "vrank")
+    return ranked.select("query_id", "id", F.col("cost").alias("dist"), "vrank")
