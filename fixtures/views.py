@@ -68,10 +68,10 @@ def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = table(spark, sf_dir, "embeddings")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    words = F.array_remove(F.split(F.lower("text"), WORD_BREAK, 5), "")
+    words = F.array_remove(F.split("text", WORD_BREAK, 5), "")
     own_words = F.concat_ws(
-        " ", F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(2)),
-        F.left(F.try_element_at(words, F.lit(3)), F.lit(2)),
+        " ", F.lower(F.try_element_at(words, F.lit(1))), F.lower(F.try_element_at(words, F.lit(2))),
+        F.left(F.lower(F.try_element_at(words, F.lit(3))), F.lit(2)),
     )
     label = F.col("label")
     text = (

@@ -16,7 +16,7 @@ from rankloom.functions import scores
 from rankloom.functions.cleaning import decode_base64, image_fits
 from rankloom.functions.text import is_hybrid, query_slots
 from rankloom.operators.fulltext import filter_passes, prefix_width, text_candidates
-from rankloom.operators.knn import knn
+from rankloom.operators.knn import BROADCAST_BYTES, BROADCAST_QUERIES, knn
 from rankloom.operators.topk import page
 from rankloom.plans.filters import bind_filters, filter_matches
 from rankloom.session import BROADCAST_ROWS
@@ -40,6 +40,18 @@ def prepare(queries: DataFrame) -> DataFrame:
     )
 
 
+def pin(queries: DataFrame) -> DataFrame:
+    """Evaluate a small query table once, so that no leg recomputes its source.
+
+    Only tables within the broadcast bounds (rows and bytes, both checked) pass
+    through the driver; anything larger stays a plan.
+    """
+    head = queries.limit(BROADCAST_QUERIES + 1).toArrow()
+    if head.num_rows > BROADCAST_QUERIES or head.nbytes > BROADCAST_BYTES:
+        return queries
+    return queries.sparkSession.createDataFrame(head, schema=queries.schema)
+
+
 @dataclass
 class Shape:
     """What planning needs to know about a query table; a few numbers."""
@@ -81,7 +93,7 @@ def vector_search(
     strategy: str = "auto",
 ) -> DataFrame:
     """Nearest documents of each query's tenant, filtered, thresholded and paged."""
-    queries = prepare(queries)
+    queries = pin(prepare(queries))
     small = shape_of(queries).small
     bound, asked = bind_filters(corpus, queries)
     hits = knn(bound, asked, threshold, strategy=strategy)
@@ -107,7 +119,7 @@ def _text_leg(
 
 def text_search(corpus: DataFrame, queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``query_id, id, rank, trank``: the text leg alone, to its candidate depth."""
-    queries = prepare(queries)
+    queries = pin(prepare(queries))
     bound, asked = bind_filters(corpus, queries)
     return _text_leg(corpus, bound, asked, shape_of(queries), terms)
 
@@ -126,7 +138,7 @@ def search(
     strategy: str = "auto",
 ) -> DataFrame:
     """Each query in its own mode: hybrid when it has text, by vector otherwise."""
-    queries = prepare(queries)
+    queries = pin(prepare(queries))
     shape = shape_of(queries)
     bound, asked = bind_filters(corpus, queries)
     by_vector = knn(bound, asked, threshold, strategy=strategy)
