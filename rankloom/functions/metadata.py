@@ -57,9 +57,7 @@ def _contained(doc: Column, path: str, wanted) -> Column:
         elements = F.try_variant_get(doc, path, "array<variant>")
         test = kind.startswith("ARRAY")
         for inner in wanted:
-            test = test & F.exists(
-                elements, lambda x, inner=inner: F.coalesce(_contained(x, "$", inner), F.lit(False))
-            )
+            test = test & F.exists(elements, _element_test(inner))
         return test
     if wanted is None:
         return kind == "VOID"
@@ -74,6 +72,10 @@ def _contained(doc: Column, path: str, wanted) -> Column:
     return kind.rlike(_NUMERIC) & (F.try_variant_get(doc, path, "double") == F.lit(float(wanted)))
 
 
+def _element_test(wanted):
+    return lambda x: F.coalesce(_contained(x, "$", wanted), F.lit(False))
+
+
 def json_contains(doc, wanted) -> bool:
     """The same rule on parsed values, for filters that only exist as data."""
     if isinstance(wanted, dict):

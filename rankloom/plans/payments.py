@@ -103,7 +103,11 @@ def settle(
     first = first.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     winners = first.select(F.col(arrival).alias("_winner"))
     if transactions is not None:
-        known = transactions.select("transaction_id").distinct()
+        # Only the ids of this batch are looked up; the table is never shuffled whole
+        # when the batch is small enough to be broadcast.
+        known = transactions.select("transaction_id").join(
+            first.select("transaction_id"), "transaction_id", "left_semi"
+        )
         winners = first.join(known, "transaction_id", "left_anti").select(F.col(arrival).alias("_winner"))
     marked = checked.join(winners, F.col(arrival) == F.col("_winner"), "left")
     late = F.when(F.col("_winner").isNull(), "DuplicateTransaction")

@@ -1,0 +1,114 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom.functions import cleaning, metadata, scores, text, vectors
+
+
+def values(spark, rows, ddl, **columns):
+    return [r.asDict() for r in spark.createDataFrame(rows, ddl).select(
+        *[c.alias(n) for n, c in columns.items()]).collect()]
+
+
+def test_query_slots_drop_repeats_and_mark_the_prefix(spark):
+    rows = [("The the, THE",), ("a-b c",), ("  ?! ",), (None,), ("one",)]
+    got = values(spark, rows, "t string", s=text.query_slots(F.col("t")), h=text.is_hybrid(F.col("t")))
+    slots = [[(s.term, s.is_prefix) for s in r["s"]] for r in got]
+    assert slots == [
+        [("the", False), ("the", True)],
+        [("a", False), ("b", False), ("c", True)],
+        [], [], [("one", True)],
+    ]
+    assert [r["h"] for r in got] == [True, True, True, False, True]
+
+
+def test_tokens_keep_order_and_unicode(spark):
+    got = values(spark, [("Été à 3½ l'œuvre_x",)], "t string", w=text.tokens(F.col("t")))
+    assert got[0]["w"] == ["été", "à", "3½", "l", "œuvre", "x"]
+
+
+def test_paging_defaults_caps_and_errors(spark):
+    rows = [(None, None), (3, 150), (2, 7), (200, 100)]
+    limit = scores.page_limit(F.col("l"))
+    offset = scores.page_offset(F.col("p"), F.col("l"))
+    got = values(spark, rows, "p int, l int", l=limit, o=offset, c=scores.candidates(limit, offset))
+    assert [(r["l"], r["o"], r["c"]) for r in got] == [
+        (10, 0, 150), (100, 200, 800), (7, 7, 150), (100, 19900, 800)
+    ]
+    with pytest.raises(Exception, match="page must be at least 1"):
+        values(spark, [(0, 5)], "p int, l int", o=offset)
+
+
+def test_strict_int_and_rfc3339(spark):
+    rows = [("+12",), ("-3",), (" 4",), ("",), ("99999999999",), ("1.0",), (None,)]
+    got = values(spark, rows, "t string", v=cleaning.strict_int(F.col("t")))
+    assert [r["v"] for r in got] == [12, -3, None, None, None, None, None]
+    rows = [("2024-01-05T10:00:00+02:00",), ("2024-01-05t10:00:00.5z",), ("2024-01-05",), ("soon",), (None,)]
+    got = values(spark, rows, "t string", v=cleaning.rfc3339(F.col("t")))
+    assert [r["v"] for r in got] == [
+        datetime(2024, 1, 5, 8), datetime(2024, 1, 5, 10, 0, 0, 500000), None, None, None
+    ]
+
+
+def test_base64_and_required_fields(spark):
+    got = values(spark, [("aGk=",), ("aGk",), ("!!!!",), ("",)], "t string", v=cleaning.decode_base64(F.col("t")))
+    assert [r["v"] for r in got] == [b"hi", None, None, b""]
+    rows = [("a", None), ("", "b"), ("a", "b")]
+    got = values(spark, rows, "a string, b string", v=cleaning.any_empty(F.col("a"), F.col("b")))
+    assert [r["v"] for r in got] == [False, True, False]
+
+
+def test_metadata_normalizer(spark):
+    rows = [('{"a":1}',), ("[1]",), ("5",), ("null",), ("{bad",), (None,)]
+    got = values(spark, rows, "m string", v=metadata.normalize(F.col("m")))
+    assert [r["v"] for r in got] == ['{"a":1}', "{}", "{}", "{}", "{}", "{}"]
+
+
+DOCS = [
+    "{}", '{"a":1}', '{"a":1.0,"b":"x"}', '{"a":"1"}', '{"a":null}', '{"a":true}',
+    '{"a":{"b":{"c":2}}}', '{"a":[1,2,{"k":"v","z":0}]}', '{"a":[[1,2],[3]]}', '{"a":[]}',
+    '{"b":"x","a":{"b":[]}}', None,
+]
+FILTERS = [
+    {}, {"a": 1}, {"a": 1.0}, {"a": "1"}, {"a": None}, {"a": True}, {"a": {}}, {"a": {"b": {"c": 2}}},
+    {"a": []}, {"a": [1]}, {"a": [{"k": "v"}]}, {"a": [[2]]}, {"a": [1, {"z": 0}]}, {"b": "x"},
+    {"a": {"b": []}}, [1], "x", 5,
+]
+EXPECTED = {
+    0: [1] * 11 + [0], 1: [0, 1, 1] + [0] * 9, 3: [0, 0, 0, 1] + [0] * 8, 10: [0] * 7 + [1] + [0] * 4,
+    11: [0] * 8 + [1, 0, 0, 0], 15: [0] * 12,
+}
+
+
+def test_containment_compiled_equals_containment_as_data(spark):
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(DOCS)], "i int, m string")
+    parsed = frame.withColumn("v", F.try_parse_json("m"))
+    row = parsed.select("i", *[metadata.contains(F.col("v"), f).alias(f"f{n}") for n, f in enumerate(FILTERS)])
+    got = {r.i: r for r in row.collect()}
+    check = metadata.ContainmentCheck()
+    for n, wanted in enumerate(FILTERS):
+        compiled = [int(got[i][f"f{n}"]) for i in range(len(DOCS))]
+        assert compiled == [int(check(d, json.dumps(wanted))) for d in DOCS], wanted
+        if n in EXPECTED:
+            assert compiled == EXPECTED[n], wanted
+
+
+def test_cosine_distance_edges(spark):
+    rows = [([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-2.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0]), ([1.0], [1.0, 2.0])]
+    got = values(spark, rows, "a array<float>, b array<float>", d=vectors.cosine_distance(F.col("a"), F.col("b")))
+    assert [r["d"] for r in got] == [0.0, 2.0, None, None, None]
+
+
+def test_embedding_coercion(spark):
+    got = values(spark, [('[0.5,"x",null,2,true]',), ("7",)], "t string", v=vectors.coerce_embedding(F.col("t")))
+    assert got[0]["v"] == [0.5, 0.0, 0.0, 2.0, 0.0]
+    assert got[1]["v"] is None
+
+
+def test_unknown_region_is_rejected(spark):
+    got = values(spark, [("eu",), ("mars",), (None,)], "r string", v=cleaning.known_region(F.col("r")))
+    assert [r["v"] for r in got] == [True, False, False]
