@@ -106,7 +106,7 @@ def _after_grants(spark, d):
 
 
 def _customer_ids(spark, d):
-    accepted = _settled(spark, d).where("reject_reason IS NULL")
+    accepted = _settled(spark, d).accepted
     return tenants.customer_ids(accepted.withColumn("created_at", F.col("event_id")))
 
 
@@ -184,7 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "user_append": _new_users,
         "api_key_cap": _new_keys,
         "payments_etl": lambda s, d: payments.accepted_transactions(_settled(s, d)),
-        "payments_quarantine": lambda s, d: payments.quarantine(_settled(s, d)).select("event_id", "reject_reason"),
+        "payments_quarantine": lambda s, d: _settled(s, d).rejected.select("event_id", "reject_reason"),
         "credit_grants": _grants,
         "users_after_grants": _after_grants,
         "customer_ids": _customer_ids,

@@ -67,12 +67,14 @@ def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     different pages, limits and filters.
     """
     e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    words = F.array_remove(F.split("text", WORD_BREAK, 5), "")
-    own_words = F.concat_ws(
-        " ", F.lower(F.try_element_at(words, F.lit(1))), F.lower(F.try_element_at(words, F.lit(2))),
-        F.left(F.lower(F.try_element_at(words, F.lit(3))), F.lit(2)),
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("vec_id"),
+        F.array_remove(F.split("text", WORD_BREAK, 5), "").alias("words"),
     )
+    parts = [F.lower(F.try_element_at("words", F.lit(n))) for n in (1, 2, 3)]
+    opening = F.concat_ws(" ", parts[0], parts[1], F.left(parts[2], F.lit(2)))
+    d = d.select("vec_id", opening.alias("opening"))
+    own_words = F.coalesce("opening", F.lit(""))
     label = F.col("label")
     text = (
         F.when(label == 3, "  ")

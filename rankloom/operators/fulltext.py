@@ -6,6 +6,7 @@ corpus itself; only words that some query asks for are ever shuffled.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,11 +205,11 @@ def cover_density(matches: DataFrame) -> DataFrame:
     return single.unionByName(ranked)
 
 
-def _token_rows(corpus: DataFrame, searches: DataFrame) -> DataFrame:
+def _token_rows(corpus: DataFrame, searches: pa.Table) -> DataFrame:
     """One row per document for the scan; documents without words drop out."""
     words = F.col("tokens") if "tokens" in corpus.columns else tokens(F.col("content"))
     filters = {"filter_bit": FILTER_BITS, "filter": "metadata"}
-    carried = [column for asked, column in filters.items() if asked in searches.columns]
+    carried = [column for asked, column in filters.items() if asked in searches.column_names]
     rows = corpus.where(F.col("content").isNotNull()) if "content" in corpus.columns else corpus
     return rows.select("tenant", "id", *carried, words.alias("tokens"))
 
@@ -221,9 +222,8 @@ def distinct_texts(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead every query to its search.
     """
     extra = [c for c in ("filter_bit", "filter") if c in queries.columns]
-    asked = queries.select(
-        "query_id", "tenant", "candidates", *extra, query_slots(F.col("text")).alias("slots")
-    ).where(F.size("slots") > 0)
+    asked = queries.select("query_id", "tenant", "candidates", *extra, "slots")
+    asked = asked.where((F.size("slots") > 0) & F.col("tenant").isNotNull())
     same = ["tenant", "slots", *extra]
     searches = asked.groupBy(*same).agg(
         F.min("query_id").alias("leader"), F.max("candidates").alias("deepest")
@@ -236,6 +236,26 @@ def distinct_texts(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return searches, members
 
 
+def distinct_rows(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """`distinct_texts` for query rows that are at hand."""
+    extra = [c for c in ("filter_bit", "filter") if c in table.column_names]
+    rows = table.select(["query_id", "tenant", "candidates", "slots", *extra]).to_pylist()
+    leaders: dict = {}
+    members = []
+    for row in sorted(rows, key=lambda r: r["query_id"]):
+        if not row["slots"] or row["tenant"] is None:
+            continue
+        words = tuple((s["term"], s["is_prefix"]) for s in row["slots"])
+        same = (row["tenant"], words, *[row[c] for c in extra])
+        leader = leaders.setdefault(same, dict(row))
+        leader["candidates"] = max(leader["candidates"], row["candidates"])
+        members.append((row["query_id"], leader["query_id"], row["candidates"]))
+    schema = table.select(["query_id", "tenant", "candidates", "slots", *extra]).schema
+    names = ["query_id", "leader", "candidates"]
+    lead = pa.table({n: pa.array([m[i] for m in members], pa.int64()) for i, n in enumerate(names)})
+    return pa.Table.from_pylist(list(leaders.values()), schema=schema), lead
+
+
 def text_candidates(
     corpus: DataFrame,
     queries: DataFrame,
@@ -244,16 +264,27 @@ def text_candidates(
     terms: DataFrame | None = None,
     allowed=None,
     cap: int = MAX_CANDIDATES,
+    table: pa.Table | None = None,
 ) -> DataFrame:
     """``query_id, id, rank, trank``: the best matching documents per query.
 
     ``terms`` may be a stored word index; ``allowed`` is applied to the
     (query, document) matches before the cut, where metadata filters belong.
+    ``table`` holds the rows of ``queries`` if the caller already has them.
     """
-    searches, members = distinct_texts(queries)
+    if "slots" not in queries.columns:
+        queries = queries.withColumn("slots", query_slots(F.col("text")))
+    spark = corpus.sparkSession
     if small and terms is None:
-        ranked = word_scan(_token_rows(spread(corpus), searches), searches.toArrow())
+        if table is None:
+            searches, members = distinct_texts(queries)
+            searches = searches.toArrow()
+        else:
+            searches, lead = distinct_rows(table)
+            members = spark.createDataFrame(lead)
+        ranked = word_scan(_token_rows(spread(corpus), searches), searches)
     else:
+        searches, members = distinct_texts(queries)
         slots = slots_of(searches)
         terms = corpus_tokens(corpus) if terms is None else terms
         matches = match_all(word_hits(terms, slots, small, widths), slots, small)

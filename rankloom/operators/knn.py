@@ -174,6 +174,7 @@ def knn(
     strategy: str = "auto",
     query_block: int = QUERY_BLOCK,
     corpus_block: int = CORPUS_BLOCK,
+    table: pa.Table | None = None,
 ) -> DataFrame:
     """``query_id, id, dist, vrank``: the nearest rows of each query's tenant.
 
@@ -182,22 +183,25 @@ def knn(
     vector, candidates`` and ``filter_bit`` or ``filter``. Rows at or beyond
     ``threshold`` are dropped; cutting before or after the top k is the same
     because both follow one ordering. NULL and zero vectors have no distance.
+    ``table`` holds the rows of ``queries`` if the caller already has them.
     """
     filters = {"filter_bit": "filter_bits", "filter": "metadata"}
     asked = [c for c in filters if c in queries.columns][:1]
     corpus = corpus.select("tenant", "id", "embedding", *[filters[c] for c in asked])
-    queries = queries.select("query_id", "tenant", "vector", "candidates", *asked).where(
+    columns = ["query_id", "tenant", "vector", "candidates", *asked]
+    queries = queries.select(*columns).where(
         F.col("vector").isNotNull() & F.col("tenant").isNotNull()
     )
-    table = None
-    if strategy in ("auto", "broadcast"):
+    if strategy == "blocks":
+        table = None
+    elif table is None:
         head = queries.limit(BROADCAST_QUERIES + 1).toArrow()
         if head.num_rows <= BROADCAST_QUERIES and head.nbytes <= BROADCAST_BYTES:
             table = head
         elif strategy == "broadcast":
             raise ValueError("too many queries to broadcast")
     if table is not None:
-        hits = _broadcast_scan(corpus, table, threshold)
+        hits = _broadcast_scan(corpus, table.select(columns), threshold)
     else:
         hits = _blocked_join(corpus, queries, threshold, query_block, corpus_block)
     order = [F.col("cost"), F.col("id")]

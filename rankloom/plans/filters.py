@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.functions.metadata import ContainmentCheck, active_filter, compilable, contains
+from rankloom.functions.metadata import ContainmentCheck, compilable, contains
 
 MAX_COMPILED = 62
 
@@ -25,17 +25,21 @@ def metadata_contains(metadata: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([w is None or check(m, w) for m, w in zip(metadata, wanted)])
 
 
-def bind_filters(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def distinct_filters(queries: DataFrame) -> list[str]:
+    """The filters in use, or ``MAX_COMPILED + 1`` of them when there are more."""
+    distinct = queries.where("filter IS NOT NULL").select("filter").distinct()
+    return sorted(r[0] for r in distinct.limit(MAX_COMPILED + 1).collect())
+
+
+def bind_filters(
+    corpus: DataFrame, queries: DataFrame, texts: list[str]
+) -> tuple[DataFrame, DataFrame]:
     """Returns the corpus and queries with matching filter columns, or with none.
 
-    Compiled: ``filter_bits`` / ``filter_bit`` (-1 for no filter). As data:
-    ``metadata`` / ``filter``. No filters at all: neither side has a column.
+    ``texts`` are the distinct filters. Compiled: ``filter_bits`` / ``filter_bit``
+    (-1 for no filter). As data: ``metadata`` / ``filter``. No filters at all:
+    neither side has a column.
     """
-    if "filter" not in queries.columns:
-        return corpus, queries
-    queries = queries.withColumn("filter", active_filter(F.col("filter")))
-    distinct = queries.where("filter IS NOT NULL").select("filter").distinct()
-    texts = sorted(r[0] for r in distinct.limit(MAX_COMPILED + 1).collect())
     if not texts:
         return corpus, queries.drop("filter")
     try:

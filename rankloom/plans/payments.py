@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.cleaning import first_of, rfc3339, strict_int
+from rankloom.operators.topk import first_per_key
 from rankloom.schema import PAYMENT_EVENT
 
 COMPLETED, FAILED = "transaction.completed", "transaction.payment_failed"
@@ -76,18 +79,25 @@ def check_references(events: DataFrame, users: DataFrame) -> DataFrame:
     return joined.withColumn("reject_reason", reason).select(*events.columns)
 
 
+class Settlement(NamedTuple):
+    """What a set of payment events leads to."""
+
+    accepted: DataFrame  # one event per transaction id
+    rejected: DataFrame  # the others, with their ``reject_reason``
+
+
 def settle(
     raw: DataFrame,
     users: DataFrame,
     transactions: DataFrame | None = None,
     arrival: str = "event_id",
     policy: str = "first_wins",
-) -> DataFrame:
-    """All handled events with their ``reject_reason``; NULL rows become transactions.
+) -> Settlement:
+    """Accept the first good event of every transaction id, reject the rest.
 
-    The first acceptable event of a transaction id wins, so a failure that
-    arrives first hides a later completion; ``policy='completed_wins'`` prefers
-    the completion. Rejected events never claim an id.
+    A failure that arrives first hides a later completion;
+    ``policy='completed_wins'`` prefers the completion. Rejected events never
+    claim an id. ``transactions`` are those already stored.
     """
     if policy not in ("first_wins", "completed_wins"):
         raise ValueError(f"unknown policy {policy}")
@@ -96,36 +106,26 @@ def settle(
     order = [F.col(arrival)]
     if policy == "completed_wins":
         order.insert(0, F.when(F.col("event_type") == COMPLETED, 0).otherwise(1))
-    # One winner per id is found with map-side pruning; the losers are then the
-    # good events whose arrival is not the winner's.
-    w = Window.partitionBy("transaction_id").orderBy(*order)
-    first = good.select("transaction_id", arrival, "event_type")
-    first = first.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    winners = first.select(F.col(arrival).alias("_winner"))
+    accepted = first_per_key(good, ["transaction_id"], order)
     if transactions is not None:
-        # Only the ids of this batch are looked up; the table is never shuffled whole
-        # when the batch is small enough to be broadcast.
+        # Only the ids of this batch are looked up, and a small batch is
+        # broadcast to the stored table instead of shuffling it.
         known = transactions.select("transaction_id").join(
-            first.select("transaction_id"), "transaction_id", "left_semi"
+            accepted.select("transaction_id"), "transaction_id", "left_semi"
         )
-        winners = first.join(known, "transaction_id", "left_anti").select(F.col(arrival).alias("_winner"))
-    marked = checked.join(winners, F.col(arrival) == F.col("_winner"), "left")
-    late = F.when(F.col("_winner").isNull(), "DuplicateTransaction")
-    reason = F.coalesce("reject_reason", late)
-    return marked.withColumn("reject_reason", reason).drop("_winner")
-
-
-def accepted_transactions(settled: DataFrame) -> DataFrame:
-    return settled.where("reject_reason IS NULL").select(*TRANSACTION_COLUMNS)
+        accepted = accepted.join(known, "transaction_id", "left_anti")
+    late = good.join(accepted.select(arrival), arrival, "left_anti")
+    late = late.withColumn("reject_reason", F.lit("DuplicateTransaction"))
+    return Settlement(accepted, checked.where("reject_reason IS NOT NULL").unionByName(late))
 
 
-def quarantine(settled: DataFrame) -> DataFrame:
-    return settled.where("reject_reason IS NOT NULL")
+def accepted_transactions(settled: Settlement) -> DataFrame:
+    return settled.accepted.select(*TRANSACTION_COLUMNS)
 
 
-def credit_grants(settled: DataFrame) -> DataFrame:
+def credit_grants(settled: Settlement) -> DataFrame:
     """Credits bought per user by completed, accepted transactions."""
-    paid = settled.where(F.col("reject_reason").isNull() & (F.col("event_type") == COMPLETED))
+    paid = settled.accepted.where(F.col("event_type") == COMPLETED)
     return paid.groupBy("user_id").agg(F.sum("credits_purchased").alias("granted"))
 
 

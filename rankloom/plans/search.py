@@ -7,74 +7,104 @@ ranks all of them in one job.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import scores
 from rankloom.functions.cleaning import decode_base64, image_fits
+from rankloom.functions.metadata import active_filter
 from rankloom.functions.text import is_hybrid, query_slots
-from rankloom.operators.fulltext import filter_passes, prefix_width, text_candidates
+from rankloom.operators.fulltext import PREFIX_KEY, filter_passes, prefix_width, text_candidates
 from rankloom.operators.knn import BROADCAST_BYTES, BROADCAST_QUERIES, knn
 from rankloom.operators.topk import page
-from rankloom.plans.filters import bind_filters, filter_matches
+from rankloom.plans.filters import bind_filters, distinct_filters, filter_matches
 from rankloom.session import BROADCAST_ROWS
 
 RESULT = ["query_id", "rank", "vector_id", "content", "metadata", "score", "score_pct"]
 
 
 def prepare(queries: DataFrame) -> DataFrame:
-    """Fill in paging defaults, the candidate depth and the search mode."""
+    """Fill in paging defaults, the candidate depth, the search mode and the words."""
     defaults = {"page": "int", "limit": "int", "text": "string", "vector": "array<float>"}
     for name, kind in defaults.items():
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
     offset = scores.page_offset(F.col("page"), F.col("limit"))
-    return (
-        queries.withColumn("offset", offset)
-        .withColumn("limit", scores.page_limit(F.col("limit")))
-        .withColumn("candidates", scores.candidates(F.col("limit"), F.col("offset")))
-        .withColumn("hybrid", is_hybrid(F.col("text")))
-        .drop("page")
-    )
+    added = {
+        "offset": offset,
+        "limit": scores.page_limit(F.col("limit")),
+        "candidates": scores.candidates(scores.page_limit(F.col("limit")), offset),
+        "hybrid": is_hybrid(F.col("text")),
+        "slots": query_slots(F.col("text")),
+    }
+    if "filter" in queries.columns:
+        added["filter"] = active_filter(F.col("filter"))
+    return queries.withColumns(added).drop("page", "text")
 
 
-def pin(queries: DataFrame) -> DataFrame:
-    """Evaluate a small query table once, so that no leg recomputes its source.
+@dataclass
+class Asked:
+    """A prepared query table, with its rows at hand when there are few.
 
     Only tables within the broadcast bounds (rows and bytes, both checked) pass
-    through the driver; anything larger stays a plan.
+    through the driver, once; anything larger stays a plan and planning needs
+    no more than a few numbers about it.
     """
-    head = queries.limit(BROADCAST_QUERIES + 1).toArrow()
-    if head.num_rows > BROADCAST_QUERIES or head.nbytes > BROADCAST_BYTES:
-        return queries
-    return queries.sparkSession.createDataFrame(head, schema=queries.schema)
-
-
-@dataclass
-class Shape:
-    """What planning needs to know about a query table; a few numbers."""
 
+    df: DataFrame
+    head: pa.Table | None
     small: bool  # its rows may be broadcast
     few_words: bool  # its words may be broadcast
     widths: list[int]  # lengths of its prefix keys, at most PREFIX_KEY of them
 
-
-def shape_of(queries: DataFrame) -> Shape:
-    slots = query_slots(F.col("text"))
-    row = queries.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.size(slots)), F.lit(0)).alias("words"),
-        F.collect_set(prefix_width(slots)).alias("widths"),
-    ).first()
-    return Shape(row.rows <= BROADCAST_ROWS, row.words <= BROADCAST_ROWS, sorted(row.widths))
-
-
-def _paged(corpus: DataFrame, found: DataFrame, queries: DataFrame, order, small: bool) -> DataFrame:
+    @classmethod
+    def of(cls, queries: DataFrame) -> Asked:
+        prepared = prepare(queries)
+        head = prepared.limit(BROADCAST_QUERIES + 1).toArrow()
+        if head.num_rows > BROADCAST_QUERIES or head.nbytes > BROADCAST_BYTES:
+            head = None
+        else:
+            prepared = prepared.sparkSession.createDataFrame(head, schema=prepared.schema)
+        if head is None:
+            rows, words, widths = prepared.agg(
+                F.count(F.lit(1)),
+                F.coalesce(F.sum(F.size("slots")), F.lit(0)),
+                F.collect_set(prefix_width(F.col("slots"))),
+            ).first()
+        else:
+            slots = head.column("slots").to_pylist()
+            rows, words = head.num_rows, sum(map(len, slots))
+            widths = {min(len(s[-1]["term"]), PREFIX_KEY) for s in slots if s}
+        return cls(prepared, head, rows <= BROADCAST_ROWS, words <= BROADCAST_ROWS, sorted(widths))
+
+    def filtered(self, corpus: DataFrame) -> tuple[DataFrame, Asked]:
+        """Corpus and queries with matching filter columns (see `bind_filters`)."""
+        if "filter" not in self.df.columns:
+            return corpus, self
+        if self.head is None:
+            texts = distinct_filters(self.df)
+        else:
+            texts = sorted(t for t in pc.unique(self.head.column("filter")).to_pylist() if t is not None)
+        bound, df = bind_filters(corpus, self.df, texts)
+        head = self.head
+        if head is not None and "filter" not in df.columns:
+            numbers = {t: n for n, t in enumerate(texts)}
+            bits = [numbers.get(t, -1) for t in head.column("filter").to_pylist()]
+            head = head.drop_columns(["filter"])
+            if "filter_bit" in df.columns:
+                head = head.append_column("filter_bit", pa.array(bits, pa.int64()))
+        return bound, replace(self, df=df, head=head)
+
+
+def _paged(corpus: DataFrame, found: DataFrame, asked: Asked, order) -> DataFrame:
     """Cut each query's page and fetch document columns for the winners only."""
-    asked = queries.select("query_id", "tenant", "offset", "limit", "hybrid")
-    winners = page(found.join(F.broadcast(asked) if small else asked, "query_id"), order)
+    small = asked.small
+    bounds = asked.df.select("query_id", "tenant", "offset", "limit")
+    winners = page(found.join(F.broadcast(bounds) if small else bounds, "query_id"), order)
     # At most 100 winners per query: with few queries they go to the corpus,
     # which is then read in place; otherwise both sides meet by tenant and id.
     winners = F.broadcast(winners) if small else winners
@@ -93,35 +123,33 @@ def vector_search(
     strategy: str = "auto",
 ) -> DataFrame:
     """Nearest documents of each query's tenant, filtered, thresholded and paged."""
-    queries = pin(prepare(queries))
-    small = shape_of(queries).small
-    bound, asked = bind_filters(corpus, queries)
-    hits = knn(bound, asked, threshold, strategy=strategy)
+    asked = Asked.of(queries)
+    bound, narrowed = asked.filtered(corpus)
+    hits = knn(bound, narrowed.df, threshold, strategy=strategy, table=narrowed.head)
     hits = hits.withColumn("score", scores.vector_score(F.col("dist")))
-    return _paged(corpus, hits, queries, [F.col("dist"), F.col("id")], small)
+    return _paged(corpus, hits, asked, [F.col("dist"), F.col("id")])
 
 
-def _text_leg(
-    corpus: DataFrame, bound: DataFrame, asked: DataFrame, shape: Shape, terms: DataFrame | None
-) -> DataFrame:
+def _text_leg(corpus: DataFrame, bound: DataFrame, asked: Asked, terms: DataFrame | None) -> DataFrame:
     allowed = None
-    if "filter" in asked.columns:
-        allowed = filter_matches(corpus, asked)
-    elif "filter_bit" in asked.columns and terms is not None:
+    if "filter" in asked.df.columns:
+        allowed = filter_matches(corpus, asked.df)
+    elif "filter_bit" in asked.df.columns and terms is not None:
         # A stored word index carries no filter bits; look them up by id.
         def allowed(matches: DataFrame) -> DataFrame:
-            wanted, docs = asked.select("query_id", "filter_bit"), bound.select("id", "filter_bits")
+            wanted, docs = asked.df.select("query_id", "filter_bit"), bound.select("id", "filter_bits")
             joined = matches.join(wanted, "query_id").join(docs, "id")
             return joined.where(filter_passes()).select(*matches.columns)
 
-    return text_candidates(bound, asked, shape.few_words, shape.widths, terms, allowed)
+    return text_candidates(
+        bound, asked.df, asked.few_words, asked.widths, terms, allowed, table=asked.head
+    )
 
 
 def text_search(corpus: DataFrame, queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``query_id, id, rank, trank``: the text leg alone, to its candidate depth."""
-    queries = pin(prepare(queries))
-    bound, asked = bind_filters(corpus, queries)
-    return _text_leg(corpus, bound, asked, shape_of(queries), terms)
+    bound, asked = Asked.of(queries).filtered(corpus)
+    return _text_leg(corpus, bound, asked, terms)
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame) -> DataFrame:
@@ -138,21 +166,19 @@ def search(
     strategy: str = "auto",
 ) -> DataFrame:
     """Each query in its own mode: hybrid when it has text, by vector otherwise."""
-    queries = pin(prepare(queries))
-    shape = shape_of(queries)
-    bound, asked = bind_filters(corpus, queries)
-    by_vector = knn(bound, asked, threshold, strategy=strategy)
-    by_text = _text_leg(corpus, bound, asked.where("hybrid"), shape, terms)
-    modes = queries.select("query_id", "hybrid")
-    fused = fuse(by_vector, by_text).join(F.broadcast(modes) if shape.small else modes, "query_id")
+    asked = Asked.of(queries)
+    bound, narrowed = asked.filtered(corpus)
+    by_vector = knn(bound, narrowed.df, threshold, strategy=strategy, table=narrowed.head)
+    by_text = _text_leg(corpus, bound, narrowed, terms)
+    modes = asked.df.select("query_id", "hybrid")
+    fused = fuse(by_vector, by_text).join(F.broadcast(modes) if asked.small else modes, "query_id")
     score = F.when(F.col("hybrid"), scores.hybrid_score(F.col("rrf"))).otherwise(
         scores.vector_score(F.col("dist"))
     )
     found = fused.withColumn("score", score).withColumn(
         "sort_key", F.when(F.col("hybrid"), -F.col("rrf")).otherwise(F.col("dist"))
     )
-    found = found.drop("hybrid")
-    return _paged(corpus, found, queries, [F.col("sort_key"), F.col("id")], shape.small)
+    return _paged(corpus, found.drop("hybrid"), asked, [F.col("sort_key"), F.col("id")])
 
 
 def hybrid_search(corpus: DataFrame, queries: DataFrame, **options) -> DataFrame:

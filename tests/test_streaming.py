@@ -107,7 +107,7 @@ def test_payment_stream_equals_batch(spark, tmp_path):
     want = {r.transaction_id for r in payments.accepted_transactions(batch).collect()}
     got = [r.transaction_id for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert spark.read.parquet(bad).count() == payments.quarantine(batch).count()
+    assert spark.read.parquet(bad).count() == batch.rejected.count()
 
 
 def event_items():
