@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fixtures import control, sql, views  # noqa: E402
+from rankloom.functions import models  # noqa: E402
 from rankloom.functions.text import one_line  # noqa: E402
+from rankloom.operators import ann  # noqa: E402
+from rankloom.operators.fulltext import corpus_tokens  # noqa: E402
+from rankloom.operators.trigram import trigram_similarity  # noqa: E402
 from rankloom.plans import latency, ledger, moderation, payments, tenants, usage, verification  # noqa: E402
-from rankloom.plans.search import hybrid_search, search, text_search, vector_search  # noqa: E402
+from rankloom.plans.search import (  # noqa: E402
+    Asked, dashboard_search, hybrid_search, route, search, text_search, vector_search,
+)
 from rankloom.session import configure  # noqa: E402
 from rankloom.sources import corpus as store  # noqa: E402
+from rankloom.streaming import stateful  # noqa: E402
+from rankloom.streaming.run import drain_append, drain_updates  # noqa: E402
+from rankloom.streaming.usage import usage_stream  # noqa: E402
 
 _FOUND = ["query_id", "rank", "vector_id", "content", "metadata", "round(score, 6) AS score"]
 
@@ -47,6 +56,93 @@ def _hybrid(filtered: bool, every_mode: bool = False):
     return run
 
 
+def _vector_blocks(spark, d):
+    found = vector_search(views.vectors(spark, d), views.queries(spark, d), strategy="blocks")
+    return found.selectExpr(*_FOUND)
+
+
+def _text_shuffled(spark, d):
+    corpus = views.vectors(spark, d)
+    found = text_search(corpus, views.queries(spark, d), terms=corpus_tokens(corpus))
+    return found.select("query_id", "id", F.round("rank", 6).alias("rank"), "trank")
+
+
+def _dashboard(spark, d):
+    return dashboard_search(views.vectors(spark, d), control.dashboard_requests(spark, d)).selectExpr(*_FOUND)
+
+
+def _router(spark, d):
+    asked, _ = route(
+        control.search_requests(spark, d), models.hashed_text_embedder(64),
+        models.hashed_text_embedder(64, "cross-modal"), models.hashed_image_embedder(64),
+    )
+    return search(views.vectors(spark, d), asked, threshold=None).selectExpr(*_FOUND)
+
+
+def _approximate(spark, d):
+    corpus, asked = views.vectors(spark, d), Asked.of(views.queries(spark, d)).df
+    centres = ann.train_cells(corpus, 16)
+    celled = ann.assign_cells(corpus.where("embedding IS NOT NULL"), centres)
+    return ann.probe(celled, asked, centres).select("query_id", "id", F.round("dist", 6).alias("dist"), "vrank")
+
+
+def _embedded(spark, d):
+    rows, _ = store.ingest_text(
+        control.insert_requests(spark, d), models.hashed_text_embedder(64),
+        vector_id=store.content_id(F.col("tenant"), F.col("content")),
+    )
+    return rows.select("tenant", "vector_id", F.size("embedding").alias("width"), F.round("norm", 4).alias("norm"))
+
+
+def _images(spark, d):
+    asked = control.image_requests(spark, d)
+    rows, _ = store.ingest_images(
+        asked, models.hashed_image_embedder(64), vector_id=F.col("request_id").cast("string")
+    )
+    return rows.select("tenant", F.col("vector_id").cast("long").alias("request_id"))
+
+
+def _event_stream(spark, d):
+    schema = views.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+
+
+def _from_stream(spark, d, build):
+    """A fixture over the events, with the events read as a stream."""
+    stream = _event_stream(spark, d)
+    return build(stream.withColumn("owner", (1000 + F.col("user_id")).cast("int")))
+
+
+def _stream_usage(spark, d):
+    stream = _from_stream(spark, d, control.usage_of)
+    days = drain_updates(usage_stream(stream), ["user_id", "usage_date"])
+    return days.withColumn("usage_date", F.col("usage_date").cast("string"))
+
+
+def _stream_ledger(spark, d):
+    stream = ledger.with_opening(_from_stream(spark, d, control.ledger_of), control.ledger_users(spark, d))
+    made = drain_append(stateful.ledger_stream(stream))
+    return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _stream_verification(spark, d):
+    codes, attempts = _from_stream(spark, d, control.codes_of), _from_stream(spark, d, control.attempts_of)
+    return drain_append(stateful.verification_stream(codes, attempts, 720))
+
+
+def _trigrams(spark, d):
+    docs = views.table(spark, d, "documents").select(
+        F.lit("all").alias("tenant"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    asked = views.table(spark, d, "benchmark").select(
+        F.lit("all").alias("tenant"), F.col("item_id").alias("query_id"), "text")
+    return trigram_similarity(docs, asked).withColumn("similarity", F.round("similarity", 6))
+
+
+def _bulk_balances(spark, d):
+    opened = ledger.with_opening(control.ledger_events(spark, d, bulk=True), control.ledger_users(spark, d))
+    return ledger.closing_balances(ledger.any_cost_ledger(opened)).select("user_id", "balance")
+
+
 def _document_pages(spark, d):
     return tenants.document_pages(views.vectors(spark, d), offset=3)
 
@@ -172,6 +268,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hybrid_rrf": _hybrid(False),
         "hybrid_rrf_filtered": _hybrid(True),
         "search_all_modes": _hybrid(True, every_mode=True),
+        "vector_topk_blocks": _vector_blocks,
+        "text_rank_shuffled": _text_shuffled,
+        "dashboard_search": _dashboard,
+        "search_router": _router,
+        "approximate_topk": _approximate,
+        "trigram_similarity": _trigrams,
         "tenant_counts": lambda s, d: tenants.tenant_counts(views.vectors(s, d)),
         "database_inventory": lambda s, d: tenants.database_inventory(control.databases(s, d), views.vectors(s, d)),
         "document_pages": _document_pages,
@@ -191,6 +293,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "credit_ledger": _ledger,
         "closing_balances": lambda s, d: ledger.closing_balances(_ledger(s, d)),
         "database_request_counts": _request_counts,
+        "bulk_closing_balances": _bulk_balances,
+        "transactions_listing": lambda s, d: tenants.list_transactions(control.stored_transactions(s, d)),
         "usage_daily": _usage(False),
         "usage_upserted": _usage(True),
         "usage_retained": _usage(True, retained=True),
@@ -200,6 +304,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latency_summary": _latency,
         "ingest_rows": _ingest(0),
         "ingest_rejected": _ingest(1),
+        "ingest_embedded": _embedded,
+        "image_ingest": _images,
+        "stream_usage": _stream_usage,
+        "stream_ledger": _stream_ledger,
+        "stream_verification": _stream_verification,
     }
 
     def configured(run):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtures.views import minutes_after, owner_region, table
+from fixtures.views import doc_queries, minutes_after, owner_region, table
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("owner", (1000 + F.col("user_id")).cast("int"))
 
 
+def one_line_base64(text) -> F.Column:
+    return F.regexp_replace(F.base64(text.cast("binary")), "[\r\n]", "")
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         (1000 + F.col("c_custkey")).cast("int").alias("id"),
@@ -135,9 +139,13 @@ def ledger_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_events(spark: SparkSession, sf_dir: str, bulk: bool = False) -> DataFrame:
     """Purchases grant, everything else charges (one credit, or 1-3 in bulk)."""
+    return ledger_of(_events(spark, sf_dir), bulk)
+
+
+def ledger_of(events: DataFrame, bulk: bool = False) -> DataFrame:
     e = F.col("event_id")
     cost = -(1 + e % 3) if bulk else F.lit(-1).cast("long")
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.col("owner").alias("user_id"), "event_id", "ts",
         F.when(F.col("event_type") == "purchase", 1 + e % 5).otherwise(cost).alias("delta"),
     )
@@ -150,7 +158,11 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(
+    return usage_of(_events(spark, sf_dir))
+
+
+def usage_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.col("owner").alias("user_id"), "ts", (1 + F.col("event_id") % 3).alias("count")
     )
 
@@ -182,14 +194,22 @@ def moderation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("event_type = 'signup'").select(
+    return codes_of(_events(spark, sf_dir))
+
+
+def codes_of(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'signup'").select(
         F.col("event_id").alias("code_id"), F.col("owner").cast("string").alias("email"),
         (1000 + F.col("event_id") % 2).cast("smallint").alias("code"), F.col("ts").alias("issued_at"),
     )
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("event_type = 'click'").select(
+    return attempts_of(_events(spark, sf_dir))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'click'").select(
         F.col("event_id").alias("attempt_id"), F.col("owner").cast("string").alias("email"),
         (1000 + F.col("event_id") % 2).cast("smallint").alias("code"), F.col("ts").alias("attempted_at"),
     )
@@ -200,7 +220,7 @@ def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(
         F.col("event_id").alias("request_id"),
         F.concat((1000 + F.col("user_id") % 2).cast("string"), F.lit("-docs")).alias("tenant"),
-        F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("vector_id"),
+        F.concat(F.when(F.col("event_type") == "error", "gone").otherwise("d"), F.col("user_id").cast("string")).alias("vector_id"),
     )
 
 
@@ -216,3 +236,49 @@ def insert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 9 == 0, "mars").otherwise(owner_region(1000 + d % 2)).alias("region"),
         "text", metadata.alias("metadata"),
     )
+
+
+def image_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base64 payloads made of the raw pages, every seventh one damaged."""
+    payload = one_line_base64(F.col("html"))
+    p = F.col("page_id")
+    return table(spark, sf_dir, "pages").select(
+        p.alias("request_id"), (1000 + p % 2).cast("int").alias("user_id"), F.lit("images").alias("database"),
+        owner_region(1000 + p % 2).alias("region"),
+        F.when(p % 7 == 0, F.concat(F.lit("?"), payload)).otherwise(payload).alias("image"),
+        F.to_json(F.struct("url")).alias("metadata"),
+    )
+
+
+def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored transaction per purchase, as the listing reads them."""
+    return _events(spark, sf_dir).where("event_type = 'purchase'").select(
+        F.concat(F.lit("txn-"), F.col("event_id").cast("string")).alias("transaction_id"),
+        F.col("owner").alias("user_id"), F.col("ts").alias("created_at"),
+    )
+
+
+def dashboard_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per embedding a lookup by id, by the text of its document, or by its vector."""
+    asked = doc_queries(spark, sf_dir).drop("wanted", "page", "limit")
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    kind = F.col("label") % 3
+    return asked.join(labels, "query_id").select(
+        "query_id", "tenant",
+        F.when(kind == 0, "id").when(kind == 1, "text").otherwise("image").alias("search_type"),
+        F.when(kind == 0, F.concat(F.lit("d"), F.col("query_id").cast("string"))).otherwise(F.col("text")).alias("data"),
+        "vector",
+    )
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search requests before embedding: documents' openings, some with an image."""
+    asked = doc_queries(spark, sf_dir).select("query_id", "text")
+    q = F.col("query_id")
+    is_image = q % 2 == 0
+    return asked.select(
+        "query_id", F.concat((1000 + q % 2).cast("string"), F.when(is_image, "-images").otherwise("-docs")).alias("tenant"),
+        F.when(is_image, "image").otherwise("text").alias("db_type"),
+        F.when(q % 5 != 0, F.col("text")).alias("text"),
+        F.when(q % 3 == 0, one_line_base64(F.col("text"))).alias("image"),
+    )

@@ -202,7 +202,7 @@ CONTROL = {
     "attempts": "SELECT event_id AS attempt_id, owner::VARCHAR AS email, (1000 + event_id % 2)::SMALLINT AS code, ts AS tried_at FROM ev WHERE event_type = 'click'",
     "tried": "SELECT *, lag(tried_at) OVER (PARTITION BY email, code ORDER BY tried_at, attempt_id) AS previous FROM attempts",
     "vectors": VIEWS["vectors"],
-    "deletes": "SELECT event_id AS request_id, (1000 + user_id % 2) || '-docs' AS tenant, 'd' || user_id AS vector_id FROM events",
+    "deletes": "SELECT event_id AS request_id, (1000 + user_id % 2) || '-docs' AS tenant, CASE event_type WHEN 'error' THEN 'gone' ELSE 'd' END || user_id AS vector_id FROM events",
     "db_requests": f"""
     SELECT event_id AS request_id, owner AS owner_id, ts,
            lower(CASE event_type WHEN 'view' THEN 'DOCS' WHEN 'click' THEN 'Clicks' WHEN 'signup' THEN '' ELSE 'Db' || event_id % 5 END) AS name,
@@ -246,8 +246,63 @@ def _quantile(parts: int, i: int) -> str:
     )
 
 
+_DASHBOARD_QUERIES = """
+    SELECT vec_id AS query_id, (1000 + vec_id % 2) || '-docs' AS tenant, NULL AS wanted, label % 3 AS kind,
+           CASE WHEN label % 3 <> 1 THEN '' ELSE CASE label WHEN 3 THEN '  ' WHEN 5 THEN '?! --'
+                WHEN 7 THEN 'zzzqx nohit' WHEN 8 THEN 'the and th'
+                ELSE concat_ws(' ', w[1], w[2], left(w[3], 2)) END END AS text,
+           embedding AS vector, 1 AS page, CASE WHEN label % 3 = 1 THEN 3 ELSE 10 END AS lim
+    FROM own_words WHERE label % 3 <> 0"""
+
+_GRAMS = r"""
+    SELECT DISTINCT k, ('  ' || w || ' ')[i:i+2] AS g FROM (
+        SELECT k, w, unnest(range(1, len(w) + 2)) AS i FROM (
+            SELECT {0} AS k, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM {1}))"""
+
+_BULK = """
+    SELECT owner AS user_id, any_value(id % 4)::BIGINT AS opening,
+           list(CASE WHEN event_type = 'purchase' THEN 1 + event_id % 5 ELSE -(1 + event_id % 3) END ORDER BY ts, event_id) AS deltas
+    FROM ev JOIN users ON id = owner GROUP BY owner"""
+
+
 def oracle() -> dict[str, str]:
+    made = _oracle()
+    # The same results by another physical route.
+    made["vector_topk_blocks"] = made["vector_topk"]
+    made["text_rank_shuffled"] = made["text_rank"]
+    made["stream_usage"] = made["usage_daily"]
+    made["stream_ledger"] = made["credit_ledger"]
+    made["stream_verification"] = made["verification_outcomes"]
+    return made
+
+
+def _oracle() -> dict[str, str]:
     return {
+        "dashboard_search": _with(
+            _SEARCH_VIEWS,
+            _SEARCH.format(keep="true") + """
+            UNION ALL SELECT e.vec_id, 1, v.vector_id, v.content, v.metadata, NULL FROM embeddings e
+            JOIN vectors v ON v.tenant = (1000 + e.vec_id % 2) || '-docs' AND v.vector_id = 'd' || e.vec_id WHERE e.label % 3 = 0""",
+            raw_queries=_DASHBOARD_QUERIES,
+        ),
+        "trigram_similarity": f"""WITH d AS ({_GRAMS.format('doc_id', 'documents')}), b AS ({_GRAMS.format('item_id', 'benchmark')}),
+            dn AS (SELECT k, count(*) AS n FROM d GROUP BY k), bn AS (SELECT k, count(*) AS n FROM b GROUP BY k)
+            SELECT query_id, id, round(similarity, 6) AS similarity FROM (
+                SELECT b.k AS query_id, d.k AS id,
+                       count(*) / (any_value(bn.n) + any_value(dn.n) - count(*)) AS similarity
+                FROM b JOIN d ON b.g = d.g JOIN dn ON dn.k = d.k JOIN bn ON bn.k = b.k GROUP BY ALL)
+            WHERE similarity >= 0.3""",
+        "bulk_closing_balances": _control(
+            "users ev",
+            f"""SELECT user_id, list_reduce(list_prepend(opening, deltas),
+                lambda b, d: CASE WHEN d < 0 AND b + d < 0 THEN b ELSE b + d END)::BIGINT AS balance FROM ({_BULK})""",
+        ),
+        "transactions_listing": _control(
+            "ev", """SELECT 'txn-' || event_id AS transaction_id, owner AS user_id, ts AS created_at
+            FROM ev WHERE event_type = 'purchase'""",
+        ),
+        "image_ingest": """SELECT (1000 + page_id % 2) || '-images' AS tenant, page_id AS request_id
+            FROM pages WHERE page_id % 7 <> 0""",
         "vector_topk": _with(_VECTOR_VIEWS, _VECTOR_ALL),
         "vector_topk_filtered": _with(_VECTOR_VIEWS, _VECTOR_ALL, filtered=True),
         "text_rank": _with(

@@ -42,8 +42,12 @@ def any_empty(*columns: Column) -> Column:
 
 
 def decode_base64(text: Column) -> Column:
-    """Bytes of strict base64 text, NULL when it is not."""
-    strict = text.rlike(r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    """Bytes of strict base64 text, NULL when it is not.
+
+    Strict means whole groups of four, no line breaks, and no stray bits in
+    front of the padding.
+    """
+    strict = text.rlike(r"\A[A-Za-z0-9+/]*([AQgw]==|[AEIMQUYcgkosw048]=)?\z") & (F.length(text) % 4 == 0)
     return F.when(strict, F.try_to_binary(text, F.lit("base64")))
 
 

@@ -19,6 +19,7 @@ from rankloom.session import BROADCAST_ROWS, spread
 # Prefixes up to this length are exact join keys; longer ones are verified.
 PREFIX_KEY = 12
 FILTER_BITS = "filter_bits"
+SALTS = 16
 
 
 def slots_of(searches: DataFrame) -> DataFrame:
@@ -82,6 +83,15 @@ def filter_passes() -> Column:
     return (F.col("filter_bit") < 0) | bit
 
 
+def _salted(by_document: DataFrame) -> DataFrame:
+    """Spread the rows of a frequent word of a big tenant by document."""
+    return by_document.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+
+
+def _every_salt(words: DataFrame) -> DataFrame:
+    return words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def word_hits(
     terms: DataFrame, slots: DataFrame, small: bool, widths: list[int]
 ) -> DataFrame:
@@ -102,11 +112,7 @@ def word_hits(
         vocabulary = terms.groupBy("tenant", "term").agg(F.count(F.lit(1)).alias("n"))
         expanded = _keyed(vocabulary, widths).join(wanted, match)
         expanded = expanded.where(verified).select("tenant", "term", "key", "is_prefix")
-        # A frequent word of a big tenant spreads over the salts.
-        salts = 16
-        salted = expanded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread_out = terms.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        hits = spread_out.join(salted, ["tenant", "term", "_salt"])
+        hits = _salted(terms).join(_every_salt(expanded), ["tenant", "term", "_salt"])
     return hits.select("tenant", "id", *carried, "key", "is_prefix", "pos")
 
 
@@ -117,16 +123,19 @@ def match_all(hits: DataFrame, slots: DataFrame, small: bool) -> DataFrame:
     its size. With few slots the word hits are shuffled once, by document:
     postings, the broadcast join with the slots, the (query, document) groups
     and the ranking windows all keep that partitioning. Otherwise postings meet
-    the slots by word, where a hot word is split at run time.
+    the slots by word, with every word spread over the salts.
     """
     carried = [c for c in (FILTER_BITS,) if c in hits.columns]
     key = ["tenant", "key", "is_prefix"]
     if small:
-        hits, slots = hits.repartition("id"), F.broadcast(slots)
+        hits = hits.repartition("id")
     postings = hits.groupBy("id", *key, *carried).agg(
         F.sort_array(F.collect_list("pos")).alias("positions")
     )
-    pairs = postings.join(slots, key)
+    if small:
+        pairs = postings.join(F.broadcast(slots), key)
+    else:
+        pairs = _salted(postings).join(_every_salt(slots), [*key, "_salt"])
     if carried and "filter_bit" in pairs.columns:
         pairs = pairs.where(filter_passes())
     grouped = pairs.groupBy("query_id", "id").agg(

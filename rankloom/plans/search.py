@@ -24,6 +24,9 @@ from rankloom.operators.topk import page
 from rankloom.plans.filters import bind_filters, distinct_filters, filter_matches
 from rankloom.session import BROADCAST_ROWS
 
+# Rows of a few numbers each: well under 100 MB.
+BROADCAST_WINNERS = 1_000_000
+
 RESULT = ["query_id", "rank", "vector_id", "content", "metadata", "score", "score_pct"]
 
 
@@ -59,6 +62,7 @@ class Asked:
     head: pa.Table | None
     small: bool  # its rows may be broadcast
     few_words: bool  # its words may be broadcast
+    few_winners: bool  # so may all rows its pages can hold
     widths: list[int]  # lengths of its prefix keys, at most PREFIX_KEY of them
 
     @classmethod
@@ -70,16 +74,25 @@ class Asked:
         else:
             prepared = prepared.sparkSession.createDataFrame(head, schema=prepared.schema)
         if head is None:
-            rows, words, widths = prepared.agg(
+            rows, winners, words, widths = prepared.agg(
                 F.count(F.lit(1)),
+                F.coalesce(F.sum("limit"), F.lit(0)),
                 F.coalesce(F.sum(F.size("slots")), F.lit(0)),
                 F.collect_set(prefix_width(F.col("slots"))),
             ).first()
         else:
             slots = head.column("slots").to_pylist()
             rows, words = head.num_rows, sum(map(len, slots))
+            winners = pc.sum(head.column("limit")).as_py() or 0
             widths = {min(len(s[-1]["term"]), PREFIX_KEY) for s in slots if s}
-        return cls(prepared, head, rows <= BROADCAST_ROWS, words <= BROADCAST_ROWS, sorted(widths))
+        return cls(
+            prepared,
+            head,
+            small=rows <= BROADCAST_ROWS,
+            few_words=words <= BROADCAST_ROWS,
+            few_winners=winners <= BROADCAST_WINNERS,
+            widths=sorted(widths),
+        )
 
     def filtered(self, corpus: DataFrame) -> tuple[DataFrame, Asked]:
         """Corpus and queries with matching filter columns (see `bind_filters`)."""
@@ -105,9 +118,9 @@ def _paged(corpus: DataFrame, found: DataFrame, asked: Asked, order) -> DataFram
     small = asked.small
     bounds = asked.df.select("query_id", "tenant", "offset", "limit")
     winners = page(found.join(F.broadcast(bounds) if small else bounds, "query_id"), order)
-    # At most 100 winners per query: with few queries they go to the corpus,
-    # which is then read in place; otherwise both sides meet by tenant and id.
-    winners = F.broadcast(winners) if small else winners
+    # The pages' limits bound the winners: few of them go to the corpus, which is
+    # then read in place; otherwise both sides meet by tenant and id.
+    winners = F.broadcast(winners) if asked.few_winners else winners
     documents = corpus.select("tenant", "id", "vector_id", "content", "metadata")
     return (
         documents.join(winners, ["tenant", "id"])
@@ -146,8 +159,14 @@ def _text_leg(corpus: DataFrame, bound: DataFrame, asked: Asked, terms: DataFram
     )
 
 
-def text_search(corpus: DataFrame, queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``query_id, id, rank, trank``: the text leg alone, to its candidate depth."""
+def text_search(
+    corpus: DataFrame, queries: DataFrame, terms: DataFrame | None = None
+) -> DataFrame:
+    """``query_id, id, rank, trank``: the text leg alone, to its candidate depth.
+
+    With ``terms`` (a stored index, or `corpus_tokens`) words are joined and
+    shuffled; without, documents are scanned in place while searches are few.
+    """
     bound, asked = Asked.of(queries).filtered(corpus)
     return _text_leg(corpus, bound, asked, terms)
 

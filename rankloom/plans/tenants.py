@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.cleaning import any_empty, key_hash, known_region, tenant_key
 from rankloom.operators.topk import first_per_key, newest
 from rankloom.schema import KEYS_PER_OWNER, STARTER_CREDITS
+from rankloom.session import BROADCAST_ROWS
 
 # Control tables are joined without hints: Spark broadcasts them when their
 # size allows and otherwise splits hot keys at run time (skew join).
@@ -112,12 +113,19 @@ def document_page(corpus: DataFrame, tenant: str, offset: int = 0, limit: int =
 
 
 def document_pages(corpus: DataFrame, offset: int = 0, limit: int = 5) -> DataFrame:
-    """The same listing page for every tenant at once."""
+    """The same listing page for every tenant at once.
+
+    Positions are found on narrow rows; with a bounded number of tenants the
+    few kept ones go to the corpus, which is then read in place.
+    """
     w = Window.partitionBy("tenant").orderBy(F.col("created_at").desc_nulls_first(), "id")
     slim = corpus.select("tenant", "id", "created_at")
     ranked = slim.withColumn("position", F.row_number().over(w).cast("long"))
     kept = ranked.where((F.col("position") <= offset + limit) & (F.col("position") > offset))
     kept = kept.drop("created_at")
+    tenants = corpus.select("tenant").distinct().limit(BROADCAST_ROWS // max(limit, 1) + 1).count()
+    if tenants * limit <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
     documents = corpus.select("tenant", "id", "vector_id", "content", "metadata", "created_at")
     return documents.join(kept, ["tenant", "id"]).drop("id")
 
@@ -146,9 +154,12 @@ def list_api_keys(api_keys: DataFrame, user_id: int | None = None) -> DataFrame:
     return rows.select("owner_id", "name", "created_at")
 
 
-def list_transactions(transactions: DataFrame, user_id: int) -> DataFrame:
-    mine = transactions.where(F.col("user_id") == user_id)
-    return mine.orderBy(F.col("created_at").desc_nulls_first(), "transaction_id")
+def list_transactions(transactions: DataFrame, user_id: int | None = None) -> DataFrame:
+    """Newest first, of one user or of all users in turn."""
+    newest_first = [F.col("created_at").desc_nulls_first(), F.col("transaction_id")]
+    if user_id is None:
+        return transactions.orderBy("user_id", *newest_first)
+    return transactions.where(F.col("user_id") == user_id).orderBy(*newest_first)
 
 
 def list_usage(usage: DataFrame, user_id: int) -> DataFrame:

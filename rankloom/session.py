@@ -59,27 +59,31 @@ def build_session(app: str = "rankloom", master: str | None = None, **conf) -> S
     return configure(builder.getOrCreate())
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session names
-    none (local tests) is a scratch folder used.
+    Only when the session names none (local tests) is a scratch folder used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if context.applicationId not in _scratch:
+            _scratch[context.applicationId] = tempfile.mkdtemp(prefix="rankloom-shared-")
+        folder = _scratch[context.applicationId]
+    return folder.rstrip("/")
+
 
+_scratch: dict[str, str] = {}
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

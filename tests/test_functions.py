@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import json
 from datetime import datetime
 
@@ -55,8 +56,10 @@ def test_strict_int_and_rfc3339(spark):
 
 
 def test_base64_and_required_fields(spark):
-    got = values(spark, [("aGk=",), ("aGk",), ("!!!!",), ("",)], "t string", v=cleaning.decode_base64(F.col("t")))
-    assert [r["v"] for r in got] == [b"hi", None, None, b""]
+    long = base64.b64encode(b"x" * 100_000).decode()
+    rows = [("aGk=",), ("aGk",), ("!!!!",), ("",), ("aGl=",), ("aGk=\n",), ("aG\nk=",), (long,)]
+    got = values(spark, rows, "t string", v=cleaning.decode_base64(F.col("t")))
+    assert [r["v"] for r in got] == [b"hi", None, None, b"", None, None, None, b"x" * 100_000]
     rows = [("a", None), ("", "b"), ("a", "b")]
     got = values(spark, rows, "a string, b string", v=cleaning.any_empty(F.col("a"), F.col("b")))
     assert [r["v"] for r in got] == [False, True, False]

@@ -222,3 +222,27 @@ def test_approximate_search_reports_its_recall(spark, vectors):
     assert ann.recall(exact, everything).first().recall == 1.0
     some = ann.recall(exact, ann.probe(celled, asked, centres, probes=2)).first().recall
     assert 0.3 < some <= 1.0
+
+
+def test_trigram_similarity_equals_brute_force(spark):
+    from rankloom.operators.trigram import trigram_similarity
+
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in text.lower().split() for i in range(len(w) + 1)}
+
+    rng = random.Random(4)
+    words = ["red", "reddish", "rod", "cat", "catalog", "dog", "x"]
+    docs = [(i, f"t{i % 2}", " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(80)]
+    asked = [(q, f"t{q % 2}", " ".join(rng.choices(words, k=rng.randint(0, 4)))) for q in range(20)]
+    corpus = spark.createDataFrame(docs, "id long, tenant string, content string")
+    queries = spark.createDataFrame(asked, "query_id long, tenant string, text string")
+    for threshold in (0.3, 0.8, 1.0):
+        want = set()
+        for q, t, text in asked:
+            for d, tenant, content in docs:
+                a, b = grams(text), grams(content)
+                if t == tenant and a and b and len(a & b) / len(a | b) >= threshold:
+                    want.add((q, d, round(len(a & b) / len(a | b), 9)))
+        got = trigram_similarity(corpus, queries, threshold).collect()
+        assert len(got) == len(want)
+        assert {(r.query_id, r.id, round(r.similarity, 9)) for r in got} == want
