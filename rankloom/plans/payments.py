@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.cleaning import first_of, rfc3339, strict_int
 from rankloom.operators.topk import first_per_key
 from rankloom.schema import PAYMENT_EVENT
+from rankloom.session import spread
 
 COMPLETED, FAILED = "transaction.completed", "transaction.payment_failed"
 
@@ -27,7 +28,8 @@ def parse_events(raw: DataFrame, column: str = "payload") -> DataFrame:
     when the event is well formed) to the remaining input columns.
     """
     event = F.from_json(F.col(column), PAYMENT_EVENT)
-    parsed = raw.withColumn("_e", event).where(F.col("_e.event_type").isin(COMPLETED, FAILED))
+    # A generator keeps the filter above it, so each payload is parsed once.
+    parsed = raw.withColumn("_e", F.explode(F.array(event))).where(F.col("_e.event_type").isin(COMPLETED, FAILED))
     data = F.col("_e.data")
     price = first_of(data["items"])["price"]
     method = first_of(data["payments"])["method_details"]["type"]
@@ -101,7 +103,7 @@ def settle(
     """
     if policy not in ("first_wins", "completed_wins"):
         raise ValueError(f"unknown policy {policy}")
-    checked = check_references(parse_events(raw), users)
+    checked = check_references(parse_events(raw if raw.isStreaming else spread(raw)), users)
     good = checked.where("reject_reason IS NULL")
     order = [F.col(arrival)]
     if policy == "completed_wins":

@@ -93,4 +93,4 @@ def spread(df: DataFrame) -> DataFrame:
     of many files is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
