@@ -27,6 +27,13 @@ from rankloom.streaming import stateful  # noqa: E402
 from rankloom.streaming.run import drain_append, drain_updates  # noqa: E402
 from rankloom.streaming.usage import usage_stream  # noqa: E402
 
+try:
+    from rankloom.llm import registered as llm
+except ModuleNotFoundError as missing:  # the folder may have been taken away
+    if missing.name not in ("rankloom.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 _FOUND = ["query_id", "rank", "vector_id", "content", "metadata", "round(score, 6) AS score"]
 
 
@@ -311,6 +318,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_verification": _stream_verification,
     }
 
+    if llm:
+        registered |= llm.queries()
+
     def configured(run):
         return lambda spark, sf_dir: run(configure(spark), sf_dir)
 
@@ -319,4 +329,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same columns and values as the query of that name."""
-    return sql.oracle()
+    return sql.oracle() | (llm.oracle_sql() if llm else {})
