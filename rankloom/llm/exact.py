@@ -50,6 +50,8 @@ def absorb(spark: SparkSession, arrivals: str, schema, state: str) -> DataFrame:
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+        # Many small stores: without this each would hold some MB of empty log files.
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
     ):
         seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(
             availableNow=True
