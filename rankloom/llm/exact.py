@@ -19,6 +19,10 @@ from rankloom.llm.common import ascii_lower, run_folder, settings, stored, whole
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Groups are compared in so many parts: one for each SALTED_ROWS rows of the largest group.
+SALTED_ROWS, MOST_SALTS = 256, 64
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -100,13 +104,19 @@ def exact_groups(
 def _different(docs, held, id_col, text_col, digest, folder) -> DataFrame | None:
     """The digests whose rows are not all the same bytes; None if there are none.
 
-    The smallest and the largest text of a digest are equal only if all of them are, so
-    each task sends one pair of texts per digest, however many copies it has met.
+    The smallest and the largest text of a digest are equal only if all of them are. Large
+    groups are dealt to several tasks by a salt, and each gives one pair of texts.
     """
-    hits = held.where("group_size > 1").select("digest")
-    texts = docs.select(normalised(text_col).alias("body")).withColumn("digest", digest(F.col("body")))
-    compared = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(
-        F.min("body").alias("low"), F.max("body").alias("high"))
+    largest = held.agg(F.max("group_size")).collect()[0][0]
+    salts = max(1, min(MOST_SALTS, largest // SALTED_ROWS))
+    hits = held.where("group_size > 1").select(
+        "digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    texts = docs.select(
+        normalised(text_col).alias("body"), F.pmod(F.hash(id_col), F.lit(salts)).cast("int").alias("salt"))
+    texts = texts.withColumn("digest", digest(F.col("body")))
+    ends = (F.min("low").alias("low"), F.max("high").alias("high"))
+    compared = texts.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(
+        F.min("body").alias("low"), F.max("body").alias("high")).groupBy("digest").agg(*ends)
     found = stored(compared.where("low <> high").select("digest"), folder)
     return None if found.isEmpty() else found
 

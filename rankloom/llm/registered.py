@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact, sharding
-from rankloom.llm.common import documents
+from rankloom.llm import exact, pieces, sharding, simhash, tokencounts, tokenfiles, toxicity
+from rankloom.llm.common import documents, run_folder
+from rankloom.llm.encoders import LibraryEncoder, RankEncoder
+
+# The byte-level vocabulary leaves this id free: it ends documents in files to be counted.
+END_OF_DOCUMENT = 50256
+
+
+def _sentencepiece(spark, d):
+    model = pieces.Model.read(public_tokenizers.path("piece_bpe_32k.model"))
+    made = pieces.round_trip(documents(spark, d), model)
+    return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("exact").alias("decodes_exactly"))
+
+
+def _token_files(spark, d):
+    folder = run_folder(spark, "tokens")
+    encoder = LibraryEncoder.read(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenfiles.write_tokens(documents(spark, d), folder, encoder, end_id=0)
+    return tokenfiles.token_digests(spark, folder)
+
+
+def _toxicity(spark, d):
+    return toxicity.toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def _simhash(spark, d):
+    return simhash.near_groups(documents(spark, d))
+
+
+def _token_counts(spark, d):
+    folder = run_folder(spark, "flat")
+    encoder = RankEncoder.read(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokenfiles.write_tokens(documents(spark, d), folder, encoder, END_OF_DOCUMENT, ordered=False, offsets=False)
+    counted = tokencounts.separator_scan(spark, folder, END_OF_DOCUMENT)
+    return counted.join(tokencounts.document_order(spark, folder), ["part", "place"]).select("doc_id", "n_tokens")
 
 
 def _exact_dedup(spark, d):
@@ -22,7 +56,12 @@ def _sharding(spark, d):
 
 def queries():
     return {
+        "op1_sentencepiece": _sentencepiece,
+        "op2_token_files": _token_files,
+        "op3_toxicity": _toxicity,
         "op4_exact_dedup": _exact_dedup,
+        "op6_simhash": _simhash,
+        "op8_token_counts": _token_counts,
         "op10_sharding": _sharding,
     }
 
