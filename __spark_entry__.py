@@ -28,9 +28,9 @@ from rankloom.streaming.run import drain_append, drain_updates  # noqa: E402
 from rankloom.streaming.usage import usage_stream  # noqa: E402
 
 try:
-    from rankloom.llm import registered as llm
+    import rankloom.llm.registered as llm
 except ModuleNotFoundError as missing:  # the folder may have been taken away
-    if missing.name not in ("rankloom.llm", "corpus_pipeline"):
+    if missing.name not in ("rankloom.llm", "rankloom.llm.registered", "corpus_pipeline"):
         raise
     llm = None
 
