@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact, pieces, sharding, simhash, tokencounts, tokenfiles, toxicity
+from rankloom.llm import decontam, exact, linetemplates, pieces, sharding, simhash, tokencounts, tokenfiles, toxicity
 from rankloom.llm.common import documents, run_folder
 from rankloom.llm.encoders import LibraryEncoder, RankEncoder
 
@@ -54,6 +54,14 @@ def _sharding(spark, d):
     )
 
 
+def _decontamination(spark, d):
+    return decontam.contamination(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def _line_dedup(spark, d):
+    return linetemplates.drop_lines(documents(spark, d))
+
+
 def queries():
     return {
         "op1_sentencepiece": _sentencepiece,
@@ -61,7 +69,9 @@ def queries():
         "op3_toxicity": _toxicity,
         "op4_exact_dedup": _exact_dedup,
         "op6_simhash": _simhash,
+        "op7_decontamination": _decontamination,
         "op8_token_counts": _token_counts,
+        "op9_line_dedup": _line_dedup,
         "op10_sharding": _sharding,
     }
 
@@ -78,5 +88,51 @@ FROM rows JOIN groups USING (body)
 """
 
 
+_LINES = r"""
+WITH rows AS (
+    SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS body FROM documents
+), lines AS (
+    SELECT DISTINCT body, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM rows
+), parsed AS (
+    SELECT body, place, list_transform(
+        regexp_extract_all(line, '[^ \t\r]+'),
+        lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+    FROM lines
+), leafed AS (
+    SELECT body, place, tokens, array_to_string(tokens, ' ') AS masked,
+        len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf
+    FROM parsed WHERE len(tokens) > 0
+), recurring AS (
+    SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT body) >= 5)
+), kinds AS (
+    SELECT leaf, masked, any_value(tokens) AS tokens, count(DISTINCT body) AS n FROM recurring GROUP BY leaf, masked
+), spread AS (
+    SELECT leaf, masked, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS spot FROM kinds
+), shared AS (
+    SELECT leaf, spot, token, sum(n) AS held FROM spread GROUP BY leaf, spot, token HAVING sum(n) >= 5
+), marked AS (
+    SELECT s.leaf, s.masked, s.spot, CASE WHEN h.held IS NULL THEN '<*>' ELSE s.token END AS token
+    FROM spread s LEFT JOIN shared h ON s.leaf = h.leaf AND s.spot = h.spot AND s.token = h.token
+), templates AS (
+    SELECT leaf, masked, string_agg(token, ' ' ORDER BY spot) AS template FROM marked
+    GROUP BY leaf, masked HAVING avg(CASE WHEN token = '<*>' THEN 0.0 ELSE 1.0 END) >= 0.5
+), named AS (
+    SELECT body, place, leaf, template FROM recurring JOIN templates USING (leaf, masked)
+), dropped AS (
+    SELECT DISTINCT body, place FROM named JOIN (
+        SELECT leaf, template FROM named GROUP BY leaf, template HAVING count(DISTINCT body) >= 5
+    ) USING (leaf, template)
+), places AS (
+    SELECT body, list(place) AS places FROM dropped GROUP BY body
+)
+SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, coalesce(len(places), 0) AS n_dropped,
+    CASE WHEN places IS NULL THEN text ELSE array_to_string(list_transform(
+        list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(places, i)),
+        lambda i: string_split(text, chr(10))[i]), chr(10)) END AS kept_text
+FROM rows LEFT JOIN places USING (body)
+"""
+
+
 def oracle_sql():
-    return {"op4_exact_dedup": _EXACT}
+    return {"op4_exact_dedup": _EXACT, "op9_line_dedup": _LINES}
