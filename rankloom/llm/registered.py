@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontam, exact, linetemplates, pieces, sharding, simhash, tokencounts, tokenfiles, toxicity
+from rankloom.llm import decontam, exact, linetemplates, pieces, runindex, sharding, simhash, tokencounts, tokenfiles, toxicity
 from rankloom.llm.common import documents, run_folder
 from rankloom.llm.encoders import LibraryEncoder, RankEncoder
 
@@ -30,6 +30,13 @@ def _toxicity(spark, d):
     return toxicity.toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
+def _repeats(spark, d):
+    left = runindex.drop_repeats(documents(spark, d), length=200)
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _simhash(spark, d):
     return simhash.near_groups(documents(spark, d))
 
@@ -68,6 +75,7 @@ def queries():
         "op2_token_files": _token_files,
         "op3_toxicity": _toxicity,
         "op4_exact_dedup": _exact_dedup,
+        "op5_repeats": _repeats,
         "op6_simhash": _simhash,
         "op7_decontamination": _decontamination,
         "op8_token_counts": _token_counts,
