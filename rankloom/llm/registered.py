@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ def queries():
         "op8_token_counts": _token_counts,
         "op9_line_dedup": _line_dedup,
         "op10_sharding": _sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
