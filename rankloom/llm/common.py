@@ -38,6 +38,19 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def pieces_of(texts: list[str], most: int = 1 << 21):
+    """A list of texts in parts of about ``most`` letters, so that their words fit in memory."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def settings(spark: SparkSession, **values):
     """Session settings for the length of a ``with`` block."""
     return _Settings(spark, {k.replace("__", "."): v for k, v in values.items()})

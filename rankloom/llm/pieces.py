@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import whole_text
+from rankloom.llm.common import pieces_of, whole_text
 
 MARK = "▁"
 # The kinds of models and pieces in a SentencePiece file.
@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 # Fixed value: how far below the lowest score an unknown letter is.
 UNKNOWN_PENALTY = 10.0
 # Marked words and borders that a worker remembers at a time.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _WORD = re.compile(r" +[^ ]*")
 
 
@@ -202,6 +202,9 @@ class Segmenter:
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        return [ids for part in pieces_of(texts) for ids in self._encode_part(part)]
+
+    def _encode_part(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
             marked = text.replace(MARK, " ")
