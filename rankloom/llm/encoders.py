@@ -15,6 +15,8 @@ from pathlib import Path
 
 import numpy as np
 
+from rankloom.llm.common import pieces_of
+
 # What a task has built stays for the later tasks of its Python worker.
 _started: dict = {}
 
@@ -88,6 +90,9 @@ class LibraryEncoder:
                 cache.update(zip(part, library([lead + c for c in part])))
 
         def block(texts):
+            return [ids for part in pieces_of(texts) for ids in encode_part(part)]
+
+        def encode_part(texts):
             out = []
             plain = [t for t in texts if not (marker and marker.search(t))]
             split = iter([cut.split(t) if doubtful.search(t) else t.split(" ") for t in plain])
