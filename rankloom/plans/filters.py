@@ -64,9 +64,9 @@ def filter_matches(corpus: DataFrame, queries: DataFrame):
     """A predicate over ``query_id, id`` matches for filters that stayed data."""
 
     def allowed(matches: DataFrame) -> DataFrame:
-        wanted = queries.select("query_id", "filter")
-        docs = corpus.select("id", "metadata")
-        joined = matches.join(wanted, "query_id").join(docs, "id")
+        wanted = queries.select("query_id", "tenant", "filter")
+        docs = corpus.select("tenant", "id", "metadata")
+        joined = matches.join(wanted, "query_id").join(docs, ["tenant", "id"])
         passes = F.col("filter").isNull() | metadata_contains("metadata", "filter")
         return joined.where(passes).select(*matches.columns)
 

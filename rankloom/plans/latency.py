@@ -31,7 +31,9 @@ def latency_summary(
         F.min("_from").alias("_from"),
         F.max("_to").alias("_to"),
     )
-    joined = ranked.join(totals, group)
+    # A group of its own may be NULL.
+    totals = totals.withColumnRenamed(group, "_group")
+    joined = ranked.join(totals, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     n = F.col("n")
 
     def at_rank(rank: Column) -> Column:

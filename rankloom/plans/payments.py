@@ -105,10 +105,12 @@ def settle(
         raise ValueError(f"unknown policy {policy}")
     checked = check_references(parse_events(raw if raw.isStreaming else spread(raw)), users)
     good = checked.where("reject_reason IS NULL")
-    order = [F.col(arrival)]
+    # An event that was sent again is a row with a count; it stays one in what follows.
+    once = good.groupBy(*good.columns).agg(F.count(F.lit(1)).alias("_times"))
+    order = [F.col(arrival), *(F.col(c) for c in good.columns if c != arrival)]
     if policy == "completed_wins":
         order.insert(0, F.when(F.col("event_type") == COMPLETED, 0).otherwise(1))
-    accepted = first_per_key(good, ["transaction_id"], order)
+    accepted = first_per_key(once, ["transaction_id"], order).drop("_times")
     if transactions is not None:
         # Only the ids of this batch are looked up, and a small batch is
         # broadcast to the stored table instead of shuffling it.
@@ -116,7 +118,14 @@ def settle(
             accepted.select("transaction_id"), "transaction_id", "left_semi"
         )
         accepted = accepted.join(known, "transaction_id", "left_anti")
-    late = good.join(accepted.select(arrival), arrival, "left_anti")
+    # All other rows are late, and so is every repeat of an accepted one.
+    row = F.struct(*good.columns)
+    claimed = accepted.select("transaction_id", row.alias("_accepted"))
+    late = once.join(claimed, "transaction_id", "left").select(*good.columns, "_accepted", "_times")
+    own = F.col("_accepted").isNotNull() & row.eqNullSafe(F.col("_accepted"))
+    left = F.col("_times") - F.when(own, 1).otherwise(0)
+    copies = F.sequence(F.lit(1).cast("long"), left)
+    late = late.where(left > 0).withColumn("_copy", F.explode(copies)).drop("_copy", "_times", "_accepted")
     late = late.withColumn("reject_reason", F.lit("DuplicateTransaction"))
     return Settlement(accepted, checked.where("reject_reason IS NOT NULL").unionByName(late))
 

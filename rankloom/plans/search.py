@@ -150,8 +150,9 @@ def _text_leg(corpus: DataFrame, bound: DataFrame, asked: Asked, terms: DataFram
     elif "filter_bit" in asked.df.columns and terms is not None:
         # A stored word index carries no filter bits; look them up by id.
         def allowed(matches: DataFrame) -> DataFrame:
-            wanted, docs = asked.df.select("query_id", "filter_bit"), bound.select("id", "filter_bits")
-            joined = matches.join(wanted, "query_id").join(docs, "id")
+            wanted = asked.df.select("query_id", "tenant", "filter_bit")
+            docs = bound.select("tenant", "id", "filter_bits")
+            joined = matches.join(wanted, "query_id").join(docs, ["tenant", "id"])
             return joined.where(filter_passes()).select(*matches.columns)
 
     return text_candidates(

@@ -206,3 +206,27 @@ def test_cascade_listings_and_pages(spark):
     assert page == ["d7", "d6", "d5", "d4", "d2"]  # the undated row comes first of all
     paged = sorted((r.position, r.vector_id) for r in tenants.document_pages(corpus, offset=1).collect())
     assert [v for _, v in paged] == page
+
+
+def test_every_handled_payment_is_accepted_or_rejected(spark):
+    users = spark.createDataFrame([(1, "a@x", 5)], "id int, email string, credits int")
+    rows = [(i, event(id=f"t{i % 7}", items=[] if i == 3 else json.loads(event())["data"]["items"])) for i in range(20)]
+    once = spark.createDataFrame(rows, "event_id long, payload string")
+    # Sent again, under the same and under another event id.
+    raw = once.unionByName(once).unionByName(once.limit(5).withColumn("event_id", F.col("event_id") + 100))
+    raw = raw.unionByName(spark.createDataFrame([(0, event(id="t6"))], "event_id long, payload string"))
+    for policy in ("first_wins", "completed_wins"):
+        first, settled = payments.settle(once, users, policy=policy), payments.settle(raw, users, policy=policy)
+        assert settled.accepted.count() == first.accepted.count() == 7
+        assert settled.accepted.count() + settled.rejected.count() == raw.count() == 46
+    stored = spark.createDataFrame([("t1",), ("t2",)], "transaction_id string")
+    known = payments.settle(raw, users, stored)
+    assert known.accepted.count() == 5 and known.accepted.count() + known.rejected.count() == 46
+
+
+def test_latency_of_a_group_without_a_name(spark):
+    rows = [(None if i % 2 else "g", float(i), datetime(2024, 1, 1, 0, 0, i)) for i in range(40)]
+    samples = spark.createDataFrame(rows, "kind string, value double, ts timestamp_ntz")
+    for group_rows in (10**6, 5):
+        got = {r.kind: (r.n, r.min, r.max) for r in latency.latency_summary(samples, "kind", "value", "ts", group_rows).collect()}
+        assert got == {None: (20, 1.0, 39.0), "g": (20, 0.0, 38.0)}

@@ -246,3 +246,28 @@ def test_trigram_similarity_equals_brute_force(spark):
         got = trigram_similarity(corpus, queries, threshold).collect()
         assert len(got) == len(want)
         assert {(r.query_id, r.id, round(r.similarity, 9)) for r in got} == want
+
+
+def repeated_ids(spark):
+    """Ids 0-9 in two tenants each, with their own metadata."""
+    rows = [(i, t, f"{t}{i}", [1.0, i / 9], f"alpha beta{i} gamma", '{"p":%d}' % ((i + shift) % 3))
+            for t, shift in (("a", 0), ("b", 1)) for i in range(10)]
+    return spark.createDataFrame(
+        rows, "id long, tenant string, vector_id string, embedding array<float>, content string, metadata string")
+
+
+@pytest.mark.parametrize("stored_words", [False, True])
+@pytest.mark.parametrize("filters", [1, 70])
+def test_ids_that_tenants_share_stay_apart(spark, filters, stored_words):
+    corpus = repeated_ids(spark)
+    wanted = ['{"p":1}'] if filters == 1 else ['{"p":1}'] + ['{"q":%d}' % i for i in range(filters)]
+    rows = [(n, "ab"[n % 2], "gamma", [1.0, 0.2], w, 100) for n, w in enumerate(wanted)]
+    rows.append((1000, "b", "gamma", [1.0, 0.2], '{"p":1}', 100))
+    asked = spark.createDataFrame(
+        rows, "query_id long, tenant string, text string, vector array<float>, filter string, limit int")
+    terms = corpus_tokens(corpus) if stored_words else None
+    found = plans.search(corpus, asked, terms=terms).collect()
+    for query, tenant, shift in ((0, "a", 0), (1000, "b", 1)):
+        own = sorted(r.vector_id for r in found if r.query_id == query)
+        assert own == sorted(f"{tenant}{i}" for i in range(10) if (i + shift) % 3 == 1)
+    assert {r.query_id for r in found} == {0, 1000}

@@ -109,6 +109,14 @@ def test_payment_stream_equals_batch(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
     assert spark.read.parquet(bad).count() == batch.rejected.count()
 
+    # A new checkpoint goes on from what is stored: no row is lost, no id is taken twice.
+    later = stream.unionByName(stream.select((F.col("event_id") + 1000).alias("event_id"), F.lit(event(id="new")).alias("payload")))
+    query = tables.start_payments(later, lambda: users, out, bad, str(tmp_path / "another"))
+    query.awaitTermination(180)
+    assert query.exception() is None
+    got = [r.transaction_id for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {"new"}
+
 
 def event_items():
     import json
