@@ -20,7 +20,7 @@ SETTINGS = {
     # Word positions travel as compact arrays: small shuffles, a lot of work after.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Documents differ widely in length; blocks handed to Python are cut by size.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Every top-k in this package uses literal caps of at most 800.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     # JSON metadata follows the last-key-wins rule.
