@@ -138,7 +138,7 @@ def _stream_verification(spark, d):
 
 
 def _trigrams(spark, d):
-    docs = views.table(spark, d, "documents").select(
+    docs = views.spread(views.table(spark, d, "documents")).select(
         F.lit("all").alias("tenant"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
     asked = views.table(spark, d, "benchmark").select(
         F.lit("all").alias("tenant"), F.col("item_id").alias("query_id"), "text")

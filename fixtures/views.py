@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for the given tables, which are one small file each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def owner_region(owner) -> F.Column:
     return (
         F.when(owner % 3 == 0, "us-east").when(owner % 3 == 1, "us-west").otherwise("eu")
@@ -57,7 +63,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         minutes_after("2024-01-01 00:00:00", F.col("vec_id")).alias("created_at"),
         owner_region(image_owner).alias("region"),
     )
-    return text_rows.unionByName(image_rows)
+    return spread(text_rows.unionByName(image_rows))
 
 
 def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

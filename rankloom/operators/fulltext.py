@@ -14,7 +14,7 @@ from rankloom.functions.scores import MAX_CANDIDATES
 from rankloom.functions.text import query_slots, tokens
 from rankloom.operators.topk import top_per_query
 from rankloom.operators.wordscan import RANK_DIGITS, WEIGHT, word_scan
-from rankloom.session import BROADCAST_ROWS, spread
+from rankloom.session import BROADCAST_ROWS
 
 # Prefixes up to this length are exact join keys; longer ones are verified.
 PREFIX_KEY = 12
@@ -291,7 +291,7 @@ def text_candidates(
         else:
             searches, lead = distinct_rows(table)
             members = spark.createDataFrame(lead)
-        ranked = word_scan(_token_rows(spread(corpus), searches), searches)
+        ranked = word_scan(_token_rows(corpus, searches), searches)
     else:
         searches, members = distinct_texts(queries)
         slots = slots_of(searches)

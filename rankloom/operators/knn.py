@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.metadata import ContainmentCheck
 from rankloom.functions.scores import DISTANCE_THRESHOLD, MAX_CANDIDATES
 from rankloom.operators.blocks import HITS, HITS_ARROW, TopBuffer, by_tenant, filters_of, passing
+from rankloom.operators.scan import STATED_TENANTS, of_tenants
 from rankloom.operators.topk import top_per_query
-from rankloom.session import spread
 
 BROADCAST_QUERIES = 8192
 BROADCAST_BYTES = 64 << 20
@@ -118,13 +118,13 @@ def _scan(batches: Iterator[pa.RecordBatch], sets: dict, threshold):
 def _broadcast_scan(corpus: DataFrame, table: pa.Table, threshold) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(_query_sets(table))
     tenants = [t for t in pc.unique(table.column("tenant")).to_pylist() if t is not None]
-    if 0 < len(tenants) <= 100:
-        corpus = corpus.where(F.col("tenant").isin(tenants))
+    if 0 < len(tenants) <= STATED_TENANTS:
+        corpus = of_tenants(corpus, tenants)
 
     def run(batches):
         yield from _scan(batches, shared.value, threshold)
 
-    return spread(corpus).mapInArrow(run, HITS)
+    return corpus.mapInArrow(run, HITS)
 
 
 def _block_count(df: DataFrame, rows: int, name: str) -> DataFrame:
@@ -188,6 +188,8 @@ def knn(
     filters = {"filter_bit": "filter_bits", "filter": "metadata"}
     asked = [c for c in filters if c in queries.columns][:1]
     corpus = corpus.select("tenant", "id", "embedding", *[filters[c] for c in asked])
+    # Rows without a vector stay in the JVM.
+    corpus = corpus.where(F.col("embedding").isNotNull() & F.col("tenant").isNotNull())
     columns = ["query_id", "tenant", "vector", "candidates", *asked]
     queries = queries.select(*columns).where(
         F.col("vector").isNotNull() & F.col("tenant").isNotNull()

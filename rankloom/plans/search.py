@@ -20,6 +20,7 @@ from rankloom.functions.metadata import active_filter
 from rankloom.functions.text import is_hybrid, query_slots
 from rankloom.operators.fulltext import PREFIX_KEY, filter_passes, prefix_width, text_candidates
 from rankloom.operators.knn import BROADCAST_BYTES, BROADCAST_QUERIES, knn
+from rankloom.operators.scan import STATED_TENANTS, of_tenants
 from rankloom.operators.topk import page
 from rankloom.plans.filters import bind_filters, distinct_filters, filter_matches
 from rankloom.session import BROADCAST_ROWS
@@ -64,11 +65,12 @@ class Asked:
     few_words: bool  # its words may be broadcast
     few_winners: bool  # so may all rows its pages can hold
     widths: list[int]  # lengths of its prefix keys, at most PREFIX_KEY of them
+    tenants: list[str] | None = None  # whom it asks for, if they can be stated
 
     @classmethod
     def of(cls, queries: DataFrame) -> Asked:
         prepared = prepare(queries)
-        head = prepared.limit(BROADCAST_QUERIES + 1).toArrow()
+        head, tenants = prepared.limit(BROADCAST_QUERIES + 1).toArrow(), None
         if head.num_rows > BROADCAST_QUERIES or head.nbytes > BROADCAST_BYTES:
             head = None
         else:
@@ -85,6 +87,8 @@ class Asked:
             rows, words = head.num_rows, sum(map(len, slots))
             winners = pc.sum(head.column("limit")).as_py() or 0
             widths = {min(len(s[-1]["term"]), PREFIX_KEY) for s in slots if s}
+            named = sorted(t for t in pc.unique(head.column("tenant")).to_pylist() if t is not None)
+            tenants = named if len(named) <= STATED_TENANTS else None
         return cls(
             prepared,
             head,
@@ -92,8 +96,13 @@ class Asked:
             few_words=words <= BROADCAST_ROWS,
             few_winners=winners <= BROADCAST_WINNERS,
             widths=sorted(widths),
+            tenants=tenants,
         )
 
+    def narrowed(self, corpus: DataFrame) -> DataFrame:
+        """The part of the corpus that the queries can meet, for every scan of it."""
+        return corpus if self.tenants is None else of_tenants(corpus, self.tenants)
+
     def filtered(self, corpus: DataFrame) -> tuple[DataFrame, Asked]:
         """Corpus and queries with matching filter columns (see `bind_filters`)."""
         if "filter" not in self.df.columns:
@@ -137,6 +146,7 @@ def vector_search(
 ) -> DataFrame:
     """Nearest documents of each query's tenant, filtered, thresholded and paged."""
     asked = Asked.of(queries)
+    corpus = asked.narrowed(corpus)
     bound, narrowed = asked.filtered(corpus)
     hits = knn(bound, narrowed.df, threshold, strategy=strategy, table=narrowed.head)
     hits = hits.withColumn("score", scores.vector_score(F.col("dist")))
@@ -168,7 +178,9 @@ def text_search(
     With ``terms`` (a stored index, or `corpus_tokens`) words are joined and
     shuffled; without, documents are scanned in place while searches are few.
     """
-    bound, asked = Asked.of(queries).filtered(corpus)
+    asked = Asked.of(queries)
+    corpus = asked.narrowed(corpus)
+    bound, asked = asked.filtered(corpus)
     return _text_leg(corpus, bound, asked, terms)
 
 
@@ -187,6 +199,7 @@ def search(
 ) -> DataFrame:
     """Each query in its own mode: hybrid when it has text, by vector otherwise."""
     asked = Asked.of(queries)
+    corpus = asked.narrowed(corpus)
     bound, narrowed = asked.filtered(corpus)
     by_vector = knn(bound, narrowed.df, threshold, strategy=strategy, table=narrowed.head)
     by_text = _text_leg(corpus, bound, narrowed, terms)

@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.fulltext import corpus_tokens
+from rankloom.operators.scan import file_part
 
 TERM_BUCKETS = 256
+FILE_ROWS = 5_000_000
 
 
 def write_index(corpus: DataFrame, path: str, mode: str = "append", buckets: int = TERM_BUCKETS,
-                files: int = 1) -> None:
+                file_rows: int = FILE_ROWS) -> None:
     """Write ``tenant, id, pos, term`` in folders by term hash.
 
-    A frequent term is one folder, split over ``files`` files by document.
+    A folder gets one file for every ``file_rows`` of its words, so the words of a
+    frequent term are written by many tasks.
     """
     words = corpus_tokens(corpus.drop("filter_bits"))
     keyed = words.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    part = F.pmod(F.xxhash64("id"), F.lit(files))
+    part = file_part(keyed, ["term_bucket"], "id", file_rows)
     (
         keyed.repartition("term_bucket", part)
         .sortWithinPartitions("term_bucket", "tenant", "term", "id", "pos")
-        .write.mode(mode)
+        .write.mode(mode).option("maxRecordsPerFile", file_rows)
         .partitionBy("term_bucket")
         .parquet(path)
     )

@@ -13,6 +13,7 @@ from rankloom.operators.fulltext import corpus_tokens, text_candidates
 from rankloom.operators.knn import knn
 from rankloom.operators.topk import nearest
 from rankloom.plans import search as plans
+from rankloom.sources import corpus as store
 
 CORPUS = "id long, tenant string, vector_id string, embedding array<float>, content string, metadata string"
 
@@ -271,3 +272,26 @@ def test_ids_that_tenants_share_stay_apart(spark, filters, stored_words):
         own = sorted(r.vector_id for r in found if r.query_id == query)
         assert own == sorted(f"{tenant}{i}" for i in range(10) if (i + shift) % 3 == 1)
     assert {r.query_id for r in found} == {0, 1000}
+
+
+def test_every_scan_of_a_stored_corpus_is_pruned(spark, tmp_path):
+    rows = [(i, f"t{i % 9}", f"d{i}", [1.0, i / 90], f"common word{i}", "{}", ["common", f"word{i}"], 1.0, None, "eu") for i in range(90)]
+    corpus = spark.createDataFrame(
+        rows, "id long, tenant string, vector_id string, embedding array<float>, content string, metadata string, "
+        "tokens array<string>, norm double, created_at timestamp_ntz, region string")
+    # One tenant holds a third of all rows: its folder is cut into files by its size.
+    hot = corpus.withColumn("tenant", F.when(F.col("id") % 3 == 0, "t0").otherwise(F.col("tenant")))
+    store.write_corpus(hot, str(tmp_path / "c"), buckets=16, file_rows=10)
+    again = store.read_corpus(spark, str(tmp_path / "c"), buckets=16)
+    asked = spark.createDataFrame([(1, "t0", "common", [1.0, 0.2]), (2, "t4", "word4", [1.0, 0.2])],
+                                  "query_id long, tenant string, text string, vector array<float>")
+    found = plans.search(again, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) >= 3
+    assert all("PartitionFilters: []" not in s and "tenant_bucket" in s.split("PartitionFilters:")[1] for s in scans)
+    def key(df):
+        return {(r.query_id, r["rank"], r.vector_id) for r in df.collect()}
+    assert key(found) == key(plans.search(hot, asked))
+    files = hot.where("tenant = 't0'").count() / 10
+    assert again.where("tenant = 't0'").select(F.input_file_name().alias("f")).distinct().count() >= files / 2

@@ -141,7 +141,7 @@ def test_stored_word_index_gives_the_same_search(spark, tmp_path):
     corpus = spark.createDataFrame(
         [(i, f"t{i % 2}", f"d{i}", [1.0, i / 9], f"alpha beta{i} gamma alphabet", '{"p":%d}' % (i % 3)) for i in range(20)],
         "id long, tenant string, vector_id string, embedding array<float>, content string, metadata string")
-    write_index(corpus, str(tmp_path / "index"), buckets=4, files=2)
+    write_index(corpus, str(tmp_path / "index"), buckets=4, file_rows=30)
     asked = spark.createDataFrame(
         [(1, "t0", "gamma alph", [1.0, 0.2], None), (2, "t1", "beta", [1.0, 0.5], '{"p":1}')],
         "query_id long, tenant string, text string, vector array<float>, filter string")
@@ -160,9 +160,9 @@ def test_corpus_layout_and_file_loads(spark, tmp_path):
     texts = load_files(spark, str(folder), "text", 5, "docs", "eu", hashed_text_embedder(8))
     rows = {r.metadata: r for r in texts.collect()}
     assert rows['{"filename":"a.txt"}'].content == "hello\nworld"
-    store.write_corpus(texts, str(tmp_path / "corpus"), buckets=4, files=2)
-    again = store.read_corpus(spark, str(tmp_path / "corpus"))
-    assert store.scan_tenant(again, "5-docs", buckets=4).count() == 2
+    store.write_corpus(texts, str(tmp_path / "corpus"), buckets=4, file_rows=1)
+    again = store.read_corpus(spark, str(tmp_path / "corpus"), buckets=4)
+    assert store.scan_tenant(again, "5-docs").count() == 2
 
     @F.pandas_udf("string")
     def extract(data):
