@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fixtures import control, sql, views  # noqa: E402
 from rankloom.functions import models  # noqa: E402
-from rankloom.functions.text import one_line  # noqa: E402
+from rankloom.functions.metadata import contains  # noqa: E402
+from rankloom.functions.text import one_line, tokens  # noqa: E402
+from rankloom.functions.vectors import coerce_embedding, norm  # noqa: E402
 from rankloom.operators import ann  # noqa: E402
 from rankloom.operators.fulltext import corpus_tokens  # noqa: E402
 from rankloom.operators.trigram import trigram_similarity  # noqa: E402
@@ -21,9 +26,11 @@ from rankloom.plans import latency, ledger, moderation, payments, tenants, usage
 from rankloom.plans.search import (  # noqa: E402
     Asked, dashboard_search, hybrid_search, route, search, text_search, vector_search,
 )
-from rankloom.session import configure  # noqa: E402
+from rankloom.session import configure, shared_folder  # noqa: E402
 from rankloom.sources import corpus as store  # noqa: E402
-from rankloom.streaming import stateful  # noqa: E402
+from rankloom.sources import index  # noqa: E402
+from rankloom.streaming import stateful, tables  # noqa: E402
+from rankloom.streaming.ingest import start_ingest  # noqa: E402
 from rankloom.streaming.run import drain_append, drain_updates  # noqa: E402
 from rankloom.streaming.usage import usage_stream  # noqa: E402
 
@@ -86,11 +93,106 @@ def _router(spark, d):
     return search(views.vectors(spark, d), asked, threshold=None).selectExpr(*_FOUND)
 
 
-def _approximate(spark, d):
-    corpus, asked = views.vectors(spark, d), Asked.of(views.queries(spark, d)).df
-    centres = ann.train_cells(corpus, 16)
-    celled = ann.assign_cells(corpus.where("embedding IS NOT NULL"), centres)
-    return ann.probe(celled, asked, centres).select("query_id", "id", F.round("dist", 6).alias("dist"), "vrank")
+def _centres(spark, d):
+    """Every 31st embedding is the centre of a cell."""
+    given = views.table(spark, d, "embeddings").where("vec_id % 31 = 0").orderBy("vec_id").limit(4096)
+    return {64: ann.unit_rows(np.array([r.embedding for r in given.collect()], dtype=np.float64))}
+
+
+def _approximate(probes: int):
+    """Search through a stored index of cells; probing all of them is exact."""
+    def run(spark, d):
+        corpus, asked = views.vectors(spark, d), Asked.of(views.queries(spark, d)).df
+        centres, folder = _centres(spark, d), _folder(spark)
+        ann.write_cells(ann.assign_cells(corpus.select("tenant", "id", "embedding"), centres), folder)
+        found = ann.probe(spark.read.parquet(folder), asked, centres, probes)
+        return found.select("query_id", "id", F.round("dist", 6).alias("dist"), "vrank")
+    return run
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/fixture-{uuid.uuid4().hex}"
+
+
+def _stored_hybrid(spark, d):
+    """The flagship over a corpus that was written in its layout and read back."""
+    folder = _folder(spark)
+    rows = views.vectors(spark, d).withColumns({"tokens": tokens(F.col("content")), "norm": norm(F.col("embedding"))})
+    store.write_corpus(rows, folder)
+    return hybrid_search(store.read_corpus(spark, folder), views.queries(spark, d)).selectExpr(*_FOUND)
+
+
+def _text_index(filtered: bool):
+    def run(spark, d):
+        corpus, folder = views.vectors(spark, d), _folder(spark)
+        index.write_index(corpus, folder)
+        found = text_search(corpus, views.queries(spark, d, filtered), terms=index.read_index(spark, folder))
+        return found.select("query_id", "id", F.round("rank", 6).alias("rank"), "trank")
+    return run
+
+
+def _stream_of(spark, d, name):
+    return spark.readStream.schema(views.table(spark, d, name).schema).parquet(f"{d}/{name}*.parquet")
+
+
+def _finish(*running):
+    for query in running:
+        query.awaitTermination()
+
+
+def _stream_payments(spark, d):
+    folder = _folder(spark)
+    events = control.payment_events_of(_from_stream(spark, d, lambda e: e))
+    _finish(tables.start_payments(
+        events, lambda: control.users(spark, d), f"{folder}/rows", f"{folder}/bad", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/rows").select(*payments.TRANSACTION_COLUMNS)
+
+
+def _stream_search(spark, d):
+    folder = _folder(spark)
+    asked = views.doc_queries_of(_stream_of(spark, d, "embeddings"), views.table(spark, d, "documents")).drop("wanted")
+    _finish(tables.start_search(asked, lambda: views.vectors(spark, d), f"{folder}/rows", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/rows").selectExpr(*_FOUND)
+
+
+def _stream_ingest(spark, d):
+    folder = _folder(spark)
+    requests = control.insert_requests_of(_stream_of(spark, d, "documents"))
+    _finish(*start_ingest(
+        requests, models.hashed_text_embedder(8), f"{folder}/rows", f"{folder}/bad", f"{folder}/checkpoint",
+        vector_id=store.content_id(F.col("tenant"), F.col("content"))))
+    made = store.read_corpus(spark, f"{folder}/rows").withColumn("content", one_line(F.col("content")))
+    return made.select("tenant", "vector_id", "content", "metadata", "region")
+
+
+def _replayed(spark, d):
+    """Every event twice: each is accepted or rejected, once for every time it was sent."""
+    events = control.payment_events(spark, d)
+    settled = payments.settle(events.unionByName(events), control.users(spark, d))
+    accepted = settled.accepted.select("event_id", F.lit("").alias("reject_reason"))
+    return accepted.unionByName(settled.rejected.select("event_id", "reject_reason"))
+
+
+def _lookups(spark, d):
+    found = store.find_documents(views.vectors(spark, d), control.deletes(spark, d))
+    return found.select("request_id", "vector_id", F.md5(F.col("content").cast("binary")).alias("content"), "metadata")
+
+
+def _promoted(spark, d):
+    corpus = store.promote(views.vectors(spark, d), {"lang": "$.lang", "chars": "$.size.chars"})
+    return corpus.where("lang = 'de'").select("id", "lang", "chars")
+
+
+def _array_filters(spark, d):
+    docs = control.tagged(spark, d)
+    parsed = F.try_parse_json("metadata")
+    held = F.array(*(F.when(contains(parsed, json.loads(f)), F.lit(i)) for i, f in enumerate(control.TAG_FILTERS)))
+    return docs.select("id", F.explode(F.array_compact(held)).alias("filter"))
+
+
+def _coerced(spark, d):
+    shown = F.array_join(F.transform(coerce_embedding(F.col("text")), lambda x: x.cast("double").cast("string")), " ")
+    return control.embedding_texts(spark, d).select("vec_id", shown.alias("embedding"))
 
 
 def _embedded(spark, d):
@@ -98,7 +200,8 @@ def _embedded(spark, d):
         control.insert_requests(spark, d), models.hashed_text_embedder(64),
         vector_id=store.content_id(F.col("tenant"), F.col("content")),
     )
-    return rows.select("tenant", "vector_id", F.size("embedding").alias("width"), F.round("norm", 4).alias("norm"))
+    shown = F.array_join(F.transform("embedding", lambda x: F.format_number(x.cast("double"), 5)), " ")
+    return rows.select("tenant", "vector_id", shown.alias("embedding"))
 
 
 def _images(spark, d):
@@ -279,7 +382,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_rank_shuffled": _text_shuffled,
         "dashboard_search": _dashboard,
         "search_router": _router,
-        "approximate_topk": _approximate,
+        "approximate_topk": _approximate(4),
+        "approximate_all_cells": _approximate(1_000_000),
+        "stored_hybrid": _stored_hybrid,
+        "text_rank_index": _text_index(False),
+        "text_rank_filtered_index": _text_index(True),
+        "document_lookup": _lookups,
+        "promoted_fields": _promoted,
+        "array_filters": _array_filters,
+        "coerced_embeddings": _coerced,
         "trigram_similarity": _trigrams,
         "tenant_counts": lambda s, d: tenants.tenant_counts(views.vectors(s, d)),
         "database_inventory": lambda s, d: tenants.database_inventory(control.databases(s, d), views.vectors(s, d)),
@@ -294,6 +405,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "api_key_cap": _new_keys,
         "payments_etl": lambda s, d: payments.accepted_transactions(_settled(s, d)),
         "payments_quarantine": lambda s, d: _settled(s, d).rejected.select("event_id", "reject_reason"),
+        "payments_replayed": _replayed,
         "credit_grants": _grants,
         "users_after_grants": _after_grants,
         "customer_ids": _customer_ids,
@@ -302,6 +414,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "database_request_counts": _request_counts,
         "bulk_closing_balances": _bulk_balances,
         "transactions_listing": lambda s, d: tenants.list_transactions(control.stored_transactions(s, d)),
+        "api_keys_listing": lambda s, d: tenants.list_api_keys(control.api_keys(s, d)),
+        "usage_listing": lambda s, d: tenants.list_usage(control.existing_usage(s, d)).withColumn(
+            "usage_date", F.col("usage_date").cast("string")),
+        "user_credits": lambda s, d: tenants.user_credits(control.users(s, d)),
         "usage_daily": _usage(False),
         "usage_upserted": _usage(True),
         "usage_retained": _usage(True, retained=True),
@@ -313,6 +429,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_rejected": _ingest(1),
         "ingest_embedded": _embedded,
         "image_ingest": _images,
+        "stream_payments": _stream_payments,
+        "stream_search": _stream_search,
+        "stream_ingest": _stream_ingest,
         "stream_usage": _stream_usage,
         "stream_ledger": _stream_ledger,
         "stream_verification": _stream_verification,

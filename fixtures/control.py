@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtures.views import doc_queries, minutes_after, owner_region, table
+from fixtures.views import doc_queries, minutes_after, owner_region, spread, table
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,10 @@ def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payment_events_of(spread(_events(spark, sf_dir)))
+
+
+def payment_events_of(events: DataFrame) -> DataFrame:
     """`event_id, payload`: nested JSON with repeats, gaps and bad fields."""
     e, value = F.col("event_id"), F.col("value")
     kind = F.col("event_type")
@@ -128,7 +132,7 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 29 == 0, F.slice(payments, 1, 0)).otherwise(payments).alias("payments"),
     )
     payload = F.to_json(F.struct(event_type.alias("event_type"), data.alias("data")))
-    return _events(spark, sf_dir).select("event_id", payload.alias("payload"))
+    return events.select("event_id", payload.alias("payload"))
 
 
 def ledger_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,13 +229,17 @@ def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insert_requests_of(table(spark, sf_dir, "documents"))
+
+
+def insert_requests_of(documents: DataFrame) -> DataFrame:
     """Text inserts with every shape of metadata, some for an unknown region."""
     d = F.col("doc_id")
     metadata = (
         F.when(d % 5 == 0, F.lit(None).cast("string")).when(d % 5 == 1, "[1,2]").when(d % 5 == 2, "7")
         .when(d % 5 == 3, F.concat(F.lit('{"lang":"'), "lang", F.lit('"}'))).otherwise("{bad")
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         d.alias("request_id"), (1000 + d % 2).cast("int").alias("user_id"), F.lit("docs").alias("database"),
         F.when(d % 9 == 0, "mars").otherwise(owner_region(1000 + d % 2)).alias("region"),
         "text", metadata.alias("metadata"),
@@ -282,3 +290,20 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q % 5 != 0, F.col("text")).alias("text"),
         F.when(q % 3 == 0, one_line_base64(F.col("text"))).alias("image"),
     )
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with arrays in their metadata."""
+    d = F.col("doc_id")
+    tags = F.concat(F.lit('{"tags":["'), "lang", F.lit('",'), (d % 4).cast("string"), F.lit(',{"even":'), (d % 2 == 0).cast("string"), F.lit("}]}"))
+    return table(spark, sf_dir, "documents").select(d.alias("id"), tags.alias("metadata"))
+
+
+# Filters over the arrays of `tagged`, by number.
+TAG_FILTERS = ['{"tags":["en"]}', '{"tags":["de",1]}', '{"tags":[{"even":true},"fr"]}', '{"tags":[]}', '{"tags":["1"]}']
+
+
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON arrays as a model server returns them, with elements that are not numbers."""
+    parts = F.concat(F.lit('[1,"x",null,'), F.col("label").cast("string"), F.lit(",-2.5,true,[3]]"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", parts.alias("text"))

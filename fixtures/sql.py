@@ -246,6 +246,25 @@ def _quantile(parts: int, i: int) -> str:
     )
 
 
+# A vector is in the cell of the centre with the largest inner product; queries probe four.
+_CELLS = {
+    "centres": """
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell,
+           list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS c
+    FROM embeddings WHERE vec_id % 31 = 0""",
+    "cells": """
+    SELECT id, cell FROM (
+        SELECT v.id, c.cell, row_number() OVER (PARTITION BY v.id ORDER BY list_inner_product(v.embedding::DOUBLE[], c.c) DESC, c.cell) AS n
+        FROM vectors v, centres c WHERE v.embedding IS NOT NULL) WHERE n = 1""",
+    "probes": """
+    SELECT query_id, cell FROM (
+        SELECT q.query_id, c.cell, row_number() OVER (PARTITION BY q.query_id ORDER BY list_inner_product(q.vector::DOUBLE[], c.c) DESC, c.cell) AS n
+        FROM q, centres c WHERE q.vector IS NOT NULL) WHERE n <= 4""",
+    "pairs": VIEWS["pairs"].replace("WHERE v.embedding", "JOIN cells USING (id) JOIN probes p ON p.query_id = q.query_id AND p.cell = cells.cell WHERE v.embedding"),
+}
+
+_NEAR = "SELECT query_id, id, round(dist, 6) AS dist, vrank FROM vleg"
+
 _DASHBOARD_QUERIES = """
     SELECT vec_id AS query_id, (1000 + vec_id % 2) || '-docs' AS tenant, NULL AS wanted, label % 3 AS kind,
            CASE WHEN label % 3 <> 1 THEN '' ELSE CASE label WHEN 3 THEN '  ' WHEN 5 THEN '?! --'
@@ -270,6 +289,11 @@ def oracle() -> dict[str, str]:
     # The same results by another physical route.
     made["vector_topk_blocks"] = made["vector_topk"]
     made["text_rank_shuffled"] = made["text_rank"]
+    made["stored_hybrid"] = made["hybrid_rrf"]
+    made["text_rank_index"] = made["text_rank"]
+    made["text_rank_filtered_index"] = made["text_rank_filtered"]
+    made["stream_payments"] = made["payments_etl"]
+    made["stream_ingest"] = made["ingest_rows"]
     made["stream_usage"] = made["usage_daily"]
     made["stream_ledger"] = made["credit_ledger"]
     made["stream_verification"] = made["verification_outcomes"]
@@ -303,6 +327,39 @@ def _oracle() -> dict[str, str]:
         ),
         "image_ingest": """SELECT (1000 + page_id % 2) || '-images' AS tenant, page_id AS request_id
             FROM pages WHERE page_id % 7 <> 0""",
+        "payments_replayed": _control(
+            _PAYMENTS, """SELECT event_id, coalesce(reject_reason, '') AS reject_reason FROM settled
+            UNION ALL SELECT event_id, coalesce(reject_reason, 'DuplicateTransaction') FROM settled""",
+        ),
+        "stream_search": _with(_SEARCH_VIEWS, _SEARCH.format(keep="query_id < 1000000")),
+        "approximate_topk": _with(_VECTOR_VIEWS[:4] + ["centres", "cells", "probes", "pairs", "vleg"], _NEAR, **_CELLS),
+        "approximate_all_cells": _with(_VECTOR_VIEWS, _NEAR),
+        "document_lookup": _control(
+            "vectors deletes",
+            """SELECT request_id, v.vector_id, md5(v.content) AS content, v.metadata FROM deletes d
+            JOIN vectors v ON d.tenant = v.tenant AND d.vector_id = v.vector_id""",
+        ),
+        "promoted_fields": "SELECT doc_id AS id, lang, n_chars::VARCHAR AS chars FROM documents WHERE lang = 'de'",
+        "array_filters": """SELECT doc_id AS id, 0 AS filter FROM documents WHERE lang = 'en'
+            UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'de' AND doc_id % 4 = 1
+            UNION ALL SELECT doc_id, 2 FROM documents WHERE lang = 'fr' AND doc_id % 2 = 0
+            UNION ALL SELECT doc_id, 3 FROM documents""",
+        "coerced_embeddings": "SELECT vec_id, '1.0 0.0 0.0 ' || label || '.0 -2.5 0.0 0.0' AS embedding FROM embeddings",
+        "api_keys_listing": _control("users api_keys", "SELECT owner_id, name, created_at FROM api_keys"),
+        "usage_listing": _control(
+            "users prior_usage", "SELECT user_id, usage_date::VARCHAR AS usage_date, credits_used::BIGINT AS credits_used FROM prior_usage"),
+        "user_credits": _control("users", "SELECT id, credits FROM users"),
+        "ingest_embedded": _control(
+            "inserts",
+            r"""SELECT tenant, sha256(tenant || text) AS vector_id, array_to_string(list_transform(range(64), lambda i:
+                format('{:.5f}', (coalesce(list_sum(list_filter(parts, lambda p: p.i = i).list_transform(lambda p: p.s)), 0)::FLOAT::DOUBLE
+                    / greatest(size, 1e-30)::FLOAT::DOUBLE)::FLOAT::DOUBLE)), ' ') AS embedding
+            FROM (SELECT *, sqrt(coalesce((SELECT sum(t * t) FROM (SELECT sum(u.p.s) AS t FROM unnest(parts) u(p) GROUP BY u.p.i)), 0)) AS size
+                FROM (SELECT tenant, text, list_transform(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> ''),
+                    lambda w: {'i': (('0x' || left(md5('multilingual:' || w), 8))::UBIGINT % 64)::INT,
+                               's': CASE WHEN ('0x' || left(md5('multilingual:' || w), 8))::UBIGINT >= 2147483648 THEN 1 ELSE -1 END}) AS parts
+                    FROM inserts WHERE region <> 'mars'))""",
+        ),
         "vector_topk": _with(_VECTOR_VIEWS, _VECTOR_ALL),
         "vector_topk_filtered": _with(_VECTOR_VIEWS, _VECTOR_ALL, filtered=True),
         "text_rank": _with(

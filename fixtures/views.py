@@ -72,8 +72,11 @@ def doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     Labels vary the shape: no text, punctuation only, a word without hits, and
     different pages, limits and filters.
     """
-    e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select(
+    return doc_queries_of(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents"))
+
+
+def doc_queries_of(e: DataFrame, documents: DataFrame) -> DataFrame:
+    d = documents.select(
         F.col("doc_id").alias("vec_id"),
         F.array_remove(F.split("text", WORD_BREAK, 5), "").alias("words"),
     )

@@ -162,12 +162,14 @@ def list_transactions(transactions: DataFrame, user_id: int | None = None) -> Da
     return transactions.where(F.col("user_id") == user_id).orderBy(*newest_first)
 
 
-def list_usage(usage: DataFrame, user_id: int) -> DataFrame:
-    return usage.where(F.col("user_id") == user_id).select("usage_date", "credits_used")
+def list_usage(usage: DataFrame, user_id: int | None = None) -> DataFrame:
+    rows = usage if user_id is None else usage.where(F.col("user_id") == user_id)
+    return rows.select("user_id", "usage_date", "credits_used")
 
 
-def user_credits(users: DataFrame, user_id: int) -> DataFrame:
-    return users.where(F.col("id") == user_id).select("credits")
+def user_credits(users: DataFrame, user_id: int | None = None) -> DataFrame:
+    rows = users if user_id is None else users.where(F.col("id") == user_id)
+    return rows.select("id", "credits")
 
 
 def customer_ids(transactions: DataFrame) -> DataFrame:

@@ -295,3 +295,22 @@ def test_every_scan_of_a_stored_corpus_is_pruned(spark, tmp_path):
     assert key(found) == key(plans.search(hot, asked))
     files = hot.where("tenant = 't0'").count() / 10
     assert again.where("tenant = 't0'").select(F.input_file_name().alias("f")).distinct().count() >= files / 2
+
+
+def test_cells_of_every_width_prune_and_lose_nothing(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "t", [rng.gauss(0, 1) for _ in range(3 if i % 2 else 5 if i % 7 else 4)]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "id long, tenant string, embedding array<float>")
+    asked = spark.createDataFrame([(w, "t", [1.0] * w, 50) for w in (3, 4, 5, 6)],
+                                  "query_id long, tenant string, vector array<float>, candidates int")
+    centres = ann.train_cells(corpus, 6)
+    assert set(centres) == {3, 4, 5}
+    del centres[4]
+    ann.write_cells(ann.assign_cells(corpus, centres), str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    exact = {(r.query_id, r.id) for r in knn(corpus, asked, None).collect()}
+    every = ann.probe(stored, asked, centres, 6, None)
+    assert {(r.query_id, r.id) for r in every.collect()} == exact
+    some = ann.probe(stored, asked.where("query_id = 3"), centres, 2, None)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "cell" in plan.split("PartitionFilters:")[1].splitlines()[0]
