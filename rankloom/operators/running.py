@@ -19,10 +19,11 @@ def _combine(kind: str, before: Column, local: Column) -> Column:
     return F.least(before, local) if kind == "min" else F.greatest(before, local)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; a map-side combined count."""
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the biggest group and of all; a map-side combined count."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
 def running(
@@ -52,9 +53,12 @@ def running(
         added = {n: _AGGREGATE[kind](source).over(w) for n, (kind, source) in columns.items()}
         return part.withColumns(added)
 
-    if largest_group(df, keys) <= group_rows:
+    largest, total = group_sizes(df, keys)
+    if largest <= group_rows:
         return scan(df, keys)
-    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Chunks grow with the rows, so that a task's share does not.
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = chunks or max(usual, -(-total // group_rows))
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("_chunk", F.spark_partition_id())
     # The chunk number must not change between its two uses.
     ranged = durable(ranged)

@@ -230,3 +230,14 @@ def test_latency_of_a_group_without_a_name(spark):
     for group_rows in (10**6, 5):
         got = {r.kind: (r.n, r.min, r.max) for r in latency.latency_summary(samples, "kind", "value", "ts", group_rows).collect()}
         assert got == {None: (20, 1.0, 39.0), "g": (20, 0.0, 38.0)}
+
+
+def test_any_cost_ledger_of_users_who_can_always_pay(spark):
+    rows = [(u, u * 100 + i, at(i), 9 if i % 2 == 0 else -(1 + i % 5), 0 if u else 3) for u in range(4) for i in range(60)]
+    rows += [(9, 900 + i, at(i), -2 if i % 2 else 1, 1) for i in range(20)]
+    frame = spark.createDataFrame(rows, LEDGER)
+    want = {(r.event_id, r.balance, r.denied) for r in ledger._folded(frame).collect()}
+    for options in ({}, {"group_rows": 10, "chunks": 3}):
+        made = ledger.any_cost_ledger(frame, **options)
+        assert {(r.event_id, r.balance, r.denied) for r in made.collect()} == want
+    assert {r[2] for r in want} == {True, False}
