@@ -24,17 +24,25 @@ CONSTANT = 0.5
 FIELD = "<*>"
 
 
+def _masked(tokens):
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
+def _tokens(line: str):
+    return F.regexp_extract_all(line, F.lit(r"[^ \t\r]+"), F.lit(0))
+
+
 def parsed(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """Every line that has tokens: doc_id, body (a hash of its text), place, leaf, masked."""
+    """Every line that has tokens: doc_id, body (a hash of its text), place, line, leaf."""
     text = whole_text(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("body"),
         F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("tokens", F.regexp_extract_all("line", F.lit(r"[^ \t\r]+"), F.lit(0)))
-    rows = rows.where(F.size("tokens") > 0).withColumn(
-        "tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(F.slice("tokens", 1, depth), " "))
-    return rows.select("doc_id", "body", "place", leaf.alias("leaf"), F.array_join("tokens", " ").alias("masked"))
+    rows = rows.withColumn("tokens", _tokens("line")).where(F.size("tokens") > 0)
+    # Only the leading tokens are looked at here; the others are when the leaf recurs.
+    leading = F.array_join(_masked(F.slice("tokens", 1, depth)), " ")
+    return rows.select(
+        "doc_id", "body", "place", "line", F.concat_ws(" ", F.size("tokens").cast("string"), leading).alias("leaf"))
 
 
 def line_templates(
@@ -49,6 +57,7 @@ def line_templates(
     leaves = keys.groupBy("key").agg(F.count_distinct("body").alias("n")).where(F.col("n") >= least)
     leaves = stored(leaves.select("key"), f"{folder}/leaves")
     lines = lines.withColumn("key", F.xxhash64("leaf")).join(leaves, "key", "left_semi").drop("key")
+    lines = lines.withColumn("masked", F.array_join(_masked(_tokens("line")), " ")).drop("line")
     lines = stored(lines, f"{folder}/recurring")
 
     distinct = stored(
