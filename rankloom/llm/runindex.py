@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import run_folder, stored, whole_text
 
 LENGTH = 200
-GRAM = 64
+GRAM = 40
 # Stretches of one anchor that a task may hold, some 280 bytes each.
 HOT = 32_768
 # Bytes of stretches that a task gathers, over whole anchors, before it builds an index.
