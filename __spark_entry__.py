@@ -24,7 +24,7 @@ from rankloom.operators.fulltext import corpus_tokens  # noqa: E402
 from rankloom.operators.trigram import trigram_similarity  # noqa: E402
 from rankloom.plans import latency, ledger, moderation, payments, tenants, usage, verification  # noqa: E402
 from rankloom.plans.search import (  # noqa: E402
-    Asked, dashboard_search, hybrid_search, route, search, text_search, vector_search,
+    Asked, dashboard_route, dashboard_search, hybrid_search, route, search, text_search, vector_search,
 )
 from rankloom.session import configure, shared_folder  # noqa: E402
 from rankloom.sources import corpus as store  # noqa: E402
@@ -85,6 +85,17 @@ def _dashboard(spark, d):
     return dashboard_search(views.vectors(spark, d), control.dashboard_requests(spark, d)).selectExpr(*_FOUND)
 
 
+def _dashboard_rejected(spark, d):
+    asked = control.dashboard_requests(spark, d).drop("vector")
+    kind = F.when(F.col("query_id") % 7 == 0, "audio").otherwise(F.col("search_type"))
+    db = F.when(F.col("query_id") % 11 == 0, "sound").when(F.col("query_id") % 2 == 0, "image").otherwise("text")
+    asked = asked.withColumns({"search_type": kind, "db_type": db})
+    _, rejected = dashboard_route(
+        asked, models.hashed_text_embedder(64), models.hashed_text_embedder(64, "cross-modal"),
+        models.hashed_image_embedder(64))
+    return rejected.where("reject_reason = 'UnknownSearch'").select("query_id", "search_type", "db_type")
+
+
 def _router(spark, d):
     asked, _ = route(
         control.search_requests(spark, d), models.hashed_text_embedder(64),
@@ -381,6 +392,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_topk_blocks": _vector_blocks,
         "text_rank_shuffled": _text_shuffled,
         "dashboard_search": _dashboard,
+        "dashboard_rejected": _dashboard_rejected,
         "search_router": _router,
         "approximate_topk": _approximate(4),
         "approximate_all_cells": _approximate(1_000_000),

@@ -331,6 +331,10 @@ def _oracle() -> dict[str, str]:
             _PAYMENTS, """SELECT event_id, coalesce(reject_reason, '') AS reject_reason FROM settled
             UNION ALL SELECT event_id, coalesce(reject_reason, 'DuplicateTransaction') FROM settled""",
         ),
+        "dashboard_rejected": """SELECT * FROM (
+            SELECT vec_id AS query_id, CASE WHEN vec_id % 7 = 0 THEN 'audio' ELSE (['id', 'text', 'image'])[label % 3 + 1] END AS search_type,
+                CASE WHEN vec_id % 11 = 0 THEN 'sound' WHEN vec_id % 2 = 0 THEN 'image' ELSE 'text' END AS db_type FROM embeddings)
+            WHERE search_type = 'audio' OR (search_type = 'text' AND db_type = 'sound')""",
         "stream_search": _with(_SEARCH_VIEWS, _SEARCH.format(keep="query_id < 1000000")),
         "approximate_topk": _with(_VECTOR_VIEWS[:4] + ["centres", "cells", "probes", "pairs", "vleg"], _NEAR, **_CELLS),
         "approximate_all_cells": _with(_VECTOR_VIEWS, _NEAR),

@@ -14,7 +14,6 @@ from rankloom.functions.scores import MAX_CANDIDATES
 from rankloom.functions.text import query_slots, tokens
 from rankloom.operators.topk import top_per_query
 from rankloom.operators.wordscan import RANK_DIGITS, WEIGHT, word_scan
-from rankloom.session import BROADCAST_ROWS
 
 # Prefixes up to this length are exact join keys; longer ones are verified.
 PREFIX_KEY = 12

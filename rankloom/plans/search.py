@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import scores
@@ -23,10 +23,10 @@ from rankloom.operators.knn import BROADCAST_BYTES, BROADCAST_QUERIES, knn
 from rankloom.operators.scan import STATED_TENANTS, of_tenants
 from rankloom.operators.topk import page
 from rankloom.plans.filters import bind_filters, distinct_filters, filter_matches
-from rankloom.session import BROADCAST_ROWS
+from rankloom.session import broadcastable
 
-# Rows of a few numbers each: well under 100 MB.
-BROADCAST_WINNERS = 1_000_000
+# Rows that a lookup by id shows.
+LOOKUP_ROWS = 5
 
 RESULT = ["query_id", "rank", "vector_id", "content", "metadata", "score", "score_pct"]
 
@@ -76,25 +76,29 @@ class Asked:
         else:
             prepared = prepared.sparkSession.createDataFrame(head, schema=prepared.schema)
         if head is None:
-            rows, winners, words, widths = prepared.agg(
+            rows, winners, words, widths, name, term = prepared.agg(
                 F.count(F.lit(1)),
                 F.coalesce(F.sum("limit"), F.lit(0)),
                 F.coalesce(F.sum(F.size("slots")), F.lit(0)),
                 F.collect_set(prefix_width(F.col("slots"))),
+                F.coalesce(F.max(F.length("tenant")), F.lit(0)),
+                F.coalesce(F.max(F.array_max(F.transform("slots", lambda s: F.length(s["term"])))), F.lit(0)),
             ).first()
         else:
             slots = head.column("slots").to_pylist()
             rows, words = head.num_rows, sum(map(len, slots))
             winners = pc.sum(head.column("limit")).as_py() or 0
             widths = {min(len(s[-1]["term"]), PREFIX_KEY) for s in slots if s}
+            term = max((len(x["term"]) for s in slots for x in s or ()), default=0)
+            name = pc.max(pc.utf8_length(head.column("tenant"))).as_py() or 0
             named = sorted(t for t in pc.unique(head.column("tenant")).to_pylist() if t is not None)
             tenants = named if len(named) <= STATED_TENANTS else None
         return cls(
             prepared,
             head,
-            small=rows <= BROADCAST_ROWS,
-            few_words=words <= BROADCAST_ROWS,
-            few_winners=winners <= BROADCAST_WINNERS,
+            small=broadcastable(rows, name),
+            few_words=broadcastable(words, name + term),
+            few_winners=broadcastable(winners, name),
             widths=sorted(widths),
             tenants=tenants,
         )
@@ -249,6 +253,28 @@ def route(
     return queries, marked.where("reject_reason IS NOT NULL")
 
 
+def dashboard_route(
+    requests: DataFrame, embed_text, embed_cross_modal, embed_image
+) -> tuple[DataFrame, DataFrame]:
+    """(requests, rejected) for dashboard lookups that still carry text or an image.
+
+    ``requests``: ``query_id, tenant, db_type, search_type, data``. Text is embedded by the
+    kind of its database, an image (base64) by the image model; a lookup by id needs no
+    vector. Other search types and kinds of databases are rejected, and so is a bad image.
+    """
+    kind, db = F.col("search_type"), F.col("db_type")
+    image = decode_base64(F.when(kind == "image", F.col("data")))
+    known = F.coalesce(kind.isin("id", "image") | ((kind == "text") & db.isin("text", "image")), F.lit(False))
+    usable = image_fits(F.col("data")) & image.isNotNull()
+    reason = F.when(~known, F.lit("UnknownSearch")).when((kind == "image") & ~F.coalesce(usable, F.lit(False)), F.lit("ImageProcessing"))
+    marked = requests.withColumn("reject_reason", reason)
+    good = marked.where("reject_reason IS NULL").drop("reject_reason")
+    text = F.when(kind == "text", F.col("data"))
+    vector = F.coalesce(
+        embed_image(image), embed_cross_modal(F.when(db == "image", text)), embed_text(F.when(db == "text", text)))
+    return good.withColumn("vector", vector).drop("db_type"), marked.where("reject_reason IS NOT NULL")
+
+
 def dashboard_search(corpus: DataFrame, requests: DataFrame, **options) -> DataFrame:
     """Dashboard lookups: by id, by text (three results) or by image vector (ten).
 
@@ -258,10 +284,14 @@ def dashboard_search(corpus: DataFrame, requests: DataFrame, **options) -> DataF
     by_id = requests.where(F.col("search_type") == "id").select(
         "query_id", "tenant", F.col("data").alias("vector_id")
     )
-    slim = corpus.select("tenant", "vector_id", "content", "metadata")
-    found = slim.join(by_id, ["tenant", "vector_id"]).select(
+    # Ids are cut first: a lookup shows five rows at most.
+    met = corpus.select("tenant", "vector_id", "id").join(by_id, ["tenant", "vector_id"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    kept = met.withColumn("rank", place).where(F.col("rank") <= LOOKUP_ROWS).drop("vector_id")
+    slim = corpus.select("tenant", "id", "vector_id", "content", "metadata")
+    found = slim.join(kept, ["tenant", "id"]).select(
         "query_id",
-        F.lit(1).cast("long").alias("rank"),
+        F.col("rank").cast("long").alias("rank"),
         "vector_id",
         "content",
         "metadata",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.cleaning import any_empty, key_hash, known_region, tenant_key
 from rankloom.operators.topk import first_per_key, newest
 from rankloom.schema import KEYS_PER_OWNER, STARTER_CREDITS
-from rankloom.session import BROADCAST_ROWS
+from rankloom.session import broadcastable
 
 # Control tables are joined without hints: Spark broadcasts them when their
 # size allows and otherwise splits hot keys at run time (skew join).
@@ -123,8 +123,8 @@ def document_pages(corpus: DataFrame, offset: int = 0, limit: int = 5) -> DataFr
     ranked = slim.withColumn("position", F.row_number().over(w).cast("long"))
     kept = ranked.where((F.col("position") <= offset + limit) & (F.col("position") > offset))
     kept = kept.drop("created_at")
-    tenants = corpus.select("tenant").distinct().limit(BROADCAST_ROWS // max(limit, 1) + 1).count()
-    if tenants * limit <= BROADCAST_ROWS:
+    tenants, name = corpus.select("tenant").distinct().agg(F.count(F.lit(1)), F.max(F.length("tenant"))).first()
+    if broadcastable(tenants * limit, name):
         kept = F.broadcast(kept)
     documents = corpus.select("tenant", "id", "vector_id", "content", "metadata", "created_at")
     return documents.join(kept, ["tenant", "id"]).drop("id")

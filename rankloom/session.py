@@ -8,8 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a query-side table may hold before it stops being broadcast.
-BROADCAST_ROWS = 200_000
+# Bytes a query-side table may hold before it stops being broadcast.
+BROADCAST_BYTES = 64 << 20
+# Bytes of a row in a hash table besides its longest strings.
+_ROW_BYTES = 96
+
+
+def broadcastable(rows: int, widest: int | None) -> bool:
+    """Whether ``rows`` rows, whose strings together have ``widest`` letters at most, are small."""
+    return rows * (_ROW_BYTES + 4 * (widest or 0)) <= BROADCAST_BYTES
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",

@@ -185,7 +185,7 @@ def test_unpinned_query_tables_give_the_same_rows(spark, library, monkeypatch):
                 (3, "u", "apple", [0.5, 0.5], 1, 2))
     want = {(r.query_id, r["rank"], r.vector_id, round(r.score, 9)) for r in plans.search(library, asked).collect()}
     monkeypatch.setattr(plans, "BROADCAST_QUERIES", 0)
-    monkeypatch.setattr(plans, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(plans, "broadcastable", lambda rows, widest: False)
     got = plans.search(library, asked, strategy="blocks")
     assert {(r.query_id, r["rank"], r.vector_id, round(r.score, 9)) for r in got.collect()} == want
 
@@ -314,3 +314,18 @@ def test_cells_of_every_width_prune_and_lose_nothing(spark, tmp_path):
     some = ann.probe(stored, asked.where("query_id = 3"), centres, 2, None)
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "cell" in plan.split("PartitionFilters:")[1].splitlines()[0]
+
+
+def test_dashboard_requests_are_routed_or_rejected(spark, library):
+    picture = base64.b64encode(b"some bytes").decode()
+    rows = [(1, "u", "text", "text", "apple"), (2, "u", "image", "text", "apple"), (3, "u", "text", "image", picture),
+            (4, "u", "text", "id", "d3"), (5, "u", "text", "audio", "x"), (6, "u", "sound", "text", "x"),
+            (7, "u", "text", None, "x"), (8, "u", "text", "image", "?!")]
+    asked = spark.createDataFrame(rows, "query_id long, tenant string, db_type string, search_type string, data string")
+    good, bad = plans.dashboard_route(
+        asked, hashed_text_embedder(2), hashed_text_embedder(2, "cross-modal"), hashed_image_embedder(2))
+    assert {(r.query_id, r.vector is None) for r in good.collect()} == {(1, False), (2, False), (3, False), (4, True)}
+    assert {(r.query_id, r.reject_reason) for r in bad.collect()} == {
+        (5, "UnknownSearch"), (6, "UnknownSearch"), (7, "UnknownSearch"), (8, "ImageProcessing")}
+    found = {r.query_id for r in plans.dashboard_search(library, good).collect()}
+    assert 4 in found and not found & {5, 6, 7, 8}
