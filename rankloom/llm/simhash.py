@@ -165,7 +165,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat the id that stays are cut to one; a null id stays only in a group that
     has no other.
     """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
+    return drop_unnamed(docs, near_groups(docs, id_col=id_col, text_col=text_col, **options), id_col)
+
+
+def drop_unnamed(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names their group (doc_id, component_id); a repeated id is cut to one row."""
     gone = stored(
         groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(),
         run_folder(docs.sparkSession, "near"))
