@@ -3,7 +3,8 @@
 A line falls through the tree by its number of tokens and its leading tokens, where a token
 with a digit is a variable field. In a leaf, a token that few lines share at its place is a
 variable field too; what remains is the line's template. Templates that recur in at least
-``least`` different texts are dropped from all documents.
+``least`` different texts are dropped from all documents. With ``identical``, lines that stand
+unchanged in two different texts or more are dropped as well, whatever their tokens are.
 
 Counts are made on distinct lines, so a line that stands in a third of all documents is one
 row from its first aggregation on. Only lines of leaves that recur are taken further, and
@@ -78,9 +79,22 @@ def line_templates(
     return named.join(recurring, ["leaf", "template"]).select("doc_id", "body", "place", "template", "n_texts")
 
 
+def identical_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The lines whose tokens stand in at least two different texts: body, place."""
+    text = whole_text(text_col)
+    rows = docs.select(
+        F.md5(text.cast("binary")).alias("body"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    rows = rows.withColumn("tokens", _tokens("line")).where(F.size("tokens") > 0)
+    rows = rows.select("body", "place", F.unhex(F.md5(F.array_join("tokens", " ").cast("binary"))).alias("same"))
+    # Two texts are enough, so the outermost bodies tell without a list of them.
+    met = rows.groupBy("same").agg(F.min("body").alias("a"), F.max("body").alias("b"))
+    again = stored(met.where("a <> b").select("same"), run_folder(docs.sparkSession, "identical"))
+    return rows.join(again, "same", "left_semi").select("body", "place")
+
+
 def drop_lines(
     docs: DataFrame, least: int = LEAST, depth: int = DEPTH, constant: float = CONSTANT,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", identical: bool = False,
 ) -> DataFrame:
     """Texts without the lines whose template recurs: doc_id, n_lines, n_dropped, kept_text.
 
@@ -89,7 +103,9 @@ def drop_lines(
     one empty line; a null id stays null; rows that repeat are all returned; no rows give
     no rows; other columns are not read.
     """
-    found = line_templates(docs, least, depth, constant, id_col, text_col)
+    found = line_templates(docs, least, depth, constant, id_col, text_col).select("body", "place")
+    if identical:
+        found = found.unionByName(identical_lines(docs, text_col))
     # Rows with the same text lose the same lines, so the text alone names them.
     dropped = found.groupBy("body").agg(F.collect_set("place").alias("places"))
     dropped = stored(dropped, run_folder(docs.sparkSession, "dropped"))

@@ -69,7 +69,7 @@ def _decontamination(spark, d):
 
 
 def _line_dedup(spark, d):
-    return linetemplates.drop_lines(documents(spark, d))
+    return linetemplates.drop_lines(documents(spark, d), identical=True)
 
 
 def queries():

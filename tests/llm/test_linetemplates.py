@@ -70,3 +70,14 @@ def test_no_rows_and_no_python(spark):
     assert drop_lines(no_documents(spark)).count() == 0
     plan = drop_lines(odd_documents(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_identical_lines_go_from_two_texts_on(spark):
+    long, dates = " ".join(f"token{'abcdefgh'[i % 8]}" for i in range(60)), "2024-01-02 10:00 555-0100"
+    rows = [(1, f"only one\n{long}\n{dates}"), (2, f"{dates}\nonly two\n{long}"), (3, "only three\n2024-01-03 11:00 555-0101"),
+            (4, "twice in one\ntwice in one"), (5, "twice in one\ntwice in one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in rows], no_documents(spark).schema)
+    got = {r.doc_id: (r.n_dropped, r.kept_text) for r in drop_lines(docs, identical=True).collect()}
+    assert got == {1: (2, "only one"), 2: (2, "only two"), 3: (0, rows[2][1]), 4: (0, rows[3][1]), 5: (0, rows[4][1])}
+    assert all(r.n_dropped == 0 for r in drop_lines(docs).collect())
+    assert drop_lines(no_documents(spark), identical=True).count() == 0
