@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import sys
 import uuid
@@ -110,12 +111,17 @@ def _centres(spark, d):
     return {64: ann.unit_rows(np.array([r.embedding for r in given.collect()], dtype=np.float64))}
 
 
-def _approximate(probes: int):
-    """Search through a stored index of cells; probing all of them is exact."""
+# Share of the cells that is probed, set for a recall of 0.9: simulated, 0.94 on sf0.01 and 0.96 on sf0.1.
+PROBED = 0.75
+
+
+def _approximate(share: float):
+    """Search through a stored index of cells, of which each query probes a share; all of them is exact."""
     def run(spark, d):
         corpus, asked = views.vectors(spark, d), Asked.of(views.queries(spark, d)).df
         centres, folder = _centres(spark, d), _folder(spark)
         ann.write_cells(ann.assign_cells(corpus.select("tenant", "id", "embedding"), centres), folder)
+        probes = math.ceil(share * sum(map(len, centres.values())))
         found = ann.probe(spark.read.parquet(folder), asked, centres, probes)
         return found.select("query_id", "id", F.round("dist", 6).alias("dist"), "vrank")
     return run
@@ -394,8 +400,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dashboard_search": _dashboard,
         "dashboard_rejected": _dashboard_rejected,
         "search_router": _router,
-        "approximate_topk": _approximate(4),
-        "approximate_all_cells": _approximate(1_000_000),
+        "approximate_topk": _approximate(PROBED),
+        "approximate_all_cells": _approximate(1.0),
         "stored_hybrid": _stored_hybrid,
         "text_rank_index": _text_index(False),
         "text_rank_filtered_index": _text_index(True),

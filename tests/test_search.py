@@ -329,3 +329,12 @@ def test_dashboard_requests_are_routed_or_rejected(spark, library):
         (5, "UnknownSearch"), (6, "UnknownSearch"), (7, "UnknownSearch"), (8, "ImageProcessing")}
     found = {r.query_id for r in plans.dashboard_search(library, good).collect()}
     assert 4 in found and not found & {5, 6, 7, 8}
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_approximate_search_finds_nine_tenths(spark, size):
+    import __spark_entry__ as contract
+
+    names = "approximate_topk", "approximate_all_cells"
+    got, exact = (contract.queries()[name](spark, f"/root/testdata/{size}") for name in names)
+    assert ann.recall(exact, got).first().recall >= 0.9
