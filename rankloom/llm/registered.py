@@ -6,9 +6,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontam, exact, linetemplates, pieces, runindex, sharding, simhash, tokencounts, tokenfiles, toxicity
+from rankloom.llm import (
+    collocations, decontam, exact, linetemplates, negatives, packing, pieces, runindex, sharding, simhash, tokencounts,
+    tokenfiles, toxicity,
+)
 from rankloom.llm.common import documents, run_folder
-from rankloom.llm.encoders import LibraryEncoder, RankEncoder
+from rankloom.llm.encoders import LibraryEncoder, RankEncoder, WordEncoder
 
 # The byte-level vocabulary leaves this id free: it ends documents in files to be counted.
 END_OF_DOCUMENT = 50256
@@ -72,6 +75,20 @@ def _line_dedup(spark, d):
     return linetemplates.drop_lines(documents(spark, d), identical=True)
 
 
+def _hard_negatives(spark, d):
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spark.read.parquet(f"{d}/embeddings.parquet"), label=noisy)
+
+
+def _packing(spark, d):
+    encoder = WordEncoder.read(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, d), encoder, end_id=2).drop("ids")
+
+
+def _collocations(spark, d):
+    return collocations.collocations(documents(spark, d))
+
+
 def queries():
     return {
         "op1_sentencepiece": _sentencepiece,
@@ -84,6 +101,9 @@ def queries():
         "op8_token_counts": _token_counts,
         "op9_line_dedup": _line_dedup,
         "op10_sharding": _sharding,
+        "op11_hard_negatives": _hard_negatives,
+        "op12_packing": _packing,
+        "op13_collocations": _collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -146,5 +166,69 @@ FROM rows LEFT JOIN places USING (body)
 """
 
 
+_NEGATIVES = """
+WITH sound AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (
+    SELECT row_number() OVER () AS a, * FROM sound WHERE vec_id % 100 = 0
+), scored AS (
+    SELECT a, anchors.vec_id AS anchor_id, sound.vec_id, anchors.label = sound.label AS same,
+        list_inner_product(anchors.q, sound.q)::BIGINT AS score
+    FROM anchors JOIN sound ON len(anchors.q) = len(sound.q)
+), positives AS (
+    SELECT a, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY a, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+    FROM positives JOIN scored USING (a)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT doc_id, lang, row_number() OVER () AS piece, list_filter(string_split_regex(part, '[ \t]+'), lambda w: w <> '') AS words
+    FROM (
+        SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS part
+        FROM documents
+    )
+), grams AS (
+    SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS at FROM pieces, range(1, 5) AS sizes(size))
+), counts AS (
+    SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 30
+), totals AS (
+    SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), candidates AS (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size > 1
+), cuts AS (
+    SELECT c.lang, c.size, c.phrase, a, k, p.f AS l, s.f AS r, (2000000::HUGEINT * a // (p.f + s.f))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+    JOIN counts p ON p.lang = c.lang AND p.phrase = array_to_string(words[1:k], ' ')
+    JOIN counts s ON s.lang = c.lang AND s.phrase = array_to_string(words[k + 1:], ' ')
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+    SELECT DISTINCT lang, a AS longer, array_to_string(words[at:at + part - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, size - part + 2)) AS at FROM (SELECT *, unnest(range(2, size)) AS part FROM candidates WHERE size > 2))
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+FROM scored s JOIN totals USING (lang)
+WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.lang = s.lang AND p.phrase = s.phrase AND 100 * p.longer::HUGEINT >= 80 * a::HUGEINT)
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql():
-    return {"op4_exact_dedup": _EXACT, "op9_line_dedup": _LINES}
+    return {
+        "op4_exact_dedup": _EXACT, "op9_line_dedup": _LINES, "op11_hard_negatives": _NEGATIVES,
+        "op13_collocations": _PHRASES,
+    }
