@@ -91,8 +91,9 @@ class LibraryEncoder:
         def encode_part(texts):
             whole = [bool(marker and marker.search(t)) for t in texts]
             split = [cut.split(t) if doubtful.search(t) else t.split(" ") for t, w in zip(texts, whole) if not w]
-            opening.learn({chunks[0] for chunks in split})
+            # The second may forget what it learned for the first, so its own chunks come last.
             led.learn({c for chunks in split for c in chunks[1:]})
+            opening.learn({chunks[0] for chunks in split})
             rest = iter(split)
             out = []
             for text, w in zip(texts, whole):

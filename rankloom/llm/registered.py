@@ -201,8 +201,8 @@ WITH pieces AS (
         FROM documents
     )
 ), grams AS (
-    SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase
-    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS at FROM pieces, range(1, 5) AS sizes(size))
+    SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM pieces, range(1, 5) AS sizes(size))
 ), counts AS (
     SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 30
 ), totals AS (
@@ -217,8 +217,8 @@ WITH pieces AS (
 ), scored AS (
     SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), parts AS (
-    SELECT DISTINCT lang, a AS longer, array_to_string(words[at:at + part - 1], ' ') AS phrase
-    FROM (SELECT *, unnest(range(1, size - part + 2)) AS at FROM (SELECT *, unnest(range(2, size)) AS part FROM candidates WHERE size > 2))
+    SELECT DISTINCT lang, a AS longer, array_to_string(words[pos:pos + part - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, size - part + 2)) AS pos FROM (SELECT *, unnest(range(2, size)) AS part FROM candidates WHERE size > 2))
 )
 SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
 FROM scored s JOIN totals USING (lang)
