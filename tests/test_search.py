@@ -338,3 +338,73 @@ def test_registered_approximate_search_finds_nine_tenths(spark, size):
     names = "approximate_topk", "approximate_all_cells"
     got, exact = (contract.queries()[name](spark, f"/root/testdata/{size}") for name in names)
     assert ann.recall(exact, got).first().recall >= 0.9
+
+
+def clustered(spark, rng, clusters=30, each=40, dim=8):
+    """Vectors in tight clusters, of two tenants; some rows have no direction, some another width."""
+    rows = []
+    for c in range(clusters):
+        centre = [rng.gauss(0, 1) for _ in range(dim)]
+        for i in range(each):
+            rows.append((c * each + i, f"t{i % 2}", [x + rng.gauss(0, 0.05) for x in centre]))
+    n = len(rows)
+    rows += [(n, "t0", None), (n + 1, "t0", [0.0] * dim), (n + 2, "t0", [1.0, 2.0]), (n + 3, "t1", []), (n + 4, None, rows[0][2])]
+    corpus = spark.createDataFrame(rows, "id long, tenant string, embedding array<float>")
+    asked = [(i, rows[i][1], rows[i][2], 7) for i in range(0, n, 29)]
+    asked += [(n, "t0", [2.0, 1.0], 7), (n + 1, "t0", None, 7), (n + 2, "t0", [0.0] * dim, 7), (n + 3, "nobody", rows[0][2], 7)]
+    return corpus, spark.createDataFrame(asked, "query_id long, tenant string, vector array<float>, candidates long")
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.1, None])
+def test_cells_with_bounds_equal_the_exact_join(spark, tmp_path, monkeypatch, threshold):
+    from rankloom.operators import cells
+
+    corpus, asked = clustered(spark, random.Random(2))
+    folder = f"{tmp_path}/{threshold}"
+    cells.write_cells(corpus, folder)
+
+    def rows(df):
+        return sorted((r.query_id, r.id, r.vrank, round(r.dist, 9)) for r in df.collect())
+
+    want = rows(knn(corpus, asked, threshold))
+    assert want and rows(cells.search_cells(spark, folder, asked, threshold)) == want
+    # Two waves read the nearest cells first.
+    assert rows(cells.search_cells(spark, folder, asked, threshold, two_waves=0)) == want
+    # Many queries go to their cells; where they need most of them, all rows are met at once.
+    monkeypatch.setattr(cells, "BROADCAST_QUERIES", 5)
+    for dense in (cells.DENSE, 1.0, 0.0):
+        monkeypatch.setattr(cells, "DENSE", dense)
+        assert rows(cells.search_cells(spark, folder, asked, threshold)) == want
+
+
+def test_cells_that_cannot_hold_a_hit_are_not_read(spark, tmp_path):
+    from rankloom.operators import cells
+
+    corpus, asked = clustered(spark, random.Random(2))
+    cells.write_cells(corpus, f"{tmp_path}/cells")
+    stored = cells.Cells.read(spark, f"{tmp_path}/cells")
+    total = sum(int(r.sum()) for r in stored.rows.values())
+    assert total == 1202 and len(stored.names[8]) <= 35 and len(stored.names[2]) == 1
+    read = {r.query_id: r.rows for r in cells.cells_read(spark, f"{tmp_path}/cells", asked, 0.1).collect()}
+    assert read[1201] == read[1202] == 0 and sum(read.values()) / (len(read) * total) < 0.35
+    one = cells.search_cells(spark, f"{tmp_path}/cells", asked.where("query_id = 29"), 0.02)
+    files = {f.rsplit("/", 2)[1] for f in one._jdf.queryExecution().optimizedPlan().toString() and _files(one)}
+    assert len(files) < len(stored.names[8]) / 3
+
+
+def _files(df):
+    """The folders that the scans of a plan read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    found = re.search(r"PartitionFilters: \[[^\]]*cell#\d+ (?:IN \(([^)]*)\)|= ([^,\]]*))", plan)
+    return [f"x/{name.strip()}/y" for name in (found[1] or found[2]).split(",")]
+
+
+def test_cells_of_no_rows(spark, tmp_path):
+    from rankloom.operators import cells
+
+    corpus, asked = clustered(spark, random.Random(2), clusters=1)
+    cells.write_cells(corpus.where("id < 0"), f"{tmp_path}/none")
+    assert cells.search_cells(spark, f"{tmp_path}/none", asked).count() == 0
+    assert {r.rows for r in cells.cells_read(spark, f"{tmp_path}/none", asked).collect()} == {0}
