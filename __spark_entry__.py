@@ -149,8 +149,8 @@ def _stored_hybrid(spark, d):
 def _text_index(filtered: bool):
     def run(spark, d):
         corpus, folder = views.vectors(spark, d), _folder(spark)
-        index.write_index(corpus, folder)
-        found = text_search(corpus, views.queries(spark, d, filtered), terms=index.read_index(spark, folder))
+        index.write_postings(corpus, folder)
+        found = text_search(corpus, views.queries(spark, d, filtered), terms=index.read_postings(spark, folder))
         return found.select("query_id", "id", F.round("rank", 6).alias("rank"), "trank")
     return run
 

@@ -1,24 +1,25 @@
-"""Full-text matching and cover-density ranking over postings.
+"""Full-text search: words of documents, words of queries, and the best matches.
 
-Words come either from a stored index (`rankloom.sources.index`) or from the
-corpus itself; only words that some query asks for are ever shuffled.
+Few searches scan documents in place (`rankloom.operators.wordscan`). Otherwise posting
+lists are searched (`rankloom.operators.postings`), stored ones or such as are made of the
+corpus itself.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import MAX_CANDIDATES
 from rankloom.functions.text import query_slots, tokens
+from rankloom.operators.postings import Postings, matching_lists, ranked_matches
 from rankloom.operators.topk import top_per_query
-from rankloom.operators.wordscan import RANK_DIGITS, WEIGHT, word_scan
+from rankloom.operators.wordscan import word_scan
 
 # Prefixes up to this length are exact join keys; longer ones are verified.
 PREFIX_KEY = 12
 FILTER_BITS = "filter_bits"
-SALTS = 16
 
 
 def slots_of(searches: DataFrame) -> DataFrame:
@@ -37,14 +38,9 @@ def slots_of(searches: DataFrame) -> DataFrame:
 
 
 def corpus_tokens(corpus: DataFrame) -> DataFrame:
-    """``tenant, id, pos, term`` for every word; uses stored tokens if present.
-
-    ``filter_bits``, when the corpus has them, travel with the words so that a
-    filtered search needs no second look at the corpus.
-    """
+    """``tenant, id, pos, term`` for every word; uses stored tokens if present."""
     words = F.col("tokens") if "tokens" in corpus.columns else tokens(F.col("content"))
-    carried = [c for c in (FILTER_BITS,) if c in corpus.columns]
-    return corpus.select("tenant", "id", *carried, F.posexplode(words).alias("pos", "term"))
+    return corpus.select("tenant", "id", F.posexplode(words).alias("pos", "term"))
 
 
 def _keyed(terms: DataFrame, lengths: list[int]) -> DataFrame:
@@ -82,137 +78,6 @@ def filter_passes() -> Column:
     return (F.col("filter_bit") < 0) | bit
 
 
-def _salted(by_document: DataFrame) -> DataFrame:
-    """Spread the rows of a frequent word of a big tenant by document."""
-    return by_document.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-
-
-def _every_salt(words: DataFrame) -> DataFrame:
-    return words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def word_hits(
-    terms: DataFrame, slots: DataFrame, small: bool, widths: list[int]
-) -> DataFrame:
-    """``tenant, id, key, is_prefix, pos`` for every word some slot asks for.
-
-    ``terms`` is ``tenant, id, pos, term``. With few slots the key table is
-    broadcast and one pass over the words is enough. Otherwise prefixes are
-    resolved against the vocabulary first, so that words are shuffled once, by
-    plain equality, instead of once per prefix length.
-    """
-    wanted = _wanted(slots)
-    match = ["tenant", "key_part", "width"]
-    verified = (~F.col("is_prefix")) | F.col("term").startswith(F.col("key"))
-    carried = [c for c in (FILTER_BITS,) if c in terms.columns]
-    if small:
-        hits = _keyed(terms, widths).join(F.broadcast(wanted), match).where(verified)
-    else:
-        vocabulary = terms.groupBy("tenant", "term").agg(F.count(F.lit(1)).alias("n"))
-        expanded = _keyed(vocabulary, widths).join(wanted, match)
-        expanded = expanded.where(verified).select("tenant", "term", "key", "is_prefix")
-        hits = _salted(terms).join(_every_salt(expanded), ["tenant", "term", "_salt"])
-    return hits.select("tenant", "id", *carried, "key", "is_prefix", "pos")
-
-
-def match_all(hits: DataFrame, slots: DataFrame, small: bool) -> DataFrame:
-    """``query_id, id, candidates, hits``: documents with every word of a search.
-
-    ``hits`` holds one ``positions`` array per slot; one document's words bound
-    its size. With few slots the word hits are shuffled once, by document:
-    postings, the broadcast join with the slots, the (query, document) groups
-    and the ranking windows all keep that partitioning. Otherwise postings meet
-    the slots by word, with every word spread over the salts.
-    """
-    carried = [c for c in (FILTER_BITS,) if c in hits.columns]
-    key = ["tenant", "key", "is_prefix"]
-    if small:
-        hits = hits.repartition("id")
-    postings = hits.groupBy("id", *key, *carried).agg(
-        F.sort_array(F.collect_list("pos")).alias("positions")
-    )
-    if small:
-        pairs = postings.join(F.broadcast(slots), key)
-    else:
-        pairs = _salted(postings).join(_every_salt(slots), [*key, "_salt"])
-    if carried and "filter_bit" in pairs.columns:
-        pairs = pairs.where(filter_passes())
-    grouped = pairs.groupBy("query_id", "id").agg(
-        F.collect_list(F.struct("positions")).alias("hits"),
-        F.first("n_slots").alias("n_slots"),
-        F.first("candidates").alias("candidates"),
-    )
-    return grouped.where(F.size("hits") == F.col("n_slots")).drop("n_slots")
-
-
-def cover_density(matches: DataFrame) -> DataFrame:
-    """``query_id, id, candidates, rank``: sum of ``0.1 / (1 + noise)`` over minimal covers.
-
-    A cover starts at p and ends at q when every slot occurs in [p, q] and in
-    no shorter span inside it. For an end x the start is the smallest hit whose
-    *next* hit of the same slot lies beyond x, which one ordered scan finds:
-    visit ends from the right, keep the smallest hit already released. Noise is
-    the number of words in the cover that match nothing.
-    """
-    pair = ["query_id", "id", "candidates"]
-    single = matches.where(F.size("hits") == 1).select(
-        *pair, (F.size(F.col("hits")[0]["positions"]) * F.lit(WEIGHT)).alias("rank")
-    )
-    several = matches.where(F.size("hits") > 1)
-    # Every slot has occurred once the latest of the first hits is reached.
-    complete_at = F.array_max(F.transform("hits", lambda h: h["positions"][0]))
-
-    def with_next(hit):
-        at = hit["positions"]
-        after = F.concat(
-            F.slice(at, F.lit(2), F.size(at)), F.array(F.lit(None).cast("int"))
-        )
-        return F.arrays_zip(at.alias("pos"), after.alias("next"))
-
-    spans = several.select(
-        *pair,
-        complete_at.alias("complete_at"),
-        F.explode(F.flatten(F.transform("hits", with_next))).alias("h"),
-    ).select(*pair, "complete_at", F.col("h.pos").alias("pos"), F.col("h.next").alias("next"))
-    by_pos = Window.partitionBy("query_id", "id").orderBy("pos")
-    spans = spans.withColumn("seq", F.dense_rank().over(by_pos))
-    # Each hit becomes an end candidate at its position and a start candidate
-    # that is released for every end left of its successor.
-    beyond = F.lit(2**31 - 1)
-    nobody = F.lit(None).cast("struct<pos:int,seq:int>")
-    events = F.array(
-        F.struct(
-            F.col("pos").alias("at"),
-            F.lit(0).alias("kind"),
-            nobody.alias("start"),
-            F.col("seq").alias("seq"),
-        ),
-        F.struct(
-            F.coalesce(F.col("next"), beyond).alias("at"),
-            F.lit(1).alias("kind"),
-            F.struct("pos", "seq").alias("start"),
-            F.lit(None).cast("int").alias("seq"),
-        ),
-    )
-    scan = spans.select(*pair, "complete_at", F.explode(events).alias("e")).select(
-        *pair, "complete_at", "e.at", "e.kind", "e.start", "e.seq"
-    )
-    from_right = (
-        Window.partitionBy("query_id", "id")
-        .orderBy(F.col("at").desc(), F.col("kind").asc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ends = (
-        scan.withColumn("start", F.min("start").over(from_right))
-        .where((F.col("kind") == 0) & (F.col("at") >= F.col("complete_at")))
-        .groupBy(*pair, F.col("start.pos").alias("p"), F.col("start.seq").alias("p_seq"))
-        .agg(F.min("at").alias("q"), F.min("seq").alias("q_seq"))
-    )
-    noise = (F.col("q") - F.col("p")) - (F.col("q_seq") - F.col("p_seq"))
-    ranked = ends.groupBy(*pair).agg(F.sum(F.lit(WEIGHT) / (noise + 1)).alias("rank"))
-    return single.unionByName(ranked)
-
-
 def _token_rows(corpus: DataFrame, searches: pa.Table) -> DataFrame:
     """One row per document for the scan; documents without words drop out."""
     words = F.col("tokens") if "tokens" in corpus.columns else tokens(F.col("content"))
@@ -269,14 +134,14 @@ def text_candidates(
     queries: DataFrame,
     small: bool,
     widths: list[int],
-    terms: DataFrame | None = None,
+    terms: DataFrame | Postings | None = None,
     allowed=None,
     cap: int = MAX_CANDIDATES,
     table: pa.Table | None = None,
 ) -> DataFrame:
     """``query_id, id, rank, trank``: the best matching documents per query.
 
-    ``terms`` may be a stored word index; ``allowed`` is applied to the
+    ``terms`` may be words or stored posting lists; ``allowed`` is applied to the
     (query, document) matches before the cut, where metadata filters belong.
     ``table`` holds the rows of ``queries`` if the caller already has them.
     """
@@ -293,12 +158,14 @@ def text_candidates(
         ranked = word_scan(_token_rows(corpus, searches), searches)
     else:
         searches, members = distinct_texts(queries)
-        slots = slots_of(searches)
-        terms = corpus_tokens(corpus) if terms is None else terms
-        matches = match_all(word_hits(terms, slots, small, widths), slots, small)
+        if terms is None:
+            terms = corpus_tokens(corpus)
+        index = terms if isinstance(terms, Postings) else Postings.of_words(terms)
+        # A filter comes before the cut, so nothing may be left out by rank there.
+        lists = matching_lists(index, slots_of(searches), widths, _keyed, _wanted)
+        ranked = ranked_matches(lists, stops=allowed is None)
         if allowed is not None:
-            matches = allowed(matches)
-        ranked = cover_density(matches).withColumn("cost", -F.round("rank", RANK_DIGITS))
+            ranked = allowed(ranked)
     best = top_per_query(ranked, [F.col("cost"), F.col("id")], "trank", "candidates", cap)
     best = best.select(
         F.col("query_id").alias("leader"), "id", (-F.col("cost")).alias("rank"), "trank"

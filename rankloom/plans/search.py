@@ -20,6 +20,7 @@ from rankloom.functions.metadata import active_filter
 from rankloom.functions.text import is_hybrid, query_slots
 from rankloom.operators.fulltext import PREFIX_KEY, filter_passes, prefix_width, text_candidates
 from rankloom.operators.knn import BROADCAST_BYTES, BROADCAST_QUERIES, knn
+from rankloom.operators.postings import Postings
 from rankloom.operators.scan import STATED_TENANTS, of_tenants
 from rankloom.operators.topk import page
 from rankloom.plans.filters import bind_filters, distinct_filters, filter_matches
@@ -157,12 +158,12 @@ def vector_search(
     return _paged(corpus, hits, asked, [F.col("dist"), F.col("id")])
 
 
-def _text_leg(corpus: DataFrame, bound: DataFrame, asked: Asked, terms: DataFrame | None) -> DataFrame:
+def _text_leg(corpus: DataFrame, bound: DataFrame, asked: Asked, terms: DataFrame | Postings | None) -> DataFrame:
     allowed = None
     if "filter" in asked.df.columns:
         allowed = filter_matches(corpus, asked.df)
-    elif "filter_bit" in asked.df.columns and terms is not None:
-        # A stored word index carries no filter bits; look them up by id.
+    elif "filter_bit" in asked.df.columns:
+        # Posting lists carry no filter bits; look them up by id.
         def allowed(matches: DataFrame) -> DataFrame:
             wanted = asked.df.select("query_id", "tenant", "filter_bit")
             docs = bound.select("tenant", "id", "filter_bits")
@@ -175,12 +176,12 @@ def _text_leg(corpus: DataFrame, bound: DataFrame, asked: Asked, terms: DataFram
 
 
 def text_search(
-    corpus: DataFrame, queries: DataFrame, terms: DataFrame | None = None
+    corpus: DataFrame, queries: DataFrame, terms: DataFrame | Postings | None = None
 ) -> DataFrame:
     """``query_id, id, rank, trank``: the text leg alone, to its candidate depth.
 
-    With ``terms`` (a stored index, or `corpus_tokens`) words are joined and
-    shuffled; without, documents are scanned in place while searches are few.
+    With ``terms`` (stored posting lists, or `corpus_tokens`) lists are intersected;
+    without, documents are scanned in place while searches are few.
     """
     asked = Asked.of(queries)
     corpus = asked.narrowed(corpus)
@@ -198,7 +199,7 @@ def search(
     corpus: DataFrame,
     queries: DataFrame,
     threshold: float | None = scores.DISTANCE_THRESHOLD,
-    terms: DataFrame | None = None,
+    terms: DataFrame | Postings | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
     """Each query in its own mode: hybrid when it has text, by vector otherwise."""

@@ -1,4 +1,4 @@
-"""Stored word index: postings by term, with a vocabulary for prefixes."""
+"""Stored word indexes: words by term, and posting lists with their vocabulary."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.fulltext import corpus_tokens
+from rankloom.operators.postings import Postings, posting_rows
 from rankloom.operators.scan import file_part
 
 TERM_BUCKETS = 256
@@ -34,3 +35,34 @@ def write_index(corpus: DataFrame, path: str, mode: str = "append", buckets: int
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Words for the ``terms`` argument of the search plans."""
     return spark.read.parquet(path).select("tenant", "id", "pos", "term")
+
+
+def write_postings(corpus: DataFrame, path: str, buckets: int = TERM_BUCKETS, file_rows: int = FILE_ROWS // 50) -> None:
+    """Store posting lists in folders by term hash, and the documents of every term sorted by term.
+
+    A folder gets one file for every ``file_rows`` lists. Lists of a term lie together, by block.
+    """
+    spark = corpus.sparkSession
+    keyed = posting_rows(corpus_tokens(corpus)).withColumn(
+        "term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    part = file_part(keyed, ["term_bucket"], "block", file_rows)
+    (
+        keyed.repartition("term_bucket", part)
+        .sortWithinPartitions("term_bucket", "tenant", "term", "block")
+        .write.option("maxRecordsPerFile", file_rows).partitionBy("term_bucket").parquet(f"{path}/lists")
+    )
+    keyed.limit(0).write.parquet(f"{path}/columns")
+    lists = read_lists(spark, path)
+    terms = lists.groupBy("tenant", "term").agg(F.sum("n_docs").alias("docs"))
+    terms.repartitionByRange("term", "tenant").sortWithinPartitions("term", "tenant").write.parquet(f"{path}/vocabulary")
+    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/lists")
+
+
+def read_postings(spark: SparkSession, path: str) -> Postings:
+    """Stored posting lists for the ``terms`` argument of the search plans."""
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    return Postings(read_lists(spark, path), spark.read.parquet(f"{path}/vocabulary"), buckets)
