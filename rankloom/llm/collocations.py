@@ -20,11 +20,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import run_folder, stored, whole_text
+from rankloom.llm.common import pieces_of, run_folder, stored, whole_text
 
 LEAST = 30
 LONGEST = 4
@@ -32,9 +33,9 @@ TOP = 2000
 KEPT = 80
 # Bits of the tables of frequent words and pairs: 4 MB each.
 BITS = 1 << 25
-# Words of a task's buffer, and different words in it.
-BUFFER = 1 << 22
-WORDS = 1 << 20
+# Words of a task's buffer of one language (of all: twice as many), and different words in it.
+BUFFER = 1 << 21
+WORDS = 1 << 19
 SALTS = 64
 # What ends a piece, and what separates words beside the blank.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -67,11 +68,13 @@ class _Buffer:
         self.numbers[b"\n"], self.numbers[b""]
 
     def add(self, texts: list[str]) -> None:
-        data = "\n".join(texts).encode("utf-8", "surrogatepass").lower().translate(_TABLE)
-        words = data.replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
-        self.parts += [ids[ids != 1], np.zeros(1, np.int32)]
-        self.size += len(ids)
+        # The list of a part's words is many times the size of its text.
+        for part in pieces_of(texts, 1 << 19):
+            data = "\n".join(part).encode("utf-8", "surrogatepass").lower().translate(_TABLE)
+            words = data.replace(b"\n", b" \n ").split(b" ")
+            ids = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+            self.parts += [ids[ids != 1], np.zeros(1, np.int32)]
+            self.size += len(ids)
 
     def full(self) -> bool:
         return self.size >= BUFFER or len(self.numbers) >= WORDS
@@ -105,12 +108,10 @@ def _in_buffers(batches, emit):
         yield from emit(buffer)
 
 
-def _rows(lang: str, order: int, columns: list[pa.Array], counts: np.ndarray):
-    """Phrases as text, their words joined by blanks, in batches."""
-    import pyarrow.compute as pc
-
-    for at in range(0, len(counts), 1 << 16):
-        own = [c.slice(at, 1 << 16) for c in columns]
+def _rows(lang: str, order: int, terms: pa.Array, columns: list[np.ndarray], counts: np.ndarray):
+    """Phrases as text, in batches; ``columns`` number their words in ``terms``."""
+    for at in range(0, len(counts), 1 << 15):
+        own = [terms.take(pa.array(c[at:at + (1 << 15)])) for c in columns]
         phrase = own[0] if len(own) == 1 else pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.binary()))
         n = len(phrase)
         yield pa.RecordBatch.from_arrays(
@@ -124,7 +125,7 @@ _COUNTS = "lang string, size int, phrase string, f long"
 def _words(batches):
     def emit(buffer):
         counts = np.bincount(buffer.ids(), minlength=len(buffer.numbers))[2:]
-        yield from _rows(buffer.lang, 1, [buffer.words().slice(2)], counts)
+        yield from _rows(buffer.lang, 1, buffer.words(), [np.arange(2, 2 + len(counts))], counts)
     return _in_buffers(batches, emit)
 
 
@@ -148,8 +149,7 @@ def _pairs_of(words):
             left, right = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
             met = (left > 0) & (right > 0)
             codes, counts = np.unique(left[met] << 32 | right[met], return_counts=True)
-            terms = buffer.words()
-            yield from _rows(buffer.lang, 2, [terms.take(pa.array(codes >> 32)), terms.take(pa.array(codes & 0xFFFFFFFF))], counts)
+            yield from _rows(buffer.lang, 2, buffer.words(), [codes >> 32, codes & 0xFFFFFFFF], counts)
         return _in_buffers(batches, emit)
     return run
 
@@ -173,8 +173,7 @@ def _longer_of(words, pairs, longest: int):
                 codes, first, numbers, counts = np.unique(
                     numbers.astype(np.int64) << 32 | ids[starts + size - 1], return_index=True, return_inverse=True,
                     return_counts=True)
-                columns = [terms.take(pa.array(ids[starts[first] + i])) for i in range(size)]
-                yield from _rows(buffer.lang, size, columns, counts)
+                yield from _rows(buffer.lang, size, terms, [ids[starts[first] + i] for i in range(size)], counts)
         return _in_buffers(batches, emit)
     return run
 

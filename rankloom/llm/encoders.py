@@ -50,7 +50,7 @@ class LibraryEncoder:
 
     content: str
     dtype: str = "<u2"
-    remembered: int = 600_000
+    remembered: int = 1_200_000
 
     @classmethod
     def read(cls, path: str, **options) -> LibraryEncoder:
@@ -199,7 +199,7 @@ class WordEncoder:
 
     content: str
     dtype: str = "<u2"
-    remembered: int = 600_000
+    remembered: int = 1_200_000
 
     @classmethod
     def read(cls, path: str, **options) -> WordEncoder:
