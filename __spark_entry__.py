@@ -22,7 +22,7 @@ from rankloom.functions.text import one_line, tokens  # noqa: E402
 from rankloom.functions.vectors import coerce_embedding, norm  # noqa: E402
 from rankloom.operators import ann, cells  # noqa: E402
 from rankloom.operators.fulltext import corpus_tokens  # noqa: E402
-from rankloom.operators.trigram import trigram_similarity  # noqa: E402
+from rankloom.operators import trigram  # noqa: E402
 from rankloom.plans import latency, ledger, moderation, payments, tenants, usage, verification  # noqa: E402
 from rankloom.plans.search import (  # noqa: E402
     Asked, dashboard_route, dashboard_search, hybrid_search, route, search, text_search, vector_search,
@@ -269,7 +269,14 @@ def _trigrams(spark, d):
         F.lit("all").alias("tenant"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
     asked = views.table(spark, d, "benchmark").select(
         F.lit("all").alias("tenant"), F.col("item_id").alias("query_id"), "text")
-    return trigram_similarity(docs, asked).withColumn("similarity", F.round("similarity", 6))
+    return trigram.trigram_similarity(docs, asked).withColumn("similarity", F.round("similarity", 6))
+
+
+def _substrings(spark, d):
+    """Pieces of every 20th document and some short patterns, looked up in the documents of both tenants."""
+    corpus, folder = views.vectors(spark, d), _folder(spark)
+    trigram.write_windows(corpus, folder)
+    return trigram.substring_lookup(corpus, control.patterns(spark, d), trigram.read_windows(spark, folder))
 
 
 def _bulk_balances(spark, d):
@@ -418,6 +425,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "array_filters": _array_filters,
         "coerced_embeddings": _coerced,
         "trigram_similarity": _trigrams,
+        "substring_lookup": _substrings,
         "tenant_counts": lambda s, d: tenants.tenant_counts(views.vectors(s, d)),
         "database_inventory": lambda s, d: tenants.database_inventory(control.databases(s, d), views.vectors(s, d)),
         "document_pages": _document_pages,

@@ -307,3 +307,12 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON arrays as a model server returns them, with elements that are not numbers."""
     parts = F.concat(F.lit('[1,"x",null,'), F.col("label").cast("string"), F.lit(",-2.5,true,[3]]"))
     return table(spark, sf_dir, "embeddings").select("vec_id", parts.alias("text"))
+
+
+def patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A piece of every 20th document in upper case, of 2, 5, 9 or 14 letters, asked of either tenant."""
+    docs = table(spark, d, "documents").where("doc_id % 20 = 0")
+    length = F.expr("element_at(array(2, 5, 9, 14), int(doc_id div 20 % 4) + 1)")
+    return docs.select(
+        F.col("doc_id").alias("query_id"), F.concat((1000 + F.expr("doc_id div 20 % 2")).cast("string"), F.lit("-docs")).alias("tenant"),
+        F.upper(F.substring(F.col("text"), F.lit(7), length)).alias("text"))

@@ -310,6 +310,13 @@ def _oracle() -> dict[str, str]:
             JOIN vectors v ON v.tenant = (1000 + e.vec_id % 2) || '-docs' AND v.vector_id = 'd' || e.vec_id WHERE e.label % 3 = 0""",
             raw_queries=_DASHBOARD_QUERIES,
         ),
+        "substring_lookup": _control(
+            "vectors",
+            """SELECT query_id, v.id FROM (
+                SELECT doc_id AS query_id, (1000 + doc_id // 20 % 2) || '-docs' AS tenant,
+                    lower(upper(text[7:6 + [2, 5, 9, 14][(doc_id // 20 % 4) + 1]])) AS needle
+                FROM documents WHERE doc_id % 20 = 0) p
+            JOIN vectors v USING (tenant) WHERE needle <> '' AND contains(lower(v.content), needle)"""),
         "trigram_similarity": f"""WITH d AS ({_GRAMS.format('doc_id', 'documents')}), b AS ({_GRAMS.format('item_id', 'benchmark')}),
             dn AS (SELECT k, count(*) AS n FROM d GROUP BY k), bn AS (SELECT k, count(*) AS n FROM b GROUP BY k)
             SELECT query_id, id, round(similarity, 6) AS similarity FROM (
