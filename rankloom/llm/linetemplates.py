@@ -6,9 +6,9 @@ variable field too; what remains is the line's template. Templates that recur in
 ``least`` different texts are dropped from all documents. With ``identical``, lines that stand
 unchanged in two different texts or more are dropped as well, whatever their tokens are.
 
-Counts are made on distinct lines, so a line that stands in a third of all documents is one
-row from its first aggregation on. Only lines of leaves that recur are taken further, and
-the texts themselves move once, to meet the places of their dropped lines.
+One pass over the texts names every line by hashes of its leaf and of its tokens; identical
+lines and leaves that recur are found from that small table. Only lines of such leaves are
+taken further, and the texts themselves move once, to meet the places of their dropped lines.
 """
 
 from __future__ import annotations
@@ -30,40 +30,55 @@ def _masked(tokens):
 
 
 def _tokens(line: str):
-    return F.regexp_extract_all(line, F.lit(r"[^ \t\r]+"), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.col(line), "\t\r", "  "), " ", -1), "")
 
 
-def parsed(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """Every line that has tokens: doc_id, body (a hash of its text), place, line, leaf."""
+def _name(column, first: str, second: str) -> list:
+    """128 bits of a text, as two numbers."""
+    return [F.xxhash64(column).alias(first), F.xxhash64(F.lit(1), column).alias(second)]
+
+
+BODY = ["body", "body2"]
+
+
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """Every line that has tokens: body, body2 (the name of its text), place, tokens."""
     text = whole_text(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("body"),
-        F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("tokens", _tokens("line")).where(F.size("tokens") > 0)
-    # Only the leading tokens are looked at here; the others are when the leaf recurs.
+    rows = docs.select(*_name(text, *BODY), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+    return rows.select(*BODY, "place", _tokens("line").alias("tokens")).where(F.size("tokens") > 0)
+
+
+def _leaf(depth: int):
     leading = F.array_join(_masked(F.slice("tokens", 1, depth)), " ")
-    return rows.select(
-        "doc_id", "body", "place", "line", F.concat_ws(" ", F.size("tokens").cast("string"), leading).alias("leaf"))
+    return F.concat_ws(" ", F.size("tokens").cast("string"), leading)
+
+
+def parsed(docs: DataFrame, depth: int, text_col: str, folder: str) -> DataFrame:
+    """body, body2, place, key (a hash of the leaf), same, same2 (the name of its tokens) of every line, stored."""
+    line = F.array_join("tokens", " ")
+    return stored(_lines(docs, text_col).select(
+        *BODY, "place", F.xxhash64(_leaf(depth)).alias("key"), *_name(line, "same", "same2")), f"{folder}/parsed")
 
 
 def line_templates(
-    docs: DataFrame, least: int = LEAST, depth: int = DEPTH, constant: float = CONSTANT,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, least: int = LEAST, depth: int = DEPTH, constant: float = CONSTANT, text_col: str = "text",
+    lines: DataFrame | None = None,
 ) -> DataFrame:
-    """The lines whose template recurs: doc_id, body, place, template, n_texts."""
+    """The lines whose template recurs: body, body2, place, template, n_texts. ``lines`` are those of ``parsed``."""
     folder = run_folder(docs.sparkSession, "lines")
-    lines = parsed(docs, depth, id_col, text_col)
+    lines = parsed(docs, depth, text_col, folder) if lines is None else lines
     # Leaves by hash: one that shares its hash with another is only looked at in vain.
-    keys = lines.select(F.xxhash64("leaf").alias("key"), "body")
-    leaves = keys.groupBy("key").agg(F.count_distinct("body").alias("n")).where(F.col("n") >= least)
-    leaves = stored(leaves.select("key"), f"{folder}/leaves")
-    lines = lines.withColumn("key", F.xxhash64("leaf")).join(leaves, "key", "left_semi").drop("key")
-    lines = lines.withColumn("masked", F.array_join(_masked(_tokens("line")), " ")).drop("line")
-    lines = stored(lines, f"{folder}/recurring")
-
-    distinct = stored(
-        lines.groupBy("leaf", "masked").agg(F.count_distinct("body").alias("n")), f"{folder}/distinct")
-    spread = distinct.select("leaf", "masked", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    leaves = lines.select("key", *BODY).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    leaves = stored(leaves.where(F.col("n") >= least).select("key"), f"{folder}/leaves")
+    own = _lines(docs, text_col).withColumn("leaf", _leaf(depth)).withColumn("key", F.xxhash64("leaf"))
+    own = own.join(leaves, "key", "left_semi").drop("key")
+    own = own.select(*BODY, "place", "leaf", F.array_join(_masked(F.col("tokens")), " ").alias("masked")).distinct()
+    own = stored(own, f"{folder}/recurring")
+
+    # A line counts once for each text, so a masked line is first one row for each text that has it.
+    kinds = own.select("leaf", "masked", *BODY).distinct().groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds, f"{folder}/kinds")
+    spread = kinds.select("leaf", "masked", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     shared = spread.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= least)
     marked = spread.join(shared, ["leaf", "at", "token"], "left")
     field = F.col("held").isNull() | (F.col("token") == FIELD)
@@ -72,24 +87,20 @@ def line_templates(
         F.avg(F.when(field, 0.0).otherwise(1.0)).alias("fixed"))
     template = template.where(F.col("fixed") >= constant).select(
         "leaf", "masked", F.array_join(F.col("parts.token"), " ").alias("template"))
+    template = stored(template, f"{folder}/templates")
 
-    named = lines.join(template, ["leaf", "masked"])
-    counts = named.groupBy("leaf", "template").agg(F.count_distinct("body").alias("n_texts"))
+    named = own.join(template, ["leaf", "masked"])
+    counts = named.select("leaf", "template", *BODY).distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_texts"))
     recurring = counts.where(F.col("n_texts") >= least)
-    return named.join(recurring, ["leaf", "template"]).select("doc_id", "body", "place", "template", "n_texts")
+    return named.join(recurring, ["leaf", "template"]).select(*BODY, "place", "template", "n_texts")
 
 
-def identical_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The lines whose tokens stand in at least two different texts: body, place."""
-    text = whole_text(text_col)
-    rows = docs.select(
-        F.md5(text.cast("binary")).alias("body"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    rows = rows.withColumn("tokens", _tokens("line")).where(F.size("tokens") > 0)
-    rows = rows.select("body", "place", F.unhex(F.md5(F.array_join("tokens", " ").cast("binary"))).alias("same"))
+def identical_lines(lines: DataFrame, folder: str) -> DataFrame:
+    """The lines whose tokens stand in at least two different texts: body, body2, place."""
     # Two texts are enough, so the outermost bodies tell without a list of them.
-    met = rows.groupBy("same").agg(F.min("body").alias("a"), F.max("body").alias("b"))
-    again = stored(met.where("a <> b").select("same"), run_folder(docs.sparkSession, "identical"))
-    return rows.join(again, "same", "left_semi").select("body", "place")
+    met = lines.groupBy("same", "same2").agg(F.min(F.struct(*BODY)).alias("a"), F.max(F.struct(*BODY)).alias("b"))
+    again = stored(met.where("a <> b").select("same", "same2"), f"{folder}/identical")
+    return lines.join(again, ["same", "same2"], "left_semi").select(*BODY, "place")
 
 
 def drop_lines(
@@ -99,21 +110,25 @@ def drop_lines(
     """Texts without the lines whose template recurs: doc_id, n_lines, n_dropped, kept_text.
 
     Lines end with a line feed; tokens are runs of anything but spaces, tabs and carriage
-    returns; lines without tokens stay. Equal texts count once towards ``least``. A null text is
+    returns; lines without tokens stay. Equal texts count once towards ``least``. With
+    ``identical``, lines with the same tokens in two different texts go as well, whatever
+    their number; white space between tokens makes no difference. A null text is
     one empty line; a null id stays null; rows that repeat are all returned; no rows give
     no rows; other columns are not read.
     """
-    found = line_templates(docs, least, depth, constant, id_col, text_col).select("body", "place")
+    folder = run_folder(docs.sparkSession, "lines")
+    lines = parsed(docs, depth, text_col, folder)
+    found = line_templates(docs, least, depth, constant, text_col, lines).select(*BODY, "place")
     if identical:
-        found = found.unionByName(identical_lines(docs, text_col))
+        found = found.unionByName(identical_lines(lines, folder))
     # Rows with the same text lose the same lines, so the text alone names them.
-    dropped = found.groupBy("body").agg(F.collect_set("place").alias("places"))
-    dropped = stored(dropped, run_folder(docs.sparkSession, "dropped"))
+    dropped = stored(found.groupBy(*BODY).agg(F.collect_set("place").alias("places")), f"{folder}/dropped")
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("body"))
-    split = F.split("text", "\n")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *_name(text, *BODY))
+    split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda _, i: ~F.array_contains("places", i))
-    joined = rows.join(dropped, "body", "left")
+    # Both sides grow with the documents, so they are merged at any size.
+    joined = rows.join(dropped.hint("merge"), BODY, "left")
     return joined.select(
         "doc_id", F.size(split).cast("long").alias("n_lines"),
         F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_dropped"),

@@ -155,8 +155,13 @@ WITH rows AS (
     SELECT DISTINCT body, place FROM named JOIN (
         SELECT leaf, template FROM named GROUP BY leaf, template HAVING count(DISTINCT body) >= 5
     ) USING (leaf, template)
+), same AS (
+    SELECT DISTINCT body, place, array_to_string(regexp_extract_all(line, '[^ \t\r]+'), ' ') AS line FROM lines
+    WHERE len(regexp_extract_all(line, '[^ \t\r]+')) > 0
+), repeated AS (
+    SELECT body, place FROM same WHERE line IN (SELECT line FROM same GROUP BY line HAVING count(DISTINCT body) >= 2)
 ), places AS (
-    SELECT body, list(place) AS places FROM dropped GROUP BY body
+    SELECT body, list(place) AS places FROM (SELECT body, place FROM dropped UNION SELECT body, place FROM repeated) GROUP BY body
 )
 SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, coalesce(len(places), 0) AS n_dropped,
     CASE WHEN places IS NULL THEN text ELSE array_to_string(list_transform(

@@ -7,12 +7,13 @@ from rankloom.llm.linetemplates import drop_lines, line_templates
 from tests.llm.samples import no_documents, odd_documents
 
 
-def brute(rows, least=5, depth=3, constant=0.5):
-    lines = []
+def brute(rows, least=5, depth=3, constant=0.5, identical=False):
+    lines, every = [], defaultdict(set)
     for text in {t or "" for _, t in rows}:
         for place, line in enumerate(text.split("\n")):
             tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^ \t\r]+", line)]
             if tokens:
+                every[tuple(re.findall(r"[^ \t\r]+", line))].add((text, place))
                 lines.append((text, place, (len(tokens), *tokens[:depth]), tuple(tokens)))
     texts = defaultdict(set)
     for text, _, leaf, _ in lines:
@@ -32,6 +33,8 @@ def brute(rows, least=5, depth=3, constant=0.5):
         met[leaf, template(leaf, tokens)].add(text)
     gone = {(text, place) for text, place, leaf, tokens in lines
             if template(leaf, tokens) and len(met[leaf, template(leaf, tokens)]) >= least}
+    if identical:
+        gone |= {x for where in every.values() if len({t for t, _ in where}) > 1 for x in where}
     out = []
     for doc_id, text in rows:
         split = (text or "").split("\n")
@@ -50,8 +53,9 @@ LOGS = [
 def test_equals_brute_force(spark):
     docs = odd_documents(spark, LOGS)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for least in (2, 5, 12):
-        assert sorted(map(tuple, drop_lines(docs, least).collect()), key=str) == brute(rows, least)
+    for least, identical in ((2, False), (5, True), (12, True), (12, False)):
+        got = sorted(map(tuple, drop_lines(docs, least, identical=identical).collect()), key=str)
+        assert got == brute(rows, least, identical=identical)
 
 
 def test_fields_are_generalised_and_copies_count_once(spark):
@@ -68,7 +72,7 @@ def test_fields_are_generalised_and_copies_count_once(spark):
 
 def test_no_rows_and_no_python(spark):
     assert drop_lines(no_documents(spark)).count() == 0
-    plan = drop_lines(odd_documents(spark))._jdf.queryExecution().optimizedPlan().toString()
+    plan = drop_lines(odd_documents(spark), identical=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
