@@ -18,6 +18,7 @@ across two words, and words can be encoded one by one.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from array import array
 from dataclasses import dataclass
@@ -35,8 +36,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 # Fixed value: how far below the lowest score an unknown letter is.
 UNKNOWN_PENALTY = 10.0
-# Marked words and borders that a worker remembers at a time.
-REMEMBERED = 400_000
+# Marked words and borders that a worker remembers at a time, some 40 MB of each. The half that came first,
+# which holds the frequent ones, stays when there are more.
+REMEMBERED = 250_000
 _WORD = re.compile(r" +[^ ]*")
 
 
@@ -79,7 +81,7 @@ class Segmenter:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(model.pieces) if t == UNKNOWN), 0)
         self.words: dict[str, bytes] = {}
-        self.borders: dict[tuple[str, str], bool] = {}
+        self.borders: dict[str, bool] = {}
         self.table = [self._spelled(p, t) for p, _, t in model.pieces]
 
     @staticmethod
@@ -139,11 +141,11 @@ class Segmenter:
 
     def _border(self, left: str, right: str) -> bool:
         """Whether two pieces stand side by side without a merge across."""
-        key = (left, right)
+        key = f"{left}\n{right}"
         known = self.borders.get(key)
         if known is None:
             if len(self.borders) >= self.limit:
-                self.borders.clear()
+                self.borders = dict(itertools.islice(self.borders.items(), self.limit // 2))
             known = self.borders[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
@@ -221,8 +223,8 @@ class Segmenter:
                 split.append([f" \n{opening}", *words] if opening.strip(" ") else words)
         fresh = set().union(*split).difference(self.words)
         if len(self.words) + len(fresh) > self.limit:
-            self.words.clear()
-            fresh = set().union(*split)
+            self.words = dict(itertools.islice(self.words.items(), self.limit // 2))
+            fresh = set().union(*split).difference(self.words)
         keys = {self._marked(k): k for k in fresh}
         order = sorted(keys)
         for word, pieces in zip(order, self.forward(order)):
