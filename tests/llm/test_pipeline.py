@@ -6,12 +6,18 @@ import corpus_pipeline
 from rankloom.llm import toxicity
 from rankloom.llm.decontam import MATCH, Items, align
 from tests.llm.samples import no_documents, odd_documents
-from tests.llm.test_simhash import plain_simhash, reach
+from tests.llm.test_simhash import reach
+from tests.llm.test_similar import near
 
 DATA = "/root/testdata/sf0.001"
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def shingles(text):
+    words = text.translate(_AZ).encode().split()
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def brute(rows, machine, items):
     """The pipeline's documents by plain loops: what each stage keeps."""
     kept = [(i, t) for i, t in rows if machine.score(toxicity.terms(t)) < 0.5]
@@ -19,12 +25,9 @@ def brute(rows, machine, items):
     for i, t in kept:
         last[t.translate(_AZ)] = max(i, last.get(t.translate(_AZ), i))
     kept = [(i, t) for i, t in kept if last[t.translate(_AZ)] == i]
-    prints = {i: plain_simhash(t) for i, t in kept}
-    labels = reach(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2)
-    lowest = {}
-    for i, f in prints.items():
-        lowest[labels[f]] = min(i, lowest.get(labels[f], i))
-    kept = [(i, t) for i, t in kept if lowest[labels[prints[i]]] == i]
+    sets = {i: shingles(t) for i, t in kept}
+    labels = reach(set(sets), lambda a, b: near(sets[a], sets[b]))
+    kept = [(i, t) for i, t in kept if labels[i] == i]
     every = Items([([i], t) for i, t in items], 3)
     def clean(text):
         numbers = every.hits(text)[0]

@@ -36,7 +36,7 @@ def near_docs():
     return rows
 
 
-@pytest.mark.parametrize("sample", [similar.SAMPLE, 0])
+@pytest.mark.parametrize("sample", [similar.SAMPLE, 0, 1])
 def test_groups_equal_brute_force(spark, monkeypatch, sample):
     monkeypatch.setattr(similar, "SAMPLE", sample)
     rows = near_docs()
@@ -78,3 +78,14 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([1, 3, 6, 7, 8, 9, None], key=str)
     assert similar.drop_similar(no_documents(spark)).count() == 0
+
+
+def test_null_ids_and_an_id_of_two_texts_lose_no_text(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[2]), (None, words[2]), (5, words[3]), (5, words[4]), (5, words[4]),
+            (6, words[4] + " end"), (None, words[5]), (9, words[5] + " end"), (7, words[6]), (7, words[6] + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in rows], no_documents(spark).schema)
+    left = [(r.doc_id, r.text) for r in similar.drop_similar(docs).collect()]
+    assert len(left) == 7 and len({t[:60] for _, t in left}) == 7
+    assert {(i, t) for i, t in left} >= {
+        (None, words[0]), (None, words[1]), (None, words[2]), (5, words[3]), (5, words[4]), (9, words[5] + " end")}
