@@ -214,9 +214,12 @@ def _array_filters(spark, d):
     return docs.select("id", F.explode(F.array_compact(held)).alias("filter"))
 
 
+def _shown(vector) -> F.Column:
+    return F.array_join(F.transform(vector, lambda x: F.format_number(x.cast("double"), 5)), " ")
+
+
 def _coerced(spark, d):
-    shown = F.array_join(F.transform(coerce_embedding(F.col("text")), lambda x: x.cast("double").cast("string")), " ")
-    return control.embedding_texts(spark, d).select("vec_id", shown.alias("embedding"))
+    return control.embedding_texts(spark, d).select("vec_id", _shown(coerce_embedding(F.col("text"))).alias("embedding"))
 
 
 def _embedded(spark, d):
@@ -224,16 +227,29 @@ def _embedded(spark, d):
         control.insert_requests(spark, d), models.hashed_text_embedder(64),
         vector_id=store.content_id(F.col("tenant"), F.col("content")),
     )
-    shown = F.array_join(F.transform("embedding", lambda x: F.format_number(x.cast("double"), 5)), " ")
-    return rows.select("tenant", "vector_id", shown.alias("embedding"))
+    return rows.select("tenant", "vector_id", _shown("embedding").alias("embedding"))
 
 
-def _images(spark, d):
-    asked = control.image_requests(spark, d)
-    rows, _ = store.ingest_images(
-        asked, models.hashed_image_embedder(64), vector_id=F.col("request_id").cast("string")
-    )
-    return rows.select("tenant", F.col("vector_id").cast("long").alias("request_id"))
+# A cap on encoded images that some of the given pages exceed.
+IMAGE_CHARS = 4000
+
+
+def _images(part: int):
+    def run(spark, d):
+        made = store.ingest_images(
+            control.image_requests(spark, d), models.hashed_image_embedder(64), most_chars=IMAGE_CHARS,
+            vector_id=F.col("request_id").cast("string"))
+        if part:
+            return made[1].select("request_id", "reject_reason")
+        return made[0].select(
+            "tenant", F.col("vector_id").cast("long").alias("request_id"), "content", "metadata", _shown("embedding").alias("embedding"))
+    return run
+
+
+def _detected(spark, d):
+    found, _ = moderation.detect(control.image_requests(spark, d), models.hashed_detector())
+    shown = F.transform("labels", lambda x: F.concat_ws(":", x["label"], x["confidence"]))
+    return found.select("request_id", "nsfw", F.array_join(shown, ",").alias("labels"))
 
 
 def _event_stream(spark, d):
@@ -462,7 +478,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_rows": _ingest(0),
         "ingest_rejected": _ingest(1),
         "ingest_embedded": _embedded,
-        "image_ingest": _images,
+        "image_ingest": _images(0),
+        "image_rejected": _images(1),
+        "moderation_detected": _detected,
         "stream_payments": _stream_payments,
         "stream_search": _stream_search,
         "stream_ingest": _stream_ingest,

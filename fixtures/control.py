@@ -304,9 +304,11 @@ TAG_FILTERS = ['{"tags":["en"]}', '{"tags":["de",1]}', '{"tags":[{"even":true},"
 
 
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON arrays as a model server returns them, with elements that are not numbers."""
-    parts = F.concat(F.lit('[1,"x",null,'), F.col("label").cast("string"), F.lit(",-2.5,true,[3]]"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", parts.alias("text"))
+    """Embeddings as the JSON arrays of a model server; the element numbered by the label is no number."""
+    odd = F.element_at(F.array(*map(F.lit, ('"x"', "null", "true", "[3]", '{"k":1}'))), (F.col("vec_id") % 5 + 1).cast("int"))
+    parts = F.transform("embedding", lambda x, i: F.when(i == F.col("label"), odd).otherwise(x.cast("string")))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")).alias("text"))
 
 
 def patterns(spark: SparkSession, d: str) -> DataFrame:

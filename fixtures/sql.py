@@ -285,6 +285,29 @@ _BULK = """
     FROM ev JOIN users ON id = owner GROUP BY owner"""
 
 
+# Unit vectors of signed hashes of the pieces of each row of a table with a list of pieces.
+_EMBEDDED = """
+    SELECT *, list_transform(sums, lambda t: (t::FLOAT::DOUBLE / greatest(sqrt(list_sum(list_transform(sums, lambda u: u * u))), 1e-30)::FLOAT::DOUBLE)::FLOAT) AS vector
+    FROM (SELECT *, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(list_filter(hashes, lambda h: h % 64 = i),
+            lambda h: CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)), 0)) AS sums
+        FROM (SELECT *, list_transform(pieces, lambda p: ('0x' || left(p, 8))::UBIGINT) AS hashes FROM ({0})))"""
+
+# MD5 sums of blocks of 64 bytes of a text, and of its words.
+_BLOCKS = "list_transform(range((length(hex(encode({0}))) + 127) // 128), lambda i: md5(unhex(substr(hex(encode({0})), 128 * i + 1, 128))))"
+_HASHED_WORDS = r"list_transform(list_filter(string_split_regex(lower({0}), '\s+'), lambda w: w <> ''), lambda w: md5({1} || w))"
+
+_ROUTED = """
+    SELECT query_id, tenant, text, vector, NULL AS wanted, 1 AS page, 10 AS lim FROM (""" + _EMBEDDED.format("""
+        SELECT query_id, tenant, text, CASE WHEN query_id % 3 = 0 THEN """ + _BLOCKS.format("given") + """
+            WHEN query_id % 2 = 0 THEN """ + _HASHED_WORDS.format("text", "'cross-modal:'") + """
+            ELSE """ + _HASHED_WORDS.format("text", "'multilingual:'") + """ END AS pieces
+        FROM (SELECT vec_id AS query_id, (1000 + vec_id % 2) || CASE WHEN vec_id % 2 = 0 THEN '-images' ELSE '-docs' END AS tenant,
+                CASE WHEN vec_id % 5 <> 0 THEN given END AS text, given
+            FROM (SELECT vec_id, CASE label WHEN 3 THEN '  ' WHEN 5 THEN '?! --' WHEN 7 THEN 'zzzqx nohit' WHEN 8 THEN 'the and th'
+                    ELSE concat_ws(' ', w[1], w[2], left(w[3], 2)) END AS given FROM own_words))
+        WHERE query_id % 3 = 0 OR query_id % 5 <> 0""") + """)"""
+
+
 def oracle() -> dict[str, str]:
     made = _oracle()
     # The same results by another physical route.
@@ -333,8 +356,21 @@ def _oracle() -> dict[str, str]:
             "ev", """SELECT 'txn-' || event_id AS transaction_id, owner AS user_id, ts AS created_at
             FROM ev WHERE event_type = 'purchase'""",
         ),
-        "image_ingest": """SELECT (1000 + page_id % 2) || '-images' AS tenant, page_id AS request_id
-            FROM pages WHERE page_id % 7 <> 0""",
+        "image_ingest": f"""SELECT (1000 + page_id % 2) || '-images' AS tenant, page_id AS request_id, NULL::VARCHAR AS content,
+            '{{"url":' || to_json(url) || '}}' AS metadata, array_to_string(list_transform(vector, lambda x: format('{{:.5f}}', x::DOUBLE)), ' ') AS embedding
+            FROM ({_EMBEDDED.format('SELECT page_id, url, ' + _BLOCKS.format('html') + ' AS pieces FROM pages WHERE page_id % 7 <> 0 AND length(base64(encode(html))) <= 4000')})""",
+        "image_rejected": """SELECT page_id AS request_id, 'ImageProcessing' AS reject_reason FROM pages
+            WHERE page_id % 7 = 0 OR length(base64(encode(html))) > 4000""",
+        "moderation_detected": """
+            SELECT page_id AS request_id, len(list_filter(found, lambda x: x.name = 'Violence')) > 0 AS nsfw,
+                array_to_string(list_transform(found, lambda x: x.name || ':' || x.confidence), ',') AS labels
+            FROM (SELECT page_id, list_transform(range(h[1] % 4), lambda i: {
+                    'name': ['Violence', 'Suggestive', 'Unknown'][h[2 + 2 * i] % 3 + 1], 'confidence': (h[3 + 2 * i] % 200 / 2)::VARCHAR || '%'}) AS found
+                FROM (SELECT page_id, list_transform(range(8), lambda i: ('0x' || md5(html)[2 * i + 1:2 * i + 2])::INT) AS h
+                    FROM pages WHERE page_id % 7 <> 0))""",
+        "search_router": _with(
+            _SEARCH_VIEWS, _SEARCH.format(keep="true"), raw_queries=_ROUTED, vleg=VIEWS["vleg"].replace(" AND dist < 0.7", ""),
+            pairs=VIEWS["pairs"].replace("WHERE ", "WHERE list_sum(list_transform(q.vector, lambda x: abs(x))) > 0 AND ")),
         "payments_replayed": _control(
             _PAYMENTS, """SELECT event_id, coalesce(reject_reason, '') AS reject_reason FROM settled
             UNION ALL SELECT event_id, coalesce(reject_reason, 'DuplicateTransaction') FROM settled""",
@@ -361,7 +397,8 @@ def _oracle() -> dict[str, str]:
             UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'de' AND doc_id % 4 = 1
             UNION ALL SELECT doc_id, 2 FROM documents WHERE lang = 'fr' AND doc_id % 2 = 0
             UNION ALL SELECT doc_id, 3 FROM documents""",
-        "coerced_embeddings": "SELECT vec_id, '1.0 0.0 0.0 ' || label || '.0 -2.5 0.0 0.0' AS embedding FROM embeddings",
+        "coerced_embeddings": """SELECT vec_id, array_to_string(list_transform(range(len(embedding)),
+            lambda i: format('{:.5f}', CASE WHEN i = label THEN 0.0 ELSE embedding[i + 1]::DOUBLE END)), ' ') AS embedding FROM embeddings""",
         "api_keys_listing": _control("users api_keys", "SELECT owner_id, name, created_at FROM api_keys"),
         "usage_listing": _control(
             "users prior_usage", "SELECT user_id, usage_date::VARCHAR AS usage_date, credits_used::BIGINT AS credits_used FROM prior_usage"),

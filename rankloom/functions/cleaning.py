@@ -51,8 +51,8 @@ def decode_base64(text: Column) -> Column:
     return F.when(strict, F.try_to_binary(text, F.lit("base64")))
 
 
-def image_fits(encoded: Column) -> Column:
-    return F.octet_length(encoded) <= MAX_IMAGE_CHARS
+def image_fits(encoded: Column, most: int = MAX_IMAGE_CHARS) -> Column:
+    return F.octet_length(encoded) <= most
 
 
 def known_region(region: Column) -> Column:
