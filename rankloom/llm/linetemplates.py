@@ -30,7 +30,9 @@ def _masked(tokens):
 
 
 def _tokens(line: str):
-    return F.array_remove(F.split(F.translate(F.col(line), "\t\r", "  "), " ", -1), "")
+    # Plain searches: most lines hold neither of the two, and a blank needs no pattern.
+    blank = F.replace(F.replace(F.col(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_remove(F.split(blank, " ", -1), "")
 
 
 def _name(column, first: str, second: str) -> list:
@@ -100,7 +102,8 @@ def identical_lines(lines: DataFrame, folder: str) -> DataFrame:
     # Two texts are enough, so the outermost bodies tell without a list of them.
     met = lines.groupBy("same", "same2").agg(F.min(F.struct(*BODY)).alias("a"), F.max(F.struct(*BODY)).alias("b"))
     again = stored(met.where("a <> b").select("same", "same2"), f"{folder}/identical")
-    return lines.join(again, ["same", "same2"], "left_semi").select(*BODY, "place")
+    # Both sides grow with the lines, so they are merged at any size.
+    return lines.join(again.hint("merge"), ["same", "same2"], "left_semi").select(*BODY, "place")
 
 
 def drop_lines(
