@@ -8,7 +8,9 @@ neighbours that can still be in a query's top k. Two physical forms:
   corpus partitions are scanned in place, so the corpus is never shuffled;
 * otherwise: corpus and queries are cut into bounded hash blocks per tenant and
   each (tenant, query block, corpus block) rectangle is one co-group, so a
-  tenant holding a third of both tables spreads over many tasks.
+  tenant holding a third of both tables spreads over many tasks. The number of
+  blocks on either side follows from counted sizes, so that the fewest copies
+  of rows travel.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from rankloom.operators.topk import top_per_query
 
 BROADCAST_QUERIES = 8192
 BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 2048
-CORPUS_BLOCK = 16384
+# The most queries and corpus rows of a rectangle, and the pairs it is meant to have.
+QUERY_BLOCK = 16384
+CORPUS_BLOCK = 65536
+PAIRS = 1 << 26
 _TILE = 2048
 # Distances are compared at this precision so that ties break by id everywhere.
 DISTANCE_DIGITS = 12
@@ -127,20 +131,35 @@ def _broadcast_scan(corpus: DataFrame, table: pa.Table, threshold) -> DataFrame:
     return corpus.mapInArrow(run, HITS)
 
 
-def _block_count(df: DataFrame, rows: int, name: str) -> DataFrame:
-    counts = df.groupBy("tenant").agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.select("tenant", F.ceil(F.col("_rows") / rows).cast("int").alias(name))
+def grid(
+    corpus: DataFrame, queries: DataFrame, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, pairs: int = PAIRS,
+) -> DataFrame:
+    """``tenant, _query_blocks, _corpus_blocks``: the rectangles in which a tenant's rows meet its queries.
+
+    A corpus row is sent once for every block of queries and a query once for every block of
+    the corpus. Of all grids with enough rectangles for the tenant's pairs, n rows and q
+    queries travel least when blocks stand as rows to queries: sqrt(rectangles * q / n) blocks
+    of queries. Both kinds of blocks stay within their bounds.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("tenant").agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    sizes = counted(queries, "_q").join(counted(corpus, "_n"), "tenant")
+    rectangles = F.ceil(F.col("_q") * F.col("_n") / pairs)
+    balanced = F.round(F.sqrt(rectangles * F.col("_q") / F.col("_n")))
+    sizes = sizes.withColumn("_query_blocks", F.greatest(F.ceil(F.col("_q") / query_block), balanced, F.lit(1)).cast("int"))
+    needed = F.ceil(rectangles / F.col("_query_blocks"))
+    sizes = sizes.withColumn("_corpus_blocks", F.greatest(F.ceil(F.col("_n") / corpus_block), needed, F.lit(1)).cast("int"))
+    return sizes.select("tenant", "_query_blocks", "_corpus_blocks")
 
 
 def _blocked_join(
     corpus: DataFrame, queries: DataFrame, threshold, query_block: int, corpus_block: int
 ) -> DataFrame:
-    plan = _block_count(queries, query_block, "_query_blocks").join(
-        _block_count(corpus, corpus_block, "_corpus_blocks"), "tenant"
-    )
+    plan = grid(corpus, queries, query_block, corpus_block)
     # Salting both sides of the size lookup keeps a hot tenant spread out when
     # there are too many tenants for the lookup to be broadcast.
-    salts = 32
+    salts = max(32, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def placed(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:

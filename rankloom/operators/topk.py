@@ -55,3 +55,13 @@ def nearest(corpus: DataFrame, vector: list[float], k: int) -> DataFrame:
     probe = F.array(*[F.lit(float(x)) for x in vector])
     scored = corpus.withColumn("distance", cosine_distance(F.col("embedding"), probe))
     return scored.orderBy(F.col("distance").asc_nulls_last(), F.col("id")).limit(k)
+
+
+def write_ordered(found: DataFrame, path: str, order: tuple[str, ...] = ("query_id", "rank"), files: int | None = None) -> None:
+    """Write results so that the files, read in the order of their names, are sorted as a whole.
+
+    Rows are ranged by ``order`` into partitions and sorted within them; no task sees more than
+    its range. Without a number of ``files`` their sizes decide.
+    """
+    ranged = found.repartitionByRange(files, *order) if files else found.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.parquet(path)

@@ -408,3 +408,34 @@ def test_cells_of_no_rows(spark, tmp_path):
     cells.write_cells(corpus.where("id < 0"), f"{tmp_path}/none")
     assert cells.search_cells(spark, f"{tmp_path}/none", asked).count() == 0
     assert {r.rows for r in cells.cells_read(spark, f"{tmp_path}/none", asked).collect()} == {0}
+
+
+def test_grid_sends_the_fewest_copies(spark):
+    from rankloom.operators.knn import grid
+
+    def table(counts, key):
+        return spark.createDataFrame([(t, i) for t, n in counts.items() for i in range(n)], f"tenant string, {key} long")
+
+    corpus = table({"a": 4000, "b": 30, "c": 10, "d": 5}, "id")
+    queries = table({"a": 250, "b": 3000, "c": 10, "e": 7}, "query_id")
+    made = {r.tenant: (r._query_blocks, r._corpus_blocks) for r in grid(corpus, queries, 100, 1000, pairs=20_000).collect()}
+    # 50 rectangles of a: two blocks of queries would be balanced, three keep their bound.
+    assert made == {"a": (3, 17), "b": (30, 1), "c": (1, 1)}
+    assert 3 * 4000 + 17 * 250 < 10 * 4000 + 5 * 250 and 3 * 17 >= 50
+    wide = {r.tenant: (r._query_blocks, r._corpus_blocks) for r in grid(corpus, queries, pairs=20_000).collect()}
+    assert wide == {"a": (2, 25), "b": (22, 1), "c": (1, 1)}
+
+
+def test_results_are_sorted_across_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from rankloom.operators.topk import write_ordered
+
+    rng = random.Random(3)
+    rows = [(q, r, f"d{q}-{r}") for q in range(40) for r in range(1, 26)]
+    rng.shuffle(rows)
+    found = spark.createDataFrame(rows, "query_id long, rank long, vector_id string").repartition(7)
+    write_ordered(found, f"{tmp_path}/found", files=5)
+    files = sorted(p for p in (tmp_path / "found").iterdir() if p.suffix == ".parquet")
+    read = [tuple(r.values()) for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 1 and read == sorted(rows)
