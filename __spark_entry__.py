@@ -275,9 +275,17 @@ def _stream_ledger(spark, d):
     return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _stream_ledger_ordered(spark, d):
+    """The ledger by event time; without a delay the last event releases all."""
+    stream = ledger.with_opening(_from_stream(spark, d, control.ledger_of), control.ledger_users(spark, d))
+    made = drain_append(stateful.ordered_ledger_stream(stream, "0 seconds"))
+    return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def _stream_verification(spark, d):
     codes, attempts = _from_stream(spark, d, control.codes_of), _from_stream(spark, d, control.attempts_of)
-    return drain_append(stateful.verification_stream(codes, attempts, 720))
+    # The given events span a month, in which nothing is forgotten.
+    return drain_append(stateful.verification_stream(codes, attempts, 720, retention_minutes=60 * 24 * 60))
 
 
 def _trigrams(spark, d):
@@ -486,6 +494,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest": _stream_ingest,
         "stream_usage": _stream_usage,
         "stream_ledger": _stream_ledger,
+        "stream_ledger_ordered": _stream_ledger_ordered,
         "stream_verification": _stream_verification,
     }
 

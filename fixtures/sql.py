@@ -320,6 +320,7 @@ def oracle() -> dict[str, str]:
     made["stream_ingest"] = made["ingest_rows"]
     made["stream_usage"] = made["usage_daily"]
     made["stream_ledger"] = made["credit_ledger"]
+    made["stream_ledger_ordered"] = made["credit_ledger"]
     made["stream_verification"] = made["verification_outcomes"]
     return made
 
