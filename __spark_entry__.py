@@ -207,6 +207,15 @@ def _promoted(spark, d):
     return corpus.where("lang = 'de'").select("id", "lang", "chars")
 
 
+def _promoted_topk(spark, d):
+    """Filtered search over a stored corpus whose hot metadata paths are columns."""
+    folder = _folder(spark)
+    rows = views.vectors(spark, d).withColumns({"tokens": tokens(F.col("content")), "norm": norm(F.col("embedding"))})
+    fields = {"lang": "$.lang", "source": "$.source"}
+    store.write_corpus(store.promote(rows, fields), folder)
+    return vector_search(store.read_corpus(spark, folder, promoted=fields), views.queries(spark, d, True)).selectExpr(*_FOUND)
+
+
 def _array_filters(spark, d):
     docs = control.tagged(spark, d)
     parsed = F.try_parse_json("metadata")
@@ -446,6 +455,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_rank_filtered_index": _text_index(True),
         "document_lookup": _lookups,
         "promoted_fields": _promoted,
+        "promoted_topk_filtered": _promoted_topk,
         "array_filters": _array_filters,
         "coerced_embeddings": _coerced,
         "trigram_similarity": _trigrams,

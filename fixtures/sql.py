@@ -314,6 +314,7 @@ def oracle() -> dict[str, str]:
     made["vector_topk_blocks"] = made["vector_topk"]
     made["text_rank_shuffled"] = made["text_rank"]
     made["stored_hybrid"] = made["hybrid_rrf"]
+    made["promoted_topk_filtered"] = made["vector_topk_filtered"]
     made["text_rank_index"] = made["text_rank"]
     made["text_rank_filtered_index"] = made["text_rank_filtered"]
     made["stream_payments"] = made["payments_etl"]

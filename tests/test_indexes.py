@@ -92,3 +92,31 @@ def test_rarest_pieces_lose_no_similar_pair(spark, threshold):
     a, b = (sorted((r.query_id, r.id, round(r.similarity, 12)) for r in trigram.trigram_similarity(corpus, queries, threshold, s).collect())
             for s in ("auto", "prefix"))
     assert a == b and a
+
+
+def test_filters_on_promoted_columns_are_pushed_down(spark, tmp_path):
+    from rankloom.plans import filters
+    from rankloom.plans.search import vector_search
+    from rankloom.sources import corpus as store
+
+    metadata = ['{"lang":"en","n":1}', '{"lang":"de","n":2}', '{"lang":5}', '{"lang":"5"}', '{"lang":["en"]}', None, '{"a":{"b":"x"}}']
+    rows = [(i, "t", f"d{i}", [1.0, i / 40], "text", metadata[i % 7], "eu") for i in range(70)]
+    corpus = spark.createDataFrame(
+        rows, "id long, tenant string, vector_id string, embedding array<float>, content string, metadata string, region string")
+    fields = {"lang": "$.lang", "b": "$.a.b"}
+    store.write_corpus(store.promote(corpus, fields), f"{tmp_path}/rows", buckets=2)
+    stored = store.read_corpus(spark, f"{tmp_path}/rows", buckets=2, promoted=fields)
+    assert filters.promoted(stored) == {"$.lang": "lang", "$.a.b": "b"}
+    asked = ['{"lang":"en"}', '{"lang":"5"}', '{"a":{"b":"x"}}', '{"lang":"de","n":2}', '{"lang":"de","n":3}']
+
+    def found(df, texts):
+        queries = spark.createDataFrame(
+            [(i, "t", [1.0, 0.1], f) for i, f in enumerate(texts)], "query_id long, tenant string, vector array<float>, filter string")
+        return queries, sorted((r.query_id, r["rank"], r.vector_id) for r in vector_search(df, queries).collect())
+
+    for texts in (asked, [*asked, None], [*asked, '{"n":1}']):
+        queries, want = found(corpus, texts)
+        assert want and found(stored, texts)[1] == want
+        plan = filters.bind_filters(stored, queries, sorted({t for t in texts if t}))[0]
+        pushed = re.search(r"PushedFilters: \[([^\n]*)\]", plan._jdf.queryExecution().executedPlan().toString())[1]
+        assert ("lang" in pushed) == (texts is asked)
