@@ -236,7 +236,12 @@ def test_any_cost_ledger_of_users_who_can_always_pay(spark):
     rows = [(u, u * 100 + i, at(i), 9 if i % 2 == 0 else -(1 + i % 5), 0 if u else 3) for u in range(4) for i in range(60)]
     rows += [(9, 900 + i, at(i), -2 if i % 2 else 1, 1) for i in range(20)]
     frame = spark.createDataFrame(rows, LEDGER)
-    want = {(r.event_id, r.balance, r.denied) for r in ledger._folded(frame).collect()}
+    want, balances = set(), {}
+    for user, event_id, _, delta, opening in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        balance = balances.get(user, opening)
+        denied = delta < 0 and balance + delta < 0
+        balances[user] = balance if denied else balance + delta
+        want.add((event_id, balances[user], denied))
     for options in ({}, {"group_rows": 10, "chunks": 3}):
         made = ledger.any_cost_ledger(frame, **options)
         assert {(r.event_id, r.balance, r.denied) for r in made.collect()} == want
