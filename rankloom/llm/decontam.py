@@ -10,7 +10,9 @@ Test items come in blocks of bounded size, and each block goes over all document
 3. *Alignment.* Passages around the seeds are aligned with their item, word by word. Edited
    words, insertions and gaps cost a little each, so a reworded copy still scores high.
 
-A document is contaminated by an item from ``threshold`` of the score of a full copy.
+A document is contaminated by an item from ``threshold`` of the score of a full copy. An item of
+fewer words than an n-gram has no seed: its words must stand in a row, and an item of one word
+must be the whole document, as a word alone is no copy of anything.
 """
 
 from __future__ import annotations
@@ -34,6 +36,15 @@ RARE_SHARE = 1e-4
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 _WORD = re.compile(r"\w+")
+# Letters of scripts that put no spaces between words: Thai to Tibetan, Burmese, Khmer, Han and kana.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_LETTER, _EITHER = re.compile(f"[{_UNSPACED}]"), re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, digits and underscores, lower-cased; of unspaced scripts every letter."""
+    text = text.lower()
+    return (_EITHER if _LETTER.search(text) else _WORD).findall(text)
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int]:
@@ -59,7 +70,7 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
         for ids, text in rows:
-            found = _WORD.findall(text.lower())
+            found = words_of(text)
             self.ids.append(ids)
             self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64))
         self.base = max(2, len(self.vocabulary))
@@ -69,6 +80,10 @@ class Items:
         for i, item in enumerate(self.items):
             for code in np.unique(self.grams(item)[0]).tolist():
                 self.holders[code].append(i)
+        self.short: dict[tuple, list[int]] = defaultdict(list)
+        for i, item in enumerate(self.items):
+            if 0 < len(item) < words:
+                self.short[tuple(item.tolist())].append(i)
         self.use(self.holders)
 
     def use(self, codes) -> None:
@@ -90,7 +105,7 @@ class Items:
 
     def hits(self, text: str):
         """The numbers of a text's words, and its n-grams that are looked for, with places."""
-        found = _WORD.findall(text.lower())
+        found = words_of(text)
         numbers = np.fromiter(map(self.vocabulary.get, found, itertools.repeat(-1)), np.int64, len(found))
         code, at = self.grams(numbers)
         if not len(code) or not len(self.codes):
@@ -108,6 +123,7 @@ class Items:
     def matches(self, text: str, threshold: float):
         """(item, score, end word) of every item that the text holds a copy of."""
         numbers, codes, at = self.hits(text)
+        yield from self._whole(numbers)
         places = defaultdict(list)
         for code, place in zip(codes.tolist(), at.tolist()):
             for i in self.holders[code]:
@@ -127,6 +143,16 @@ class Items:
             if best[0] >= threshold * full:
                 yield i, best[0] / full, best[1]
 
+    def _whole(self, numbers: np.ndarray):
+        """The same for items shorter than an n-gram: their words in a row, or the only word of the text."""
+        met, row = {}, numbers.tolist()
+        for n in {len(item) for item in self.short}:
+            if n > 1 or len(row) == 1:
+                for at in range(len(row) - n + 1):
+                    for i in self.short.get(tuple(row[at:at + n]), ()):
+                        met.setdefault(i, at + n)
+        return [(i, 1.0, end) for i, end in met.items()]
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """Equal items as one, in blocks of at most ``block_bytes`` of text (or one item)."""
@@ -148,9 +174,9 @@ def leaks(
 ) -> DataFrame:
     """Copies of test items in documents: doc_id, item_id, score (1: a full copy), end_word.
 
-    Words are runs of letters, digits and underscores, lower-cased. Null and empty texts
-    have none; an item of fewer words than an n-gram cannot be found; equal items are found
-    together; null item ids are left out. Rows that repeat an id are searched each. No
+    Words are runs of letters, digits and underscores, lower-cased; letters of scripts without
+    spaces are words of their own. Null and empty texts have none, and items without words are
+    not found; equal items are found together; null item ids are left out. Rows that repeat an id are searched each. No
     documents or no items give no rows; other columns are not read.
     """
     spark = docs.sparkSession

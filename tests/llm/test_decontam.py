@@ -101,3 +101,15 @@ def test_odd_items_and_no_rows(spark):
     assert left.columns == table.columns and left.count() == 131 - len(leaked)
     assert contamination(table, spark.createDataFrame([], ITEM)).where("contaminated").count() == 0
     assert contamination(no_documents(spark), frame).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Red Kettle"), (2, "kettle"), (3, "red, kettle!"), (4, "東京の天気は明日から雨になるでしょう"), (5, "กรุงเทพ"), (6, "?!")]
+    texts = {
+        100: ("a red kettle, and RED kettle", {1, 3}), 101: ("kettle red", set()), 102: ("Kettle!", {2}), 103: ("the kettle", set()),
+        104: ("今日の新聞によると東京の天気は明日から大雨になるでしょうという", {4}), 105: ("東京の夏", set()),
+        106: ("ไปกรุงเทพ", {5}), 107: (None, set()), 108: ("?!", set()),
+    }
+    docs = [(i, t, "en", "s", 1, None, None) for i, (t, _) in texts.items()]
+    got = {r.doc_id: set(r.item_ids) for r in contamination(odd_documents(spark, docs), spark.createDataFrame(items, ITEM)).collect()}
+    assert {i: got[i] for i in texts} == {i: want for i, (_, want) in texts.items()}
