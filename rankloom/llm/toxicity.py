@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import run_folder, stored, whole_text
 
-BITS = 18
+BITS = 20
 FACTORS = 4
 # The most labelled rows that a model is fitted on.
 TRAIN_ROWS = 16_000
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W\d_]+")
 # A word longer than that also counts by its first so many letters.
-_STEMS = (4, 5)
+_STEMS = (4, 5, 6, 7)
 
 
 def terms(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -56,13 +56,16 @@ class Machine:
 
 def fit(
     sets: list[np.ndarray], labels: np.ndarray, bits: int = BITS, k: int = FACTORS, epochs: int = 12,
-    rate: float = 0.1, decay: float = 1e-4, least: float = 3.5, seed: int = 7, batch: int = 64,
+    rate: float = 0.1, decay: float = 1e-4, least: float = 3.0, common: float = 0.1, pair_decay: float = 0.3,
+    seed: int = 7, batch: int = 64,
 ) -> Machine:
     """Fit by mini-batches with Adagrad.
 
     A term whose log odds differ between the labels by fewer than ``least`` standard errors
-    keeps weight 0: most terms are rare, and would only be learnt by heart. Without both
-    labels the machine has its bias only, the smoothed log odds of label 1.
+    keeps weight 0: most terms are rare, and would only be learnt by heart. Such a term still
+    has factors if it stands in at least the share ``common`` of the rows, as it may matter in
+    pairs alone; they decay by ``pair_decay``, so that pairs without a meaning fade. Without
+    both labels the machine has its bias only, the smoothed log odds of label 1.
     """
     n, size = len(sets), 1 << bits
     share = (float(labels.sum()) + 0.5) / (n + 2)
@@ -70,9 +73,11 @@ def fit(
     if n == 0 or labels.min() == labels.max():
         return model
     rng = np.random.default_rng(seed)
-    used = np.abs(_log_odds(sets, labels, size)) >= least
+    weighted = np.abs(_log_odds(sets, labels, size)) >= least
+    used = weighted | (np.bincount(np.concatenate(sets), minlength=size) >= common * n)
     sets = [s[used[s]] for s in sets]
     model.factors[used] = rng.normal(0, 0.02, (int(used.sum()), k))
+    fade = np.where(weighted, decay, pair_decay).astype(np.float32)[:, None]
     w, v = model.weights, model.factors
     gw, gv, gb = np.full(size, 1e-2, np.float32), np.full((size, k), 1e-2, np.float32), 1e-2
     for _ in range(epochs):
@@ -92,8 +97,8 @@ def fit(
             # One sum per term of the batch.
             by = np.argsort(ids, kind="stable")
             uniq, first = np.unique(ids[by], return_index=True)
-            grad_v = np.add.reduceat((slope[at][:, None] * (total[at] - own))[by], first) + decay * v[uniq]
-            grad_w = np.add.reduceat(slope[at][by], first) + decay * w[uniq]
+            grad_v = np.add.reduceat((slope[at][:, None] * (total[at] - own))[by], first) + fade[uniq] * v[uniq]
+            grad_w = (np.add.reduceat(slope[at][by], first) + decay * w[uniq]) * weighted[uniq]
             gw[uniq] += grad_w**2
             gv[uniq] += grad_v**2
             w[uniq] -= rate * grad_w / np.sqrt(gw[uniq])

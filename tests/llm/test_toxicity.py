@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from rankloom.llm.toxicity import drop_toxic, fit, terms, toxicity
+from rankloom.llm.toxicity import Machine, drop_toxic, fit, terms, toxicity
 from tests.llm.samples import SCHEMA, no_documents, odd_documents
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -35,6 +36,30 @@ def test_pairs_are_learned_that_sums_miss(spark):
     assert share(paired) > 0.95 > share(summed)
 
 
+def test_pairs_of_terms_that_tell_nothing_alone():
+    """Label 1 where both or neither of two terms stand: each alone leaves the odds as they are."""
+    rng = random.Random(8)
+    sets, y = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        sets.append(np.unique([*[1] * a, *[2] * b, *(rng.randrange(3, 60) for _ in range(8))]))
+        y.append(float(a == b))
+    y = np.array(y, np.float32)
+    made = fit(sets[:1000], y[:1000], 8)
+    assert np.mean([(made.score(s) >= 0.5) == t for s, t in zip(sets[1000:], y[1000:])]) > 0.9
+    assert made.factors[1] @ made.factors[2] > 0.5
+
+
+def test_score_is_the_plain_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    made = Machine(0.3, rng.normal(size=32).astype(np.float32), rng.normal(size=(32, 4)).astype(np.float32) / 3)
+    for size in (0, 1, 2, 9):
+        ids = rng.choice(32, size, replace=False)
+        logit = made.bias + sum(float(made.weights[i]) for i in ids)
+        logit += sum(float(made.factors[i] @ made.factors[j]) for i, j in itertools.combinations(ids, 2))
+        assert made.score(ids) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows, labels = sample(spark)
     docs = odd_documents(spark, rows)
