@@ -6,7 +6,7 @@ machine scores a set x as  b + sum w_i + sum over pairs <v_i, v_j> : beside the
 each term it learns, through the vectors v, that two terms count together.
 
 It is fitted by one task on a sample of labelled rows of bounded size (``train_rows``);
-the model is a fixed 2^bits rows of weights, which is what is broadcast for scoring.
+the model holds the hashed terms that count, at most 2^bits, and is broadcast for scoring.
 """
 
 from __future__ import annotations
@@ -38,19 +38,24 @@ def terms(text: str | None, bits: int = BITS) -> np.ndarray:
     stems = {w[:n] for n in _STEMS for w in words if len(w) > n}
     hashed = {zlib.crc32(w.encode()) for w in words} | {zlib.crc32(b"^" + s.encode()) for s in stems}
     made = np.fromiter(hashed, np.int64, len(hashed)) & (1 << bits) - 1
-    return np.unique(made)
+    return np.unique(made.astype(np.int32))
 
 
 @dataclass
 class Machine:
     bias: float
-    weights: np.ndarray
-    factors: np.ndarray
-
-    def score(self, ids: np.ndarray) -> float:
-        v = self.factors[ids]
+    ids: np.ndarray  # the hashed terms that count, sorted
+    weights: np.ndarray  # one for each
+    factors: np.ndarray  # and one row
+
+    def score(self, found: np.ndarray) -> float:
+        place = np.searchsorted(self.ids, found)
+        inside = place < len(self.ids)
+        at = place[inside]
+        at = at[self.ids[at] == found[inside]]
+        v = self.factors[at]
         pairs = 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)).sum())
-        logit = self.bias + float(self.weights[ids].sum()) + pairs
+        logit = self.bias + float(self.weights[at].sum()) + pairs
         return float(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
 
 
@@ -69,17 +74,18 @@ def fit(
     """
     n, size = len(sets), 1 << bits
     share = (float(labels.sum()) + 0.5) / (n + 2)
-    model = Machine(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, k), np.float32))
+    bias = float(np.log(share / (1 - share)))
     if n == 0 or labels.min() == labels.max():
-        return model
+        return Machine(bias, np.empty(0, np.int32), np.empty(0, np.float32), np.empty((0, k), np.float32))
     rng = np.random.default_rng(seed)
     weighted = np.abs(_log_odds(sets, labels, size)) >= least
     used = weighted | (np.bincount(np.concatenate(sets), minlength=size) >= common * n)
-    sets = [s[used[s]] for s in sets]
-    model.factors[used] = rng.normal(0, 0.02, (int(used.sum()), k))
+    # Only the terms that count are kept, by their numbers.
+    kept, number = np.flatnonzero(used).astype(np.int32), np.cumsum(used, dtype=np.int32) - 1
+    sets, weighted = [number[s[used[s]]] for s in sets], weighted[kept]
     fade = np.where(weighted, decay, pair_decay).astype(np.float32)[:, None]
-    w, v = model.weights, model.factors
-    gw, gv, gb = np.full(size, 1e-2, np.float32), np.full((size, k), 1e-2, np.float32), 1e-2
+    w, v = np.zeros(len(kept), np.float32), rng.normal(0, 0.02, (len(kept), k)).astype(np.float32)
+    gw, gv, gb = np.full(len(kept), 1e-2, np.float32), np.full((len(kept), k), 1e-2, np.float32), 1e-2
     for _ in range(epochs):
         order = rng.permutation(n)
         for i in range(0, n, batch):
@@ -92,7 +98,7 @@ def fit(
             own = v[ids]
             total = np.add.reduceat(own, cuts)
             pairs = 0.5 * (total**2 - np.add.reduceat(own * own, cuts)).sum(1)
-            logit = model.bias + np.add.reduceat(w[ids], cuts) + pairs
+            logit = bias + np.add.reduceat(w[ids], cuts) + pairs
             slope = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - labels[rows]).astype(np.float32)
             # One sum per term of the batch.
             by = np.argsort(ids, kind="stable")
@@ -104,8 +110,8 @@ def fit(
             w[uniq] -= rate * grad_w / np.sqrt(gw[uniq])
             v[uniq] -= rate * 0.5 * grad_v / np.sqrt(gv[uniq])
             gb += float(slope.sum()) ** 2
-            model.bias -= rate * float(slope.sum()) / gb**0.5
-    return model
+            bias -= rate * float(slope.sum()) / gb**0.5
+    return Machine(float(bias), kept, w, v)
 
 
 def _log_odds(sets, labels, size):
@@ -146,22 +152,26 @@ def train(
         for batch in batches:
             sets = [terms(t, bits) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "label", "terms"])
+                [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
 
     def learn(batches):
         seen = {}
         for batch in batches:
-            for doc_id, label, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                seen.setdefault(doc_id, (label, np.array(ids, np.int64)))
+            # Slices of the batch, not lists of numbers, which a worker would keep its memory for.
+            values, ends = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            for i, (doc_id, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if doc_id not in seen:
+                    seen[doc_id] = (label, values[ends[i]:ends[i + 1]].copy())
         sets = [seen[i] for i in sorted(seen)]
         made = fit([s for _, s in sets], np.array([y for y, _ in sets], np.float32), bits, k, seed=seed, **options)
         yield pa.RecordBatch.from_pydict({
-            "bias": [made.bias], "weights": [made.weights.tobytes()], "factors": [made.factors.tobytes()]})
+            "bias": [made.bias], "ids": [made.ids.tobytes()], "weights": [made.weights.tobytes()], "factors": [made.factors.tobytes()]})
 
-    encoded = stored(rows.mapInArrow(encode, "doc_id long, label int, terms array<long>"), f"{folder}/terms")
-    made = encoded.repartition(1).mapInArrow(learn, "bias double, weights binary, factors binary").collect()[0]
+    encoded = stored(rows.mapInArrow(encode, "doc_id long, label int, terms array<int>"), f"{folder}/terms")
+    made = encoded.repartition(1).mapInArrow(
+        learn, "bias double, ids binary, weights binary, factors binary").collect()[0]
     return Machine(
-        made.bias, np.frombuffer(bytes(made.weights), np.float32),
+        made.bias, np.frombuffer(bytes(made.ids), np.int32), np.frombuffer(bytes(made.weights), np.float32),
         np.frombuffer(bytes(made.factors), np.float32).reshape(-1, k))
 
 
