@@ -36,9 +36,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 # Fixed value: how far below the lowest score an unknown letter is.
 UNKNOWN_PENALTY = 10.0
-# Marked words and borders that a worker remembers at a time, some 40 MB of each. The half that came first,
+# Marked words and borders that a worker remembers at a time, some 25 MB of each. The half that came first,
 # which holds the frequent ones, stays when there are more.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _WORD = re.compile(r" +[^ ]*")
 
 
