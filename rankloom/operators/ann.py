@@ -17,9 +17,13 @@ from pyspark.sql import types as T
 from rankloom.functions.scores import DISTANCE_THRESHOLD, MAX_CANDIDATES
 from rankloom.functions.vectors import norm
 from rankloom.operators.knn import knn
+from rankloom.operators.scan import file_part
 
 # Cells that are stated in a scan as literals.
 STATED_CELLS = 10_000
+FILE_ROWS = 1_000_000
+# Entries of a matrix of vectors by cells that a task holds.
+_ENTRIES = 1 << 21
 
 
 def train_cells(corpus: DataFrame, cells: int, seed: int = 7) -> dict[int, np.ndarray]:
@@ -60,10 +64,13 @@ def _nearest_cells(shared, probes: int):
                 for row in rows:
                     out[row] = [f"{width}-0"]
                 continue
-            scores = np.stack(vectors.iloc[rows].tolist()).astype(np.float64) @ centres.T
-            nearest = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-            for row, own in zip(rows, nearest.tolist()):
-                out[row] = [f"{width}-{c}" for c in own]
+            step = max(1, _ENTRIES // len(centres))
+            for at in range(0, len(rows), step):
+                some = rows[at:at + step]
+                scores = np.stack(vectors.iloc[some].tolist()).astype(np.float64) @ centres.T
+                nearest = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+                for row, own in zip(some, nearest.tolist()):
+                    out[row] = [f"{width}-{c}" for c in own]
         return pd.Series(out, dtype=object)
 
     return cells
@@ -75,10 +82,13 @@ def assign_cells(corpus: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame
     return corpus.withColumn("cell", _nearest_cells(shared, 1)("embedding")[0])
 
 
-def write_cells(corpus: DataFrame, path: str, mode: str = "append") -> None:
-    """Write rows with a ``cell`` in one folder per cell; rows without a vector are left out."""
+def write_cells(corpus: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
+    """Write rows with a ``cell`` in one folder per cell; rows without a vector are left out.
+
+    A cell gets one file for every ``file_rows`` of its rows.
+    """
     rows = corpus.where(F.col("cell").isNotNull())
-    rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode(mode).partitionBy("cell").parquet(path)
+    rows.repartition("cell", file_part(rows, ["cell"], "id", file_rows)).write.mode(mode).partitionBy("cell").parquet(path)
 
 
 def probe(
@@ -95,8 +105,14 @@ def probe(
     The tenant key is extended by the cell, so the exact join compares a query only with
     rows of its own tenant in the probed cells, and ranks what all its cells return
     together. The probed cells, of which there are at most as many as centres, are stated
-    in the scan: of a corpus in folders by cell only those are read.
+    in the scan: of a corpus in folders by cell only those are read. Queries that probe as many
+    cells as there are meet all rows of their tenant, and no copies of them go to the cells.
     """
+    if probes >= max(map(len, centres.values()), default=1):
+        def in_every(df: DataFrame) -> DataFrame:
+            return df.withColumn("tenant", F.concat_ws("/", "tenant", F.lit("every")))
+
+        return knn(in_every(corpus), in_every(queries), threshold, cap, **options)
     shared = corpus.sparkSession.sparkContext.broadcast(centres)
 
     def in_cell(df: DataFrame) -> DataFrame:
