@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.metadata import ContainmentCheck
 from rankloom.functions.scores import DISTANCE_THRESHOLD, MAX_CANDIDATES
@@ -45,6 +46,9 @@ TWO_WAVES = 1_000_000
 BOUNDS = 1 << 24
 # Beyond this share of cells that queries need, meeting all rows at once costs less.
 DENSE = 0.25
+# Entries of a matrix of vectors by cells that a task holds, and copies of queries that it hands over.
+_ENTRIES = 1 << 21
+_COPIES = 1 << 13
 # What rounding may do to an angle.
 _SLACK = 1e-7
 
@@ -83,8 +87,9 @@ def with_cells(corpus: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
         widths = vectors.map(len).to_numpy()
         for width in np.unique(widths).tolist():
             rows = np.flatnonzero(widths == width)
-            for at in range(0, len(rows), 4096):
-                some = rows[at:at + 4096]
+            step = max(1, _ENTRIES // len(shared.value[width]))
+            for at in range(0, len(rows), step):
+                some = rows[at:at + step]
                 units = unit_rows(np.stack(vectors.iloc[some].tolist()).astype(np.float64))
                 apart = _angles(units, shared.value[width])
                 own = apart.argmin(axis=1)
@@ -287,32 +292,59 @@ def search_cells(
     return ranked.select("query_id", "id", F.col("cost").alias("dist"), "vrank")
 
 
-def _needed(spark: SparkSession, cells: Cells, threshold: float | None):
-    """A function from vectors to the cells that can hold what they ask for."""
+def _chosen(vectors: pa.Array, cells: Cells, limit: float):
+    """Rows of some of the vectors at a time, their width, and which cells of it can hold what they ask for."""
+    for width, names in cells.names.items():
+        rows, matrix = _vectors(vectors, width)
+        norms = np.linalg.norm(matrix, axis=1)
+        rows, units = rows[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
+        step = max(1, _ENTRIES // len(names))
+        for at in range(0, len(rows), step):
+            yield rows[at:at + step], width, cells.bounds(units[at:at + step]) <= limit
+
+
+def _counted(spark: SparkSession, cells: Cells, queries: DataFrame, threshold: float | None) -> DataFrame:
+    """``query_id, cells, rows``: the cells that each query needs, and their rows."""
+    shared, limit = spark.sparkContext.broadcast(cells), np.inf if threshold is None else threshold
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            n = np.zeros((2, batch.num_rows), np.int64)
+            for rows, width, own in _chosen(batch.column("vector"), known, limit):
+                n[:, rows] = own.sum(axis=1), own @ known.rows[width]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(n[0]), pa.array(n[1])], names=["query_id", "cells", "rows"])
+
+    counts = T.StructType([T.StructField("cells", T.LongType()), T.StructField("rows", T.LongType())])
+    asked = queries.select("query_id", "vector")
+    return asked.mapInArrow(run, T.StructType([asked.schema["query_id"], *counts.fields]))
+
+
+def _sent(spark: SparkSession, cells: Cells, asked: DataFrame, threshold: float | None) -> DataFrame:
+    """A copy of every query for each cell that it needs, with ``cell``."""
     shared, limit = spark.sparkContext.broadcast(cells), np.inf if threshold is None else threshold
 
-    @F.pandas_udf("array<string>")
-    def names(vectors: pd.Series) -> pd.Series:
-        known, out = shared.value, []
-        for v in vectors:
-            length = 0.0 if v is None else float(np.linalg.norm(np.asarray(v, np.float64)))
-            if not length or len(v) not in known.names:
-                out.append([])
-                continue
-            bound = known.bounds(np.asarray(v, np.float64)[None, :] / length)[0]
-            out.append(known.names[len(v)][bound <= limit].tolist())
-        return pd.Series(out, dtype=object)
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            for rows, width, own in _chosen(batch.column("vector"), known, limit):
+                query, cell = np.nonzero(own)
+                for at in range(0, len(query), _COPIES):
+                    some = batch.take(pa.array(rows[query[at:at + _COPIES]]))
+                    names = pa.array(known.names[width][cell[at:at + _COPIES]], pa.string())
+                    yield pa.RecordBatch.from_arrays([*some.columns, names], names=[*some.schema.names, "cell"])
 
-    return names
+    return asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("cell", T.StringType())]))
 
 
 def _by_cell(rows: DataFrame, cells: Cells, asked: DataFrame, threshold, cap: int) -> DataFrame:
     """Many queries: each goes to the cells it needs, and cells meet their queries in blocks."""
-    named = asked.withColumn("_cells", _needed(rows.sparkSession, cells, threshold)("vector"))
-    share = named.agg(F.avg(F.size("_cells") / sum(map(len, cells.names.values())))).first()[0]
+    spark = rows.sparkSession
+    every = max(1, sum(map(len, cells.names.values())))
+    share = _counted(spark, cells, asked, threshold).agg(F.avg(F.col("cells") / every)).first()[0]
     if share is None or share > DENSE:
         return knn(rows, asked, threshold, cap, strategy="blocks")
-    sent = named.withColumn("cell", F.explode("_cells")).drop("_cells")
+    sent = _sent(spark, cells, asked, threshold)
 
     def in_cell(df: DataFrame) -> DataFrame:
         return df.withColumn("tenant", F.concat_ws("/", "tenant", "cell"))
@@ -322,8 +354,5 @@ def _by_cell(rows: DataFrame, cells: Cells, asked: DataFrame, threshold, cap: in
 
 def cells_read(spark: SparkSession, folder: str, queries: DataFrame, threshold: float | None = DISTANCE_THRESHOLD) -> DataFrame:
     """``query_id, cells, rows``: how many cells a search has to read for each query, and their rows."""
-    known = spark.read.parquet(f"{folder}/cells").select("cell", "rows")
-    needed = _needed(spark, Cells.read(spark, folder), threshold)
-    sent = queries.select("query_id", F.explode_outer(needed("vector")).alias("cell"))
-    counted = sent.join(known, "cell", "left").groupBy("query_id")
-    return counted.agg(F.count("rows").alias("cells"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    counted = _counted(spark, Cells.read(spark, folder), queries, threshold)
+    return counted.groupBy("query_id").agg(F.sum("cells").alias("cells"), F.sum("rows").alias("rows"))

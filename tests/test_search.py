@@ -439,3 +439,36 @@ def test_results_are_sorted_across_files(spark, tmp_path):
     files = sorted(p for p in (tmp_path / "found").iterdir() if p.suffix == ".parquet")
     read = [tuple(r.values()) for f in files for r in pq.read_table(f).to_pylist()]
     assert len(files) > 1 and read == sorted(rows)
+
+
+def test_cells_are_counted_without_a_row_for_each(spark, tmp_path):
+    from rankloom.operators import cells
+
+    corpus, asked = clustered(spark, random.Random(2))
+    cells.write_cells(corpus, f"{tmp_path}/cells")
+    known = cells.Cells.read(spark, f"{tmp_path}/cells")
+    # A query that comes twice counts twice, one without a vector reads none.
+    asked = asked.unionByName(asked.where("query_id = 29")).unionByName(asked.limit(1).selectExpr(
+        "-1L AS query_id", "tenant", "CAST(NULL AS array<float>) AS vector", "candidates"))
+    made = cells.cells_read(spark, f"{tmp_path}/cells", asked, 0.3)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in asked.collect():
+        n = want.setdefault(r.query_id, [0, 0])
+        length = np.linalg.norm(r.vector) if r.vector else 0
+        if length and len(r.vector) in known.names:
+            own = known.bounds(np.array(r.vector, np.float64)[None, :] / length)[0] <= 0.3
+            n[0], n[1] = n[0] + int(own.sum()), n[1] + int(known.rows[len(r.vector)][own].sum())
+    assert {r.query_id: [r.cells, r.rows] for r in made.collect()} == want
+
+
+def test_probing_every_cell_copies_no_query(spark, vectors):
+    _, _, corpus, asked = vectors
+    centres = {6: ann.unit_rows(np.random.default_rng(1).normal(size=(7, 6)))}
+    placed = ann.assign_cells(corpus, centres)
+    made = ann.probe(placed, asked, centres, 7, None)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    def rows(df):
+        return sorted((r.query_id, r.id, r.vrank) for r in df.collect())
+
+    assert rows(made) == rows(knn(corpus, asked, None))
