@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import postings, trigram
 from rankloom.operators.fulltext import corpus_tokens, text_candidates
@@ -120,3 +122,44 @@ def test_filters_on_promoted_columns_are_pushed_down(spark, tmp_path):
         plan = filters.bind_filters(stored, queries, sorted({t for t in texts if t}))[0]
         pushed = re.search(r"PushedFilters: \[([^\n]*)\]", plan._jdf.queryExecution().executedPlan().toString())[1]
         assert ("lang" in pushed) == (texts is asked)
+
+
+def test_groups_of_searches_give_the_rows_of_one_scan(spark, monkeypatch):
+    from rankloom.operators import fulltext, wordscan
+
+    corpus = corpus_of(spark, texts(random.Random(5), 150)).withColumn("filter_bits", F.expr("pmod(id div 100, 4)"))
+    corpus = corpus.unionByName(corpus.where("id % 3 = 0"))
+    asked = ["red", "the re", "the the red", "dog cat", "x nohit", "cat dog the c", "the"]
+    queries = spark.createDataFrame([(i * 2 + t, f"t{t}", q, 4) for i, q in enumerate(asked) for t in (0, 1)], ASKED)
+    for bit in (None, 1):
+        own = queries if bit is None else queries.withColumn("filter_bit", F.lit(bit).cast("long"))
+        unique = corpus.dropDuplicates(["id", "tenant"]) if bit is None else corpus
+        want = found(text_candidates(unique, own, True, [1, 2, 3]))
+        scan, lists = fulltext.word_scan, fulltext.listed_matches
+        monkeypatch.setattr(fulltext, "word_scan", lambda c, s: scan(c, s, 8))
+        monkeypatch.setattr(fulltext, "listed_matches", lambda *a: lists(*a, hits=8))
+        assert want and found(text_candidates(unique, own, True, [1, 2, 3])) == want
+        listed = text_candidates(unique, own, True, [1, 2, 3], corpus_tokens(unique.dropDuplicates(["id", "tenant"])))
+        assert found(listed) == want
+        monkeypatch.undo()
+    groups = wordscan.search_groups(queries.toArrow(), 8)
+    assert [g.num_rows for g in groups] == [2] * 7
+
+
+def test_a_task_keeps_its_best_hits(spark):
+    """Before, a buffer that was full passed on all its hits: many searches emitted every match."""
+    from rankloom.operators.blocks import TopBuffer
+
+    buffer, out = TopBuffer(np.arange(300), np.full(300, 2), 1800), 0
+    for n in range(50):
+        buffer.add(np.arange(300), np.full(300, n), np.full(300, -1.0 * n))
+        out += sum(b.num_rows for b in buffer.drain()) if buffer.full() else 0
+    assert out == 0 and sum(b.num_rows for b in buffer.drain()) == 600
+
+
+def test_lists_move_once_to_their_blocks(spark):
+    words = corpus_tokens(corpus_of(spark, [(i, "t", f"a b w{i % 9}") for i in range(60)]))
+    queries = spark.createDataFrame([(i, "t", f"a b w{i}", 5) for i in range(9)], ASKED)
+    made = text_candidates(corpus_of(spark, []), queries, True, [2], words)
+    assert len(made.collect()) == 9 * 5
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
