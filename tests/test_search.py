@@ -472,3 +472,13 @@ def test_probing_every_cell_copies_no_query(spark, vectors):
         return sorted((r.query_id, r.id, r.vrank) for r in df.collect())
 
     assert rows(made) == rows(knn(corpus, asked, None))
+
+
+def test_hits_weigh_against_blocks_of_the_corpus(spark):
+    from rankloom.operators.knn import grid
+
+    rows = spark.range(4000).selectExpr("'a' AS tenant", "id")
+    asked = spark.range(250).selectExpr("'a' AS tenant", "id AS query_id")
+    plain, weighed = grid(rows, asked, pairs=20_000).first(), grid(rows, asked, pairs=20_000, hits=14).first()
+    assert (plain._query_blocks, plain._corpus_blocks) == (2, 25)
+    assert (weighed._query_blocks, weighed._corpus_blocks) == (7, 8)
