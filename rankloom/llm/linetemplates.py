@@ -41,6 +41,7 @@ def _name(column, first: str, second: str) -> list:
 
 
 BODY = ["body", "body2"]
+LINE = ["line", "line2"]
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
@@ -72,36 +73,52 @@ def line_templates(
     # Leaves by hash: one that shares its hash with another is only looked at in vain.
     leaves = lines.select("key", *BODY).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     leaves = stored(leaves.where(F.col("n") >= least).select("key"), f"{folder}/leaves")
-    own = _lines(docs, text_col).withColumn("leaf", _leaf(depth)).withColumn("key", F.xxhash64("leaf"))
-    own = own.join(leaves, "key", "left_semi").drop("key")
-    own = own.select(*BODY, "place", "leaf", F.array_join(_masked(F.col("tokens")), " ").alias("masked")).distinct()
+    own = _lines(docs, text_col).withColumn("key", F.xxhash64(_leaf(depth))).join(leaves, "key", "left_semi")
+    own = own.select(*BODY, "place", F.array_join(_masked(F.col("tokens")), " ").alias("masked")).distinct()
     own = stored(own, f"{folder}/recurring")
 
     # A line counts once for each text, so a masked line is first one row for each text that has it.
-    kinds = own.select("leaf", "masked", *BODY).distinct().groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("n"))
-    kinds = stored(kinds, f"{folder}/kinds")
-    spread = kinds.select("leaf", "masked", "n", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    shared = spread.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= least)
-    marked = spread.join(shared, ["leaf", "at", "token"], "left")
-    field = F.col("held").isNull() | (F.col("token") == FIELD)
-    template = marked.groupBy("leaf", "masked").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.when(field, FIELD).otherwise(F.col("token")).alias("token")))).alias("parts"),
-        F.avg(F.when(field, 0.0).otherwise(1.0)).alias("fixed"))
-    template = template.where(F.col("fixed") >= constant).select(
-        "leaf", "masked", F.array_join(F.col("parts.token"), " ").alias("template"))
+    kinds = own.select("masked", *BODY).distinct().groupBy("masked").agg(F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds.select("masked", *_name(F.col("masked"), *LINE), "n"), f"{folder}/kinds")
+    constants = _constants(kinds, least, depth)
+    tokens = F.split("masked", " ")
+    parts = F.transform(tokens, lambda t, at: F.when((at < depth) | F.array_contains("constants", at), t).otherwise(FIELD))
+    template = kinds.join(constants.hint("merge"), LINE, "left").select("masked", parts.alias("parts"))
+    fixed = F.size(F.filter("parts", lambda t: t != FIELD)) / F.size("parts")
+    template = template.where(fixed >= constant).select("masked", F.array_join("parts", " ").alias("template"))
     template = stored(template, f"{folder}/templates")
 
-    named = own.join(template, ["leaf", "masked"])
-    counts = named.select("leaf", "template", *BODY).distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_texts"))
+    # A template tells its leaf: the number of its tokens and the leading ones.
+    named = own.join(template.hint("merge"), "masked").drop("masked")
+    counts = named.select("template", *BODY).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_texts"))
     recurring = counts.where(F.col("n_texts") >= least)
-    return named.join(recurring, ["leaf", "template"]).select(*BODY, "place", "template", "n_texts")
+    return named.join(recurring.hint("merge"), "template").select(*BODY, "place", "template", "n_texts")
+
+
+def _constants(kinds: DataFrame, least: int, depth: int) -> DataFrame:
+    """line, line2 and the places (constants) beyond the leading tokens whose token enough lines of the leaf share.
+
+    ``kinds``: masked, line, line2 (its name), n. A row for every token moves, so leaves, lines and
+    tokens are names of fixed size. Leading tokens are those of the whole leaf and need no count.
+    """
+    tokens = F.split("masked", " ")
+    leaf = F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), " "))
+    spread = kinds.select(*LINE, "n", *_name(leaf, "leaf", "leaf2"), F.posexplode(tokens).alias("at", "token"))
+    spot = ["leaf", "leaf2", "at", "token"]
+    spread = spread.where((F.col("at") >= depth) & (F.col("token") != FIELD)).select(
+        *LINE, "n", "at", F.xxhash64(*spot).alias("spot"), F.xxhash64(F.lit(1), *spot).alias("spot2"))
+    shared = spread.groupBy("spot", "spot2").agg(F.sum("n").alias("held")).where(F.col("held") >= least)
+    # Both sides grow with the lines, so they are merged at any size.
+    met = spread.join(shared.select("spot", "spot2").hint("merge"), ["spot", "spot2"], "left_semi")
+    return met.groupBy(*LINE).agg(F.collect_list("at").alias("constants"))
 
 
 def identical_lines(lines: DataFrame, folder: str) -> DataFrame:
     """The lines whose tokens stand in at least two different texts: body, body2, place."""
-    # Two texts are enough, so the outermost bodies tell without a list of them.
-    met = lines.groupBy("same", "same2").agg(F.min(F.struct(*BODY)).alias("a"), F.max(F.struct(*BODY)).alias("b"))
-    again = stored(met.where("a <> b").select("same", "same2"), f"{folder}/identical")
+    # Two texts are enough, so the outermost numbers of their names tell without a list of them.
+    met = lines.groupBy("same", "same2").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in BODY for f in (F.min, F.max)))
+    again = met.where("min_body <> max_body OR min_body2 <> max_body2").select("same", "same2")
+    again = stored(again, f"{folder}/identical")
     # Both sides grow with the lines, so they are merged at any size.
     return lines.join(again.hint("merge"), ["same", "same2"], "left_semi").select(*BODY, "place")
 

@@ -3,7 +3,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from rankloom.llm.linetemplates import drop_lines, line_templates
+from pyspark.sql import functions as F
+
+from rankloom.llm.linetemplates import LINE, _constants, drop_lines, line_templates
 from tests.llm.samples import no_documents, odd_documents
 
 
@@ -85,3 +87,15 @@ def test_identical_lines_go_from_two_texts_on(spark):
     assert got == {1: (2, "only one"), 2: (2, "only two"), 3: (0, rows[2][1]), 4: (0, rows[3][1]), 5: (0, rows[4][1])}
     assert all(r.n_dropped == 0 for r in drop_lines(docs).collect())
     assert drop_lines(no_documents(spark), identical=True).count() == 0
+
+
+def test_rows_of_tokens_hold_no_lines(spark):
+    # Lines of n tokens have n rows of tokens: were they to carry the line, shuffles would grow with its square.
+    rows = [("a b c d1 e f", 3), ("a b c x e g", 4)]
+    kinds = spark.createDataFrame(rows, "masked string, n long").withColumns({c: F.xxhash64(F.lit(c), "masked") for c in LINE})
+    made = _constants(kinds, 5, 3)
+    assert [t for _, t in made.dtypes] == ["bigint", "bigint", "array<int>"]
+    assert [r.constants for r in made.collect()] == [[4], [4]]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and not any("masked" in line or "token" in line for line in moved)
