@@ -163,3 +163,15 @@ def test_lists_move_once_to_their_blocks(spark):
     made = text_candidates(corpus_of(spark, []), queries, True, [2], words)
     assert len(made.collect()) == 9 * 5
     assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substring_lists_take_two_bytes_a_document(spark, tmp_path):
+    ids = [-4097, -4096, -1, 0, 4095, 4096, 1_000_003, (1 << 40) + 4095]
+    corpus = spark.createDataFrame([("t", i, f"Some Words {i}") for i in ids] + [("u", 0, "other words")], "tenant string, id long, content string")
+    trigram.write_windows(corpus, f"{tmp_path}/windows")
+    stored = trigram.read_windows(spark, f"{tmp_path}/windows")
+    assert dict(stored.rows.dtypes)["places"] == "array<smallint>"
+    asked = spark.createDataFrame([(1, "t", "E WORDS"), (2, "t", "me"), (3, "u", "wor"), (4, "t", "4095")], "query_id long, tenant string, text string")
+    found = sorted(map(tuple, trigram.substring_lookup(corpus, asked, stored).collect()))
+    has = [i for i in ids if "4095" in str(i)]
+    assert found == sorted([(q, i) for q in (1, 2) for i in ids] + [(3, 0)] + [(4, i) for i in has])
