@@ -31,7 +31,7 @@ BUCKET = 4096
 _CHUNK = 1 << 16
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
@@ -51,7 +51,7 @@ def simhash(text: str | None, width: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(itertools.islice(words, i, None) for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    return _majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,9 +5,11 @@ of each, in any order that all sets follow. These prefixes are the join keys, so
 lost. Elements that are common in a sample of the texts come last in the order, which keeps
 the keys rare; the sample decides about speed only.
 
-Equal sets are one node. Under each key every node is first compared with one pivot, which
-joins a large group in as many rows as it has nodes; only nodes that are then still in
-different components are compared in pairs.
+Equal sets are one node. Nodes whose SimHash fingerprints differ in two bits at most are
+compared first, and under each key every node with one pivot, the one where the key stands
+earliest: it has the fewest elements of its own, so most of a large group is like it, and the
+group is joined in as many rows as it has nodes. Only nodes that are then still in different
+components are compared in pairs, and a pair that shares many keys is made under the first.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import run_folder, stored, whole_text
 from rankloom.llm.components import components
-from rankloom.llm.simhash import SEED
+from rankloom.llm.simhash import SEED, majority, ring_links
 
 WIDTH = 5
 SIMILAR = 0.8
 # The share of texts that is looked at for common shingles, and how many of these are kept.
 SAMPLE = 1 / 8
 COMMON = 1_000_000
-# Orders in which pivots are chosen.
+# Orders in which pivots are chosen among nodes where a key stands equally early.
 PIVOTS = 4
+# Fingerprints under a ring key from which erased bits cost less rows than pairs do.
+RING = 1024
+# Earlier keys of a node that a row of a key carries: a pair that shares one of them was met there.
+EARLIER = 16
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -103,24 +109,26 @@ def _bodies(text) -> list:
 
 
 def _marked(rows: DataFrame, width: int, similar: float) -> DataFrame:
-    """doc_id, body and body2 (a name of the text), node, n (size of the set), keys (its prefix) and bits (its sketch) of every row."""
+    """doc_id, body and body2 (a name of the text), node, n (size of the set), fp (its fingerprint), keys (its prefix) and bits (its sketch) of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
 
     def encode(batches):
         for batch in batches:
-            nodes, sizes, keys, bits = [], [], [], []
+            nodes, sizes, prints, keys, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 members = shingle_set(text, width)
                 nodes.append(_name(members))
                 sizes.append(len(members))
+                prints.append(majority(members.view(np.uint64)))
                 keys.append(prefix(members, shared.value, similar))
                 bits.append(sketch(members))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
-                 _lists(keys), _lists(bits)],
-                names=["doc_id", "body", "body2", "node", "n", "keys", "bits"])
+                 pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(keys), _lists(bits)],
+                names=["doc_id", "body", "body2", "node", "n", "fp", "keys", "bits"])
 
-    return rows.mapInArrow(encode, "doc_id long, body long, body2 long, node binary, n int, keys array<long>, bits array<long>")
+    return rows.mapInArrow(
+        encode, "doc_id long, body long, body2 long, node binary, n int, fp long, keys array<long>, bits array<long>")
 
 
 def _folded(bits, size):
@@ -191,17 +199,35 @@ def _keys(nodes: DataFrame, folder: str) -> DataFrame:
     return stored(keys.select(F.col("name").alias("key"), "node", "n", "place"), f"{folder}/keys")
 
 
+def _close(nodes: DataFrame, similar: float, folder: str) -> DataFrame:
+    """Pairs (a, b) of nodes that can be similar by their sizes and have fingerprints at two differing bits or fewer.
+
+    The smallest node of a fingerprint stands for it and is paired with its others.
+    """
+    named = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("p")), f"{folder}/prints")
+
+    def side(fp: str, x: str) -> DataFrame:
+        return named.select(F.col("fp").alias(fp), F.col("p.node").alias(x), F.col("p.n").alias(f"n{x}"))
+
+    apart = ring_links(named.select("fp"), bucket=RING).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct()
+    apart = apart.join(side("fa", "x"), "fa").join(side("fb", "y"), "fb")
+    alike = nodes.select("fp", F.col("node").alias("x"), F.col("n").alias("nx")).join(side("fp", "y"), "fp")
+    met = apart.select("x", "nx", "y", "ny").unionByName(alike.select("x", "nx", "y", "ny"))
+    # Every element may be the first that is shared.
+    return _pairs(met.withColumns({"px": F.lit(0), "py": F.lit(0)}), similar)
+
+
 def _links(nodes: DataFrame, rows: DataFrame, width: int, similar: float, folder: str) -> DataFrame:
     """Links (a, b) of similar nodes that connect every two similar ones."""
     keys = _keys(nodes, folder)
 
     # One of a few orders for every key: the keys of a large group have few pivots, but more than one.
-    order = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(PIVOTS)), "node")
-    pivots = keys.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "place")).alias("p"))
+    early, order = F.col("place") / F.col("n"), F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(PIVOTS)), "node")
+    pivots = keys.groupBy("key").agg(F.min(F.struct(early.alias("e"), order.alias("o"), "node", "n", "place")).alias("p"))
     met = keys.join(pivots, "key").select(
         F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"),
         F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.place").alias("py"))
-    tested = stored(_pairs(met, similar), f"{folder}/tested")
+    tested = stored(_pairs(met, similar).unionByName(_close(nodes, similar, folder)).distinct(), f"{folder}/tested")
     near = _confirmed(tested, rows, nodes, width, similar, f"{folder}/pivots")
 
     labelled = keys.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -209,14 +235,17 @@ def _links(nodes: DataFrame, rows: DataFrame, width: int, similar: float, folder
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     split = labelled.join(largest.where("labels > 1").select("key", F.col("top.label").alias("most")), "key")
-    split = stored(split, f"{folder}/split")
+    # Nodes of different components meet under every key they share, so an earlier one has met them too.
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
+    split = stored(split.withColumn("earlier", earlier), f"{folder}/split")
 
     def side(x: str) -> list:
-        return [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("label").alias(f"l{x}")]
+        return [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("label").alias(f"l{x}"),
+                F.col("earlier").alias(f"e{x}")]
 
     left = split.where("label <> most").select("key", *side("x"))
     right = split.select("key", *side("y"), "most")
-    met = left.join(right, "key").where("lx <> ly AND (ly = most OR x < y)")
+    met = left.join(right, "key").where("lx <> ly AND (ly = most OR x < y) AND NOT arrays_overlap(ex, ey)")
     others = stored(_pairs(met, similar).join(tested, ["a", "b"], "left_anti"), f"{folder}/others")
     return near.unionByName(_confirmed(others, rows, nodes, width, similar, f"{folder}/rest"))
 
@@ -228,8 +257,8 @@ def _grouped(docs: DataFrame, width: int, similar: float, id_col: str, text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *_bodies(text))
     marked = stored(_marked(rows, width, similar), f"{folder}/marked")
     nodes = stored(
-        marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"),
-            F.first("bits").alias("bits")),
+        marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+            F.first("keys").alias("keys"), F.first("bits").alias("bits")),
         f"{folder}/nodes")
     labels = components(_links(nodes, rows, width, similar, folder))
     named = marked.select("doc_id", "body", "body2", "node").join(labels, "node", "left")

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from rankloom.llm import similar
-from rankloom.llm.simhash import drop_near_copies
+from rankloom.llm.simhash import drop_near_copies, simhash
 from tests.llm.samples import no_documents, odd_documents
 from tests.llm.test_simhash import reach
 
@@ -47,6 +47,58 @@ def test_groups_equal_brute_force(spark, monkeypatch, sample):
     assert got == want and 10 < len(set(want.values())) < len(rows)
 
 
+def changed_copies(spark, copies, words, least, most):
+    """A text and copies of it with some changed words, and their sets."""
+    rng = random.Random(5)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(10_000)}" for _ in range(words)]
+    rows = [(1, " ".join(base))]
+    for k in range(copies):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.randint(least, most)):
+            copy[at] = f"new{k}x{at}"
+        rows.append((2 + k, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in rows], no_documents(spark).schema)
+    return docs, {i: plain_set(t) for i, t in rows}
+
+
+def test_a_large_group_is_not_compared_in_pairs(spark, monkeypatch):
+    docs, sets = changed_copies(spark, 150, 150, 1, 4)
+    confirm, compared = similar._confirmed, []
+    monkeypatch.setattr(similar, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirm(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert got == reach(set(sets), lambda a, b: near(sets[a], sets[b]))
+    assert len(compared) == 2 and sum(compared) < 10 * len(sets)  # pairs of nodes: 11,325
+
+
+def test_a_pair_is_made_under_its_first_shared_key(spark, monkeypatch):
+    docs, sets = changed_copies(spark, 15, 400, 40, 50)
+    pairs, made = similar._pairs, []
+
+    def counted(met, share):
+        out = pairs(met, share)
+        made.append((met.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "_pairs", counted)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert got == reach(set(sets), lambda a, b: near(sets[a], sets[b])) and len(set(got.values())) > 5
+    rows, distinct = made[-1]
+    assert 0 < distinct <= rows < 2 * len(sets) ** 2 / 2
+
+
+def test_fingerprints_bring_nodes_together(spark):
+    prints = {b"a": (0, 10), b"b": (0, 10), b"c": (3, 10), b"d": (7, 10), b"e": (3, 30), b"f": (1 << 62, 9)}
+    nodes = spark.createDataFrame([(n, fp, size) for n, (fp, size) in prints.items()], "node binary, fp long, n int")
+    got = {(bytes(r.a), bytes(r.b)) for r in similar._close(nodes, 0.8, similar.run_folder(spark, "test")).collect()}
+    # e is three times as long as the others; b is met through a, which has its fingerprint.
+    assert got == {(b"a", b"b"), (b"a", b"c"), (b"a", b"f"), (b"c", b"d")}
+
+
+def test_a_fingerprint_is_that_of_the_set():
+    texts = [" ".join(f"w{i}" for i in range(k)) for k in (0, 1, 5, 40)]
+    assert [similar.majority(similar.shingle_set(t).view("uint64")) for t in texts] == [simhash(t, similar.WIDTH) for t in texts]
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = random.Random(3)
     for n in (1, 2, 4, 5, 6, 19, 20, 21, 100):
