@@ -40,8 +40,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that 5-word Jaccard >= 0.8 links the document with the smallest id stays.
 
-    Two bits of a fingerprint find almost no copies of this similarity, so the stage confirms it
-    on whole sets of shingles and uses no fingerprints. Texts without words are equal; texts of any
+    Fingerprints of 5-word shingles within two bits bring texts together first. They find only some
+    copies of this similarity, so prefixes of the shingle sets bring the rest, and every link is
+    confirmed on whole sets. Texts without words are equal; texts of any
     length are compared whole; of an id with two texts, and of null ids, rows are told apart by
     their texts; rows that repeat are cut to one; no rows give no rows.
     """
