@@ -175,3 +175,45 @@ def test_substring_lists_take_two_bytes_a_document(spark, tmp_path):
     found = sorted(map(tuple, trigram.substring_lookup(corpus, asked, stored).collect()))
     has = [i for i in ids if "4095" in str(i)]
     assert found == sorted([(q, i) for q in (1, 2) for i in ids] + [(3, 0)] + [(4, i) for i in has])
+
+
+@pytest.mark.parametrize("asked_filter", [None, "bit", "text"])
+def test_searches_beyond_broadcast_size_scan_in_groups(spark, monkeypatch, asked_filter):
+    """Before, their lists were sent to every search, and every filtered match was shuffled."""
+    from rankloom.operators import fulltext, wordscan
+
+    corpus = corpus_of(spark, texts(random.Random(8), 120)).withColumn("filter_bits", F.expr("pmod(id div 100, 4)"))
+    corpus = corpus.withColumn("metadata", F.concat(F.lit('{"n":'), (F.col("id") % 3).cast("string"), F.lit("}")))
+    asked = ["red", "the re", "dog cat", "x nohit", "cat dog the c", "the", "the", ""]
+    queries = spark.createDataFrame([(i * 2 + t, f"t{t}", q, 4) for i, q in enumerate(asked) for t in (0, 1)], ASKED)
+    queries = queries.unionByName(queries.where("query_id = 2"))
+    if asked_filter == "bit":
+        queries = queries.withColumn("filter_bit", F.expr("query_id % 2"))
+    if asked_filter == "text":
+        queries = queries.withColumn("filter", F.when(F.col("query_id") % 4 < 2, '{"n":1}'))
+    for terms in (None, corpus_tokens(corpus)):
+        want = found(text_candidates(corpus, queries, True, [1, 2, 3], terms))
+        made, scan, lists = [], fulltext.word_scan, fulltext.listed_matches
+        fetch = wordscan.StoredGroups.__iter__
+        monkeypatch.setattr(fulltext, "word_scan", lambda c, s: scan(c, s, 8))
+        monkeypatch.setattr(fulltext, "listed_matches", lambda *a: lists(*a, hits=8))
+        monkeypatch.setattr(wordscan.StoredGroups, "__iter__", lambda self: (made.append(g.num_rows) or g for g in fetch(self)))
+        assert want and found(text_candidates(corpus, queries, False, [1, 2, 3], terms)) == want
+        monkeypatch.undo()
+        assert len(made) > 1 and max(made) <= 8
+
+
+def test_only_documents_that_can_rank_are_scored(spark):
+    """Before, the covers of every match were made, whatever the cut-off."""
+    import pyarrow as pa
+
+    from rankloom.operators import wordscan
+    from rankloom.operators.blocks import TopBuffer
+
+    slots = [[{"term": "a", "is_prefix": False}, {"term": "b", "is_prefix": True}]]
+    table = pa.table({"query_id": [7], "candidates": [1], "slots": slots})
+    searches, buffer = wordscan.Searches.build(table), TopBuffer(np.array([7]), np.array([1]))
+    some = wordscan._postings(pa.array([["a", "b"], ["a", "x", "b"] * 9, ["x"], ["a"] * 50 + ["b"]]), searches)
+    assert [d.tolist() for _, d, _ in wordscan._matches(some, searches, buffer.cutoff)] == [[0, 1, 3]]
+    buffer.cutoff[:] = -0.3
+    assert [d.tolist() for _, d, _ in wordscan._matches(some, searches, buffer.cutoff)] == [[1]]
