@@ -217,3 +217,14 @@ def test_only_documents_that_can_rank_are_scored(spark):
     assert [d.tolist() for _, d, _ in wordscan._matches(some, searches, buffer.cutoff)] == [[0, 1, 3]]
     buffer.cutoff[:] = -0.3
     assert [d.tolist() for _, d, _ in wordscan._matches(some, searches, buffer.cutoff)] == [[1]]
+
+
+def test_pieces_of_a_text_are_made_once(spark):
+    """Before, each of two filters on the size of a set made it again."""
+    corpus = corpus_of(spark, [(1, "t", "red dog red dog cat"), (2, "t", "!"), (3, "t", None), (4, "t", "dog dog")])
+    queries = spark.createDataFrame([(7, "t", "dog red", 9)], ASKED)
+    found = trigram.trigram_similarity(corpus, queries)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(flatten(") == 1
+    assert {(r.id, round(r.similarity, 6)) for r in found.collect()} == {(1, round(8 / 12, 6)), (4, 0.5)}
+    first = corpus.where("id = 1").select(trigram.trigrams(F.col("content"))).first()[0]
+    assert first == ["  r", " re", "red", "ed ", "  d", " do", "dog", "og ", "  c", " ca", "cat", "at "]
