@@ -115,3 +115,30 @@ def test_embedding_coercion(spark):
 def test_unknown_region_is_rejected(spark):
     got = values(spark, [("eu",), ("mars",), (None,)], "r string", v=cleaning.known_region(F.col("r")))
     assert [r["v"] for r in got] == [True, False, False]
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Before, every occurrence of a word was hashed; the vectors are the same, also when words are forgotten."""
+    import hashlib
+
+    import numpy as np
+
+    from rankloom.functions import models
+
+    encoders, calls = [], []
+    monkeypatch.setattr(models, "batch_embedder", lambda load: encoders.append(load()))
+    plain = models._hash
+    monkeypatch.setattr(models, "_hash", lambda piece: calls.append(piece) or plain(piece))
+    models.hashed_text_embedder(8, "salt")
+    texts = ["The cat the dog", "", "cat cat　Äpfel", "dog " * 50, " "]
+    want = np.zeros((len(texts), 8), np.float32)
+    for row, text in zip(want, texts):
+        for word in text.lower().split():
+            h = int.from_bytes(hashlib.md5(b"salt:" + word.encode()).digest()[:4], "big")
+            row[h % 8] += 1.0 if h & 0x80000000 else -1.0
+        if row.any():
+            row /= np.linalg.norm(row)
+    assert np.array_equal(encoders[0](texts), want) and len(calls) == 4
+    monkeypatch.setattr(models, "REMEMBERED", 1)
+    assert np.array_equal(encoders[0](texts[2:]), want[2:]) and len(calls) == 7
+    assert encoders[0]([]).shape == (0, 8) and np.array_equal(encoders[0](["", ""]), np.zeros((2, 8), np.float32))
