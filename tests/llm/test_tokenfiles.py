@@ -96,3 +96,20 @@ def test_ids_after_the_last_end_are_an_open_document(spark):
     (lambda source, target: __import__("shutil").copy(source, target))(path, f"{folder}-cut/{row.file}.ids".removeprefix("file:"))
     got = separator_scan(spark, f"{folder}-cut", 50256, block_ids=2).orderBy("place").collect()
     assert [(r.place, r.closed) for r in got] == [(0, True), (1, False)]
+
+
+def test_letters_alone_are_not_looked_at_for_cuts():
+    """Before, every new chunk was tested for the places where it can be cut."""
+    from rankloom.llm.encoders import Chunks
+
+    seen = []
+
+    def parts(chunk):
+        seen.append(chunk)
+        return [chunk[:-1], "."] if chunk.endswith(".") else [chunk]
+
+    chunks = Chunks(lambda some: [c.encode() for c in some], 100, parts)
+    chunks.learn({"word", "Äpfel", "end.", "2nd", "."[:0] + "a"})
+    assert sorted(seen) == ["2nd", "end."]
+    assert {c: chunks.known[c] for c in ("word", "Äpfel", "end.", "2nd", "a")} == {
+        c: c.encode() for c in ("word", "Äpfel", "end.", "2nd", "a")}
