@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.fulltext import corpus_tokens
-from rankloom.operators.postings import Postings, posting_rows
+from rankloom.operators.postings import Postings, block_words, lists_of
 from rankloom.operators.scan import file_part
 
 TERM_BUCKETS = 256
 FILE_ROWS = 5_000_000
+# Words that a file of posting lists may have for each of its lists.
+LIST_WORDS = 50
 
 
 def write_index(corpus: DataFrame, path: str, mode: str = "append", buckets: int = TERM_BUCKETS,
@@ -37,18 +39,20 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("tenant", "id", "pos", "term")
 
 
-def write_postings(corpus: DataFrame, path: str, buckets: int = TERM_BUCKETS, file_rows: int = FILE_ROWS // 50) -> None:
+def write_postings(corpus: DataFrame, path: str, buckets: int = TERM_BUCKETS, file_rows: int = FILE_ROWS // LIST_WORDS) -> None:
     """Store posting lists in folders by term hash, and the documents of every term sorted by term.
 
-    A folder gets one file for every ``file_rows`` lists. Lists of a term lie together, by block.
+    A folder gets one file for every ``LIST_WORDS * file_rows`` of its words, and ``file_rows`` lists at most.
+    Lists of a term lie together, by block. Words are counted in place and shuffled once, to their files.
     """
     spark = corpus.sparkSession
-    keyed = posting_rows(corpus_tokens(corpus)).withColumn(
+    words = block_words(corpus_tokens(corpus)).withColumn(
         "term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    part = file_part(keyed, ["term_bucket"], "block", file_rows)
+    words = words.withColumn("_part", file_part(words, ["term_bucket"], "block", LIST_WORDS * file_rows))
+    keyed = lists_of(words, ["term_bucket", "_part"]).drop("_part")
+    keyed = keyed.select(*(c for c in keyed.columns if c != "term_bucket"), "term_bucket")
     (
-        keyed.repartition("term_bucket", part)
-        .sortWithinPartitions("term_bucket", "tenant", "term", "block")
+        keyed.sortWithinPartitions("term_bucket", "tenant", "term", "block")
         .write.option("maxRecordsPerFile", file_rows).partitionBy("term_bucket").parquet(f"{path}/lists")
     )
     keyed.limit(0).write.parquet(f"{path}/columns")

@@ -228,3 +228,23 @@ def test_pieces_of_a_text_are_made_once(spark):
     assert {(r.id, round(r.similarity, 6)) for r in found.collect()} == {(1, round(8 / 12, 6)), (4, 0.5)}
     first = corpus.where("id = 1").select(trigram.trigrams(F.col("content"))).first()[0]
     assert first == ["  r", " re", "red", "ed ", "  d", " do", "dog", "og ", "  c", " ca", "cat", "at "]
+
+
+def test_a_vocabulary_is_never_broadcast(spark):
+    """Before, keys made of a vocabulary were broadcast by the size of its files: 5,093,939 rows of 7.6 MB."""
+    from rankloom.operators import fulltext
+    from rankloom.operators.postings import Postings, asked_rows, expanded_keys
+
+    corpus = corpus_of(spark, texts(random.Random(9), 60))
+    stored = Postings.of_words(corpus_tokens(corpus))
+    asked = [(1, "t0", "red dog"), (2, "t0", "re"), (3, "t1", "the catalogues"), (4, "t1", "x reddish the c"), (5, "t0", "catalog")]
+    queries = spark.createDataFrame(asked, "query_id long, tenant string, text string")
+    slots = queries.select("query_id", "tenant", F.lit(3).alias("candidates"), fulltext.query_slots(F.col("text")).alias("slots"))
+    slots, widths = fulltext.slots_of(slots), [1, 2, 3, 7, 10]
+    keys = expanded_keys(stored.vocabulary, slots, widths, fulltext._keyed, fulltext._wanted)
+    rows = asked_rows(stored.rows, slots, widths, fulltext._wanted)
+    assert "Broadcast" not in keys._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {("t0", t) for t in ("red", "dog", "reddish", "catalog")} | {("t1", t) for t in ("the", "x", "reddish", "cat", "catalog")}
+    assert {(r.tenant, r.term) for r in keys.collect()} == {(r.tenant, r.term) for r in rows.collect()} == want
+    assert postings.lists_of(postings.block_words(corpus_tokens(corpus)), ["tenant"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
