@@ -248,3 +248,40 @@ def test_a_vocabulary_is_never_broadcast(spark):
     want = {("t0", t) for t in ("red", "dog", "reddish", "catalog")} | {("t1", t) for t in ("the", "x", "reddish", "cat", "catalog")}
     assert {(r.tenant, r.term) for r in keys.collect()} == {(r.tenant, r.term) for r in rows.collect()} == want
     assert postings.lists_of(postings.block_words(corpus_tokens(corpus)), ["tenant"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_covers_follow_from_the_neighbours_of_the_rarest_word(monkeypatch):
+    """Before, every hit of every word of a match was sorted; now that is left to searches of many words."""
+    import pyarrow as pa
+
+    from rankloom.operators import wordscan
+    from rankloom.operators.blocks import TopBuffer
+
+    rng = random.Random(11)
+    docs = [rng.choices(["a", "ab", "b", "c", "ca", "x", "y"], k=rng.randint(1, 30)) for _ in range(150)] + [["a"], ["x"] * 40 + ["a", "c", "b"]]
+    asked = [[("a", False)], [("a", True)], [("b", False), ("a", True)], [("a", False), ("a", True)], [("a", False), ("b", False), ("c", True)],
+             [("a", False), ("ab", False), ("a", True)], [("c", False), ("x", False), ("a", True)], [("a", False), ("b", False), ("c", False), ("x", True)]]
+    slots = [[{"term": t, "is_prefix": p} for t, p in words] for words in asked]
+    table = pa.table({"query_id": range(len(asked)), "candidates": [999] * len(asked), "slots": slots})
+    batch = pa.record_batch({"id": pa.array(range(len(docs)), pa.int64()), "tokens": docs})
+
+    def rank(words, doc):
+        hits = [[i for i, t in enumerate(doc) if (t.startswith(w) if p else t == w)] for w, p in words]
+        spots = sorted({i for own in hits for i in own})
+        covers = [(s, e) for s in spots for e in spots if all(any(s <= i <= e for i in own) for own in hits)]
+        least = [c for c in covers if not any(o != c and c[0] <= o[0] and o[1] <= c[1] for o in covers)]
+        return sum(0.1 / (1 + e - s + 1 - sum(s <= i <= e for i in spots)) for s, e in least)
+
+    def ranked(table, searches):
+        buffer = TopBuffer(searches.ids, searches.depth)
+        assert not list(wordscan.scan_tokens(batch, searches, buffer, None))
+        return {(q, i): round(-c, 9) for b in buffer.drain() for q, i, c in zip(*(b.column(n).to_pylist() for n in range(3)))}
+
+    want = {(q, i): round(r, 9) for q, words in enumerate(asked) for i, doc in enumerate(docs) if (r := rank(words, doc))}
+    assert ranked(table, wordscan.Searches.build(table)) == want and len(want) > 500
+    monkeypatch.setattr(wordscan, "_FEW", 0)
+    assert ranked(table, wordscan.Searches.build(table)) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(wordscan, "cover_ranks", None)
+    few = table.slice(0, len(asked) - 1)
+    assert ranked(few, wordscan.Searches.build(few)) == {at: r for at, r in want.items() if at[0] < few.num_rows}
