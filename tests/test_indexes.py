@@ -285,3 +285,20 @@ def test_covers_follow_from_the_neighbours_of_the_rarest_word(monkeypatch):
     monkeypatch.setattr(wordscan, "cover_ranks", None)
     few = table.slice(0, len(asked) - 1)
     assert ranked(few, wordscan.Searches.build(few)) == {at: r for at, r in want.items() if at[0] < few.num_rows}
+
+
+def test_patterns_of_one_text_share_a_search(spark, tmp_path):
+    """Before, every pattern was looked up alone, and a text was lower-cased for every pattern that it might hold."""
+    corpus = corpus_of(spark, [(1, "t", "Red dog"), (1, "t", "red dogs"), (2, "t", "dog RED"), (1, "u", "red")])
+    trigram.write_windows(corpus, f"{tmp_path}/windows")
+    stored = trigram.read_windows(spark, f"{tmp_path}/windows")
+    schema = "query_id long, tenant string, text string"
+    asked = [(1, "t", "red"), (2, "t", "RED"), (3, "t", "Ed"), (4, "t", "eD"), (5, "u", "red"), (6, "t", "red dog")]
+    found = trigram.substring_lookup(corpus, spark.createDataFrame(asked, schema), stored)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(content" in plan and "Contains(lower(" not in plan and "contains(lower(" not in plan.lower()
+    want = sorted([(q, i) for q in (1, 2, 3, 4) for i in (1, 2)] + [(5, 1), (6, 1)])
+    assert sorted(map(tuple, found.collect())) == want
+    # The same pattern again, and a query with two patterns: a document is found once.
+    again = spark.createDataFrame([*asked, asked[0], asked[3], (6, "t", "dog"), (5, "t", "dog")], schema)
+    assert sorted(map(tuple, trigram.substring_lookup(corpus, again, stored).collect())) == sorted([*want, (6, 2), (5, 2)])
