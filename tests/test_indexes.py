@@ -302,3 +302,27 @@ def test_patterns_of_one_text_share_a_search(spark, tmp_path):
     # The same pattern again, and a query with two patterns: a document is found once.
     again = spark.createDataFrame([*asked, asked[0], asked[3], (6, "t", "dog"), (5, "t", "dog")], schema)
     assert sorted(map(tuple, trigram.substring_lookup(corpus, again, stored).collect())) == sorted([*want, (6, 2), (5, 2)])
+
+
+def test_best_hits_are_sorted_some_queries_at_a_time():
+    """Before, all hits of a buffer were copied and sorted at once, which took several times their size."""
+    import tracemalloc
+
+    from rankloom.operators.blocks import TopBuffer
+
+    rng = np.random.default_rng(3)
+    query, ids, cost = rng.integers(0, 500, 3_000_000), rng.permutation(3_000_000), rng.integers(0, 900, 3_000_000) / 9
+    buffer = TopBuffer(np.arange(500) + 7, np.full(500, 40), 10_000_000)
+    for part in np.array_split(np.arange(3_000_000), 5):
+        buffer.add(query[part], ids[part], cost[part])
+    tracemalloc.start()
+    out = list(buffer.drain())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 24 * 3_000_000 and not buffer.size
+    got = [(q, c, i) for b in out for q, i, c in zip(*(b.column(n).to_pylist() for n in range(3)))]
+    order = np.lexsort((ids, cost, query))
+    place = np.arange(3_000_000) - np.searchsorted(query[order], query[order])
+    best = order[place < 40]
+    assert got == list(zip((query[best] + 7).tolist(), cost[best].tolist(), ids[best].tolist()))
+    assert list(buffer.cutoff) == [got[40 * q + 39][1] for q in range(500)]
