@@ -326,3 +326,22 @@ def test_best_hits_are_sorted_some_queries_at_a_time():
     best = order[place < 40]
     assert got == list(zip((query[best] + 7).tolist(), cost[best].tolist(), ids[best].tolist()))
     assert list(buffer.cutoff) == [got[40 * q + 39][1] for q in range(500)]
+
+
+def test_hits_of_a_document_that_stands_twice_count_once():
+    import pyarrow as pa
+
+    from rankloom.operators import wordscan
+
+    slots = [[{"term": "a", "is_prefix": False}, {"term": "b", "is_prefix": False}, {"term": "c", "is_prefix": True}], [{"term": "a", "is_prefix": True}]]
+    searches = wordscan.Searches.build(pa.table({"query_id": [1, 2], "candidates": [9, 9], "slots": slots}))
+    positions = {"a": [0, 3, 9], "b": [1, 6], "c": [2, 4, 5, 12], "ab": [7]}
+
+    def ranks(times):
+        flat = np.array([x for own in positions.values() for x in own for _ in range(times)])
+        counts = np.array([times * len(own) for own in positions.values()])
+        made, docs = wordscan.listed_postings(pa.array(list(positions)), np.ones(4, np.int64), np.full(4, 5), counts, flat, searches)
+        found = list(wordscan._ranks(made, searches, np.array([0, 1]), np.array([0, 0]), searches.words))
+        return docs.tolist(), [(p.tolist(), r.round(9).tolist()) for p, r in found]
+
+    assert ranks(1) == ranks(2) == ranks(3)
